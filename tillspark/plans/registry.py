@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tillspark.plans import archive, insights
+from tillspark.plans import archive, insights, replication
 
-_MODULES = (insights, archive)
+_MODULES = (insights, archive, replication)
 
 
 def queries() -> dict:
