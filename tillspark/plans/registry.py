@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tillspark.plans import archive, insights, replication
+from tillspark.plans import archive, extraction, insights, queue, replication
 
-_MODULES = (insights, archive, replication)
+_MODULES = (insights, archive, replication, queue, extraction)
 
 
 def queries() -> dict:
