@@ -44,6 +44,16 @@ def _kind(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit("ABSENT"))
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once.
+
+    A plain projection would be copied into each filter and column that uses it; the
+    generator of a one-element array is a border that Catalyst does not move them across.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 class _Checks:
     def __init__(self, rules: Rules):
         self.rules = rules
@@ -85,17 +95,15 @@ class _Checks:
         known = F.array(*[F.lit(k) for k in allowed])
         return F.size(F.array_except(F.map_keys(fields), known)) == 0
 
-    def merchant(self, value: Column) -> Column:
-        fields = F.try_variant_get(value, "$", MAP)
-        return self._given(value, _kind(value).startswith("OBJECT")
+    def merchant(self, value: Column, fields: Column) -> Column:
+        return self._given(value, fields.isNotNull()
                            & self.keys(fields, ["rawName", "normalizedName"])
                            & self.text(fields["rawName"], NAME_MAX, True)
                            & self.text(fields["normalizedName"], NAME_MAX, True), False)
 
-    def item(self, value: Column) -> Column:
-        fields = F.try_variant_get(value, "$", MAP)
+    def item(self, fields: Column) -> Column:
         return F.coalesce(
-            _kind(value).startswith("OBJECT") & self.keys(fields, EXTRACTED_ITEM.names)
+            fields.isNotNull() & self.keys(fields, EXTRACTED_ITEM.names)
             & self.text(fields["rawName"], NAME_MAX)
             & self.text(fields["normalizedName"], NAME_MAX)
             & self.number(fields["quantity"]) & self.minor(fields["unitPriceMinor"])
@@ -103,9 +111,8 @@ class _Checks:
             & self.text(fields["categoryId"], CATEGORY_MAX)
             & self.number(fields["confidence"], 1.0), F.lit(False))
 
-    def items(self, value: Column) -> Column:
-        entries = F.try_variant_get(value, "$", "array<variant>")
-        return self._given(value, _kind(value).startswith("ARRAY")
+    def items(self, value: Column, entries: Column) -> Column:
+        return self._given(value, entries.isNotNull()
                            & (F.size(entries) <= EXTRACTED_ITEMS_MAX)
                            & F.forall(entries, self.item), False)
 
@@ -125,8 +132,12 @@ def _collect(rules: dict[str, Column]) -> Column:
     return F.array_compact(named)
 
 
-def extraction_violations(fields: Column, rules: Rules = SERVER) -> Column:
-    """Broken rules of a parsed reply; ``fields`` is null when it is no JSON object."""
+def extraction_violations(fields: Column, merchant: Column, items: Column,
+                          rules: Rules = SERVER) -> Column:
+    """Broken rules of a parsed reply; ``fields`` is null when it is no JSON object.
+
+    ``merchant`` and ``items`` are the nested objects as maps.
+    """
     check = _Checks(rules)
 
     def literal(name: str, kind: str, test: Column) -> Column:
@@ -140,7 +151,7 @@ def extraction_violations(fields: Column, rules: Rules = SERVER) -> Column:
         "schema_version": literal("schemaVersion", "BIGINT", read("schemaVersion", "bigint") == 1),
         "document_type": literal("documentType", "STRING",
                                  read("documentType", "string") == "receipt"),
-        "merchant": check.merchant(fields["merchant"]),
+        "merchant": check.merchant(fields["merchant"], merchant),
         "transaction_date": check.text(fields["transactionDate"], None, True,
                                        lambda t: t.rlike(DATE_PATTERN)),
         "currency": check.text(fields["currency"], None, False,
@@ -150,7 +161,7 @@ def extraction_violations(fields: Column, rules: Rules = SERVER) -> Column:
         "discount": check.minor(fields["discountMinor"]),
         "total": check.minor(fields["totalMinor"]),
         "category": check.text(fields["categoryId"], CATEGORY_MAX),
-        "items": check.items(fields["items"]),
+        "items": check.items(fields["items"], items),
         "confidence": check.number(fields["confidence"], 1.0),
         "warnings": check.texts(fields["warnings"],
                                 WARNINGS_MAX if rules.limit_warnings else None),
@@ -166,16 +177,20 @@ def reply_fields(cleaned: Column) -> Column:
 
 def validate_extractions(replies: DataFrame, rules: Rules = SERVER) -> DataFrame:
     """Adds ``cleaned`` and ``violations`` to rows with a ``reply``."""
-    cleaned = replies.withColumn("cleaned", clean_reply(F.col("reply")))
-    return (cleaned.withColumn("_fields", reply_fields(F.col("cleaned")))
-            .withColumn("violations", extraction_violations(F.col("_fields"), rules))
-            .drop("_fields"))
+    cleaned = settle(replies, cleaned=clean_reply(F.col("reply")))
+    parsed = settle(cleaned, _fields=reply_fields(F.col("cleaned")))
+    nested = settle(
+        parsed, _merchant=F.try_variant_get(F.col("_fields")["merchant"], "$", MAP),
+        _items=F.transform(F.try_variant_get(F.col("_fields")["items"], "$", "array<variant>"),
+                           lambda i: F.try_variant_get(i, "$", MAP)))
+    broken = extraction_violations(F.col("_fields"), F.col("_merchant"), F.col("_items"), rules)
+    return settle(nested, violations=broken).drop("_fields", "_merchant", "_items")
 
 
 def accepted(validated: DataFrame) -> DataFrame:
     """Valid replies as a struct ``extraction`` with the defaults of absent fields."""
-    parsed = validated.where(F.size("violations") == 0).withColumn(
-        "_raw", F.from_json("cleaned", EXTRACTION))
+    parsed = settle(validated.where(F.size("violations") == 0),
+                    _raw=F.from_json("cleaned", EXTRACTION))
     raw = F.col("_raw")
     items = F.transform(
         F.coalesce(raw["items"], F.array().cast(EXTRACTION["items"].dataType)),
