@@ -52,5 +52,7 @@ def signed_percent(value: Column) -> Column:
 
 
 def signed_money(minor: Column, currency: str = "EUR") -> Column:
+    """An unknown amount shows as zero."""
+    minor = F.coalesce(minor, F.lit(0))
     sign = F.when(minor > 0, F.lit("+")).otherwise(F.lit(""))
     return F.concat(sign, to_euro(minor), F.lit(f" {currency}"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tillspark.functions.once import settle
 from tillspark.functions.text import trim_blank
 
 # Instance metadata services and names served without encryption.
@@ -63,36 +64,41 @@ def _ipv6_first(host: Column) -> Column:
                   .cast("long"))
 
 
-def endpoint_violation(url: Column) -> Column:
-    """The first broken rule of an endpoint address; null when it is allowed or empty."""
-    cleaned = clean_url(url)
-    scheme = F.lower(_part(cleaned, 1))
-    authority = _part(cleaned, 2)
-    user_info = F.regexp_extract(authority, r"^(.*)@", 1)
-    host_port = F.regexp_replace(authority, r"^.*@", "")
-    host = F.lower(F.when(host_port.startswith("["),
-                          F.regexp_extract(host_port, r"^\[([^\]]*)\]", 1))
-                   .otherwise(F.split_part(host_port, F.lit(":"), F.lit(1))))
-    malformed = (
-        ~F.coalesce(scheme.isin("http", "https"), F.lit(False)) | (host == "")
-        | user_info.rlike("[^:]") | (_part(cleaned, 4) != "") | (_part(cleaned, 5) != "")
-    )
-    v4, v6 = _ipv4_number(host), _ipv6_first(host)
+def audit_endpoints(df: DataFrame) -> DataFrame:
+    """Cleans column ``url`` and adds the first rule it breaks as ``violation``.
+
+    The violation is null when the address is allowed or empty. Each part is computed once;
+    written as one expression the rules would not fit into a compiled method.
+    """
+    cleaned = df.withColumn("url", clean_url(F.col("url")))
+    url = F.col("url")
+    parts = settle(cleaned, _scheme=F.lower(_part(url, 1)), _authority=_part(url, 2),
+                   _rest=F.concat(_part(url, 4), _part(url, 5)))
+    authority = F.col("_authority")
+    split = settle(parts, _user=F.regexp_extract(authority, r"^(.*)@", 1),
+                   _host_port=F.regexp_replace(authority, r"^.*@", ""))
+    host_port = F.col("_host_port")
+    hosts = settle(split, _host=F.lower(
+        F.when(host_port.startswith("["), F.regexp_extract(host_port, r"^\[([^\]]*)\]", 1))
+        .otherwise(F.split_part(host_port, F.lit(":"), F.lit(1)))))
+    host = F.col("_host")
+    numbers = settle(hosts, _v4=_ipv4_number(host), _v6=_ipv6_first(host))
+    v4, v6, scheme = F.col("_v4"), F.col("_v6"), F.col("_scheme")
+
+    malformed = (~F.coalesce(scheme.isin("http", "https"), F.lit(False)) | (host == "")
+                 | F.col("_user").rlike("[^:]") | (F.col("_rest") != ""))
     v6_special = (v6.between(0xFE80, 0xFEBF) | (v6 >= 0xFF00) | (v6 < 0x2000)
                   | v6.between(0x4000, 0xFBFF) | v6.between(0xFE00, 0xFE7F))
-    special = (
-        _in_networks(v4, LINK_LOCAL) | _in_networks(v4, MULTICAST)
-        | _in_networks(v4, UNSPECIFIED) | _in_networks(v4, RESERVED)
-        | F.coalesce(v6_special, F.lit(False))
-    )
+    special = (_in_networks(v4, LINK_LOCAL + MULTICAST + UNSPECIFIED + RESERVED)
+               | F.coalesce(v6_special, F.lit(False)))
     local_name = host.isin(*LOCAL_NAMES) | host.rlike(LOCAL_SUFFIXES)
     private = ((_in_networks(v4, PRIVATE) & ~_in_networks(v4, PRIVATE_EXCEPT))
                | F.coalesce(v6.between(0xFC00, 0xFDFF) | host.startswith("2001:db8:"),
                             F.lit(False)))
-    return (
-        F.when(F.coalesce(cleaned, F.lit("")) == "", F.lit(None).cast("string"))
+    violation = (
+        F.when(F.coalesce(url, F.lit("")) == "", F.lit(None).cast("string"))
         .when(malformed, "not_plain_http_url")
         .when(host.isin(*METADATA_HOSTS), "metadata_service")
         .when(special, "reserved_address")
-        .when((scheme == "http") & ~(local_name | private), "public_cleartext")
-    )
+        .when((scheme == "http") & ~(local_name | private), "public_cleartext"))
+    return numbers.withColumn("violation", violation).select(*df.columns, "violation")

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillspark.functions.once import settle
 from tillspark.functions.text import is_currency, is_sha256, trim_blank
 from tillspark.model import (CATEGORY_MAX, EXTRACTED_ITEM, EXTRACTED_ITEMS_MAX, EXTRACTION,
                              MAX_UPLOAD_BYTES, NAME_MAX, SUPPORTED_LOCALES, WARNINGS_MAX)
@@ -44,16 +45,6 @@ def _kind(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit("ABSENT"))
 
 
-def settle(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are computed once.
-
-    A plain projection would be copied into each filter and column that uses it; the
-    generator of a one-element array is a border that Catalyst does not move them across.
-    """
-    row = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
-
-
 class _Checks:
     def __init__(self, rules: Rules):
         self.rules = rules

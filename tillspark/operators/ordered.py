@@ -43,3 +43,20 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(
         F.max_by(F.struct(*rest), F.col(order)).alias("_row")).select(*keys, "_row.*")
+
+
+def with_last_marked(df: DataFrame, keys: list[str], order: str, mark: Column, alias: str,
+                     width: int = CHUNK_WIDTH) -> DataFrame:
+    """Adds the order number of the last marked row up to this one, in chunks as above."""
+    chunk = F.floor(F.col(order) / F.lit(width)).cast("long")
+    by_chunk = [*keys, "_chunk"]
+    chunked = df.withColumns({"_chunk": chunk, "_mark": F.when(mark, F.col(order))})
+    inside = Window.partitionBy(*by_chunk).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(
+        Window.unboundedPreceding, -1)
+    local = chunked.withColumn("_near", F.max("_mark").over(inside))
+    edges = chunked.groupBy(*by_chunk).agg(F.max("_mark").alias("_edge"))
+    edges = edges.withColumn("_far", F.max("_edge").over(before)).drop("_edge")
+    return local.join(edges, by_chunk, "left").withColumn(
+        alias, F.coalesce("_near", "_far")).drop("_chunk", "_mark", "_near", "_far")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tillspark.plans import archive, extraction, insights, queue, replication
+from tillspark.plans import (archive, extraction, insights, maintenance, media, queue,
+                             replication)
 
-_MODULES = (insights, archive, replication, queue, extraction)
+_MODULES = (insights, archive, replication, queue, extraction, media, maintenance)
 
 
 def queries() -> dict:
