@@ -189,7 +189,7 @@ def client_outcome(jobs: DataFrame, results: DataFrame, now: datetime) -> DataFr
     unavailable = F.col("error_code").isin(*AVAILABILITY_CODES)
     terminal = failed & ~unavailable & (attempts >= MAX_ATTEMPTS)
     wait = F.make_dt_interval(mins=backoff_minutes(attempts))
-    retry_at = F.date_format(F.lit(now).cast("timestamp") + wait,
+    retry_at = F.date_format(F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz") + wait,
                              "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return ran.select(
         "id", "type", "receiptId",

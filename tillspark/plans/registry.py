@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from tillspark.plans import (archive, extraction, insights, maintenance, media, queue,
-                             replication)
+                             replication, streaming)
 
-_MODULES = (insights, archive, replication, queue, extraction, media, maintenance)
+_MODULES = (insights, archive, replication, queue, extraction, media, maintenance,
+            streaming)
 
 
 def queries() -> dict:

@@ -117,8 +117,8 @@ QUERIES = {
     "write_documents": _written,
     "push_accept": _accepted(),
     "push_conflicts": _conflicts(),
-    "push_accept_chunked": _accepted(40, 1000),
-    "push_conflicts_chunked": _conflicts(40, 1000),
+    "push_accept_chunked": _accepted(40, 5000),
+    "push_conflicts_chunked": _conflicts(40, 5000),
     "lww_winner": _winner,
     "lww_versions": _lww_versions,
     "conflict_audit": lambda s, d: replication.conflict_audit(

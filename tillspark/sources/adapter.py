@@ -29,7 +29,11 @@ def _minor(amount: Column) -> Column:
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders")
+    return receipts_from(_table(spark, sf_dir, "orders"), spark, sf_dir)
+
+
+def receipts_from(orders: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of an order table or stream."""
     customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey",
                                                         "c_mktsegment")
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -147,7 +151,11 @@ def push_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-in attempts: an error is a failure, a sign-up a success."""
-    return _table(spark, sf_dir, "events").where(
+    return attempts_from_events(_table(spark, sf_dir, "events"))
+
+
+def attempts_from_events(events: DataFrame) -> DataFrame:
+    return events.where(
         F.col("event_type").isin("error", "signup")).select(
         F.col("user_id").cast("string").alias("key"),
         F.col("event_id").alias("ord"),
