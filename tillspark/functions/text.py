@@ -14,7 +14,9 @@ WHITESPACE = (
 
 
 def trim_blank(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
+    """Trims; a text that starts and ends with a printable ASCII sign has nothing to trim."""
+    tight = (text >= "!") & (text < "\x7f") & F.right(text, F.lit(1)).between("!", "~")
+    return F.when(tight, text).otherwise(F.btrim(text, F.lit(WHITESPACE)))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -7,7 +7,7 @@ taken strictly: a text ``"12"`` or a ``1.0`` is not an integer.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -19,6 +19,7 @@ from tillspark.model import (CATEGORY_MAX, EXTRACTED_ITEM, EXTRACTED_ITEMS_MAX,
 
 DATE_PATTERN = r"\A\d{4}-\d{2}-\d{2}\z"
 MAP = "map<string,variant>"
+MERCHANT_FIELDS = ("rawName", "normalizedName")
 
 
 @dataclass(frozen=True)
@@ -37,83 +38,77 @@ CLIENT = Rules(absent_ok=False, extra_ok=True, limit_texts=False, limit_warnings
 
 def clean_reply(reply: Column) -> Column:
     """Drops blanks and a code fence around the text."""
-    opened = F.regexp_replace(trim_blank(reply), r"\A```(?:json)?(?U:\s*)", "")
-    return F.regexp_replace(opened, r"(?U:\s*)```\z", "")
+    trimmed = trim_blank(reply)
+    opened = F.regexp_replace(trimmed, r"\A```(?:json)?(?U:\s*)", "")
+    bare = F.regexp_replace(opened, r"(?U:\s*)```\z", "")
+    fenced = trimmed.startswith("```") | trimmed.endswith("```")
+    return F.when(fenced, bare).otherwise(trimmed)
 
 
-def _kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("ABSENT"))
+def _kinds(fields: Column, names: Iterable[str]) -> Column:
+    """Type of each field, read once; every rule then looks at plain text."""
+    return F.struct(*[F.coalesce(F.schema_of_variant(fields[n]), F.lit("ABSENT")).alias(n)
+                      for n in names])
 
 
 class _Checks:
-    def __init__(self, rules: Rules):
-        self.rules = rules
+    """Rules over one object: ``fields`` holds its variants and ``kinds`` their types."""
 
-    def _given(self, value: Column, test: Column, nullable: bool) -> Column:
-        kind = _kind(value)
+    def __init__(self, rules: Rules, fields: Column, kinds: Column):
+        self.rules, self.fields, self.kinds = rules, fields, kinds
+
+    def read(self, name: str, kind: str) -> Column:
+        return F.try_variant_get(self.fields[name], "$", kind)
+
+    def given(self, name: str, test: Column, nullable: bool = False) -> Column:
+        """Holds when the test does, or the field may be null or left out and is."""
+        free = (["VOID"] if nullable else []) + (["ABSENT"] if self.rules.absent_ok else [])
         good = F.coalesce(test, F.lit(False))
-        if nullable:
-            good = good | (kind == "VOID")
-        if self.rules.absent_ok:
-            good = good | (kind == "ABSENT")
-        return good
+        return self.kinds[name].isin(*free) | good if free else good
 
-    def text(self, value: Column, limit: int | None = None, nullable: bool = False,
+    def text(self, name: str, limit: int | None = None, nullable: bool = False,
              test: Callable[[Column], Column] | None = None) -> Column:
-        read = F.try_variant_get(value, "$", "string")
-        good = _kind(value) == "STRING"
+        good = self.kinds[name] == "STRING"
         if limit is not None and self.rules.limit_texts:
-            good = good & (F.char_length(read) <= limit)
+            good = good & (F.char_length(self.read(name, "string")) <= limit)
         if test is not None:
-            good = good & test(read)
-        return self._given(value, good, nullable)
-
-    def minor(self, value: Column) -> Column:
-        return self._given(value, (_kind(value) == "BIGINT")
-                           & (F.try_variant_get(value, "$", "bigint") >= 0), True)
-
-    def number(self, value: Column, high: float | None = None) -> Column:
-        read = F.try_variant_get(value, "$", "double")
-        numeric = _kind(value).isin("BIGINT", "DOUBLE") | _kind(value).startswith("DECIMAL")
-        good = numeric & (read >= 0)
-        if high is not None:
-            good = good & (read <= high)
-        return self._given(value, good, True)
-
-    def keys(self, fields: Column, allowed: list[str]) -> Column:
+            good = good & test(self.read(name, "string"))
+        return self.given(name, good, nullable)
+
+    def minor(self, name: str) -> Column:
+        return self.given(name, (self.kinds[name] == "BIGINT")
+                          & (self.read(name, "bigint") >= 0), True)
+
+    def number(self, name: str, high: float = float("inf")) -> Column:
+        kind = self.kinds[name]
+        numeric = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+        return self.given(name, numeric & self.read(name, "double").between(0.0, high), True)
+
+    def keys(self, allowed: Iterable[str]) -> Column:
         if self.rules.extra_ok:
             return F.lit(True)
         known = F.array(*[F.lit(k) for k in allowed])
-        return F.size(F.array_except(F.map_keys(fields), known)) == 0
-
-    def merchant(self, value: Column, fields: Column) -> Column:
-        return self._given(value, fields.isNotNull()
-                           & self.keys(fields, ["rawName", "normalizedName"])
-                           & self.text(fields["rawName"], NAME_MAX, True)
-                           & self.text(fields["normalizedName"], NAME_MAX, True), False)
-
-    def item(self, fields: Column) -> Column:
-        return F.coalesce(
-            fields.isNotNull() & self.keys(fields, EXTRACTED_ITEM.names)
-            & self.text(fields["rawName"], NAME_MAX)
-            & self.text(fields["normalizedName"], NAME_MAX)
-            & self.number(fields["quantity"]) & self.minor(fields["unitPriceMinor"])
-            & self.minor(fields["totalPriceMinor"])
-            & self.text(fields["categoryId"], CATEGORY_MAX)
-            & self.number(fields["confidence"], 1.0), F.lit(False))
-
-    def items(self, value: Column, entries: Column) -> Column:
-        return self._given(value, entries.isNotNull()
-                           & (F.size(entries) <= EXTRACTED_ITEMS_MAX)
-                           & F.forall(entries, self.item), False)
-
-    def texts(self, value: Column, limit: int | None) -> Column:
-        entries = F.try_variant_get(value, "$", "array<variant>")
-        good = _kind(value).startswith("ARRAY") & F.forall(
-            entries, lambda e: F.coalesce(_kind(e) == "STRING", F.lit(False)))
+        return F.size(F.array_except(F.map_keys(self.fields), known)) == 0
+
+    def texts(self, name: str, limit: int | None) -> Column:
+        entries = self.read(name, "array<variant>")
+        good = self.kinds[name].startswith("ARRAY") & F.forall(
+            entries, lambda e: F.coalesce(F.schema_of_variant(e) == "STRING", F.lit(False)))
         if limit is not None:
             good = good & (F.size(entries) <= limit)
-        return self._given(value, good, False)
+        return self.given(name, good)
+
+
+def _merchant_ok(check: _Checks) -> Column:
+    return (check.keys(MERCHANT_FIELDS) & check.text("rawName", NAME_MAX, True)
+            & check.text("normalizedName", NAME_MAX, True))
+
+
+def _item_ok(check: _Checks) -> Column:
+    return (check.keys(EXTRACTED_ITEM.names) & check.text("rawName", NAME_MAX)
+            & check.text("normalizedName", NAME_MAX) & check.number("quantity")
+            & check.minor("unitPriceMinor") & check.minor("totalPriceMinor")
+            & check.text("categoryId", CATEGORY_MAX) & check.number("confidence", 1.0))
 
 
 def _collect(rules: dict[str, Column]) -> Column:
@@ -123,39 +118,32 @@ def _collect(rules: dict[str, Column]) -> Column:
     return F.array_compact(named)
 
 
-def extraction_violations(fields: Column, merchant: Column, items: Column,
-                          rules: Rules = SERVER) -> Column:
-    """Broken rules of a parsed reply; ``fields`` is null when it is no JSON object.
-
-    ``merchant`` and ``items`` are the nested objects as maps.
-    """
-    check = _Checks(rules)
-
-    def literal(name: str, kind: str, test: Column) -> Column:
-        return check._given(fields[name], (_kind(fields[name]) == kind) & test, False)
-
-    def read(name: str, kind: str) -> Column:
-        return F.try_variant_get(fields[name], "$", kind)
-
+def _extraction_violations(rules: Rules) -> Column:
+    """Broken rules of a parsed reply, from the columns that ``validate_extractions`` adds."""
+    fields, kinds = F.col("_fields"), F.col("_kinds")
+    check = _Checks(rules, fields, kinds)
+    merchant = F.col("_merchant")
+    merchant_ok = merchant["fields"].isNotNull() & _merchant_ok(
+        _Checks(rules, merchant["fields"], merchant["kinds"]))
+    items = F.col("_items")
+    items_ok = (F.size(items) <= EXTRACTED_ITEMS_MAX) & F.forall(
+        items, lambda i: F.coalesce(i["fields"].isNotNull() & _item_ok(
+            _Checks(rules, i["fields"], i["kinds"])), F.lit(False)))
+    version = (kinds["schemaVersion"] == "BIGINT") & (check.read("schemaVersion", "bigint") == 1)
     broken = {
-        "extra_key": check.keys(fields, EXTRACTION.names),
-        "schema_version": literal("schemaVersion", "BIGINT", read("schemaVersion", "bigint") == 1),
-        "document_type": literal("documentType", "STRING",
-                                 read("documentType", "string") == "receipt"),
-        "merchant": check.merchant(fields["merchant"], merchant),
-        "transaction_date": check.text(fields["transactionDate"], None, True,
+        "extra_key": check.keys(EXTRACTION.names),
+        "schema_version": check.given("schemaVersion", version),
+        "document_type": check.text("documentType", test=lambda t: t == "receipt"),
+        "merchant": check.given("merchant", merchant_ok),
+        "transaction_date": check.text("transactionDate", None, True,
                                        lambda t: t.rlike(DATE_PATTERN)),
-        "currency": check.text(fields["currency"], None, False,
-                               lambda t: F.char_length(t) == 3),
-        "subtotal": check.minor(fields["subtotalMinor"]),
-        "tax": check.minor(fields["taxMinor"]),
-        "discount": check.minor(fields["discountMinor"]),
-        "total": check.minor(fields["totalMinor"]),
-        "category": check.text(fields["categoryId"], CATEGORY_MAX),
-        "items": check.items(fields["items"], items),
-        "confidence": check.number(fields["confidence"], 1.0),
-        "warnings": check.texts(fields["warnings"],
-                                WARNINGS_MAX if rules.limit_warnings else None),
+        "currency": check.text("currency", test=lambda t: F.char_length(t) == 3),
+        "subtotal": check.minor("subtotalMinor"), "tax": check.minor("taxMinor"),
+        "discount": check.minor("discountMinor"), "total": check.minor("totalMinor"),
+        "category": check.text("categoryId", CATEGORY_MAX),
+        "items": check.given("items", items.isNotNull() & items_ok),
+        "confidence": check.number("confidence", 1.0),
+        "warnings": check.texts("warnings", WARNINGS_MAX if rules.limit_warnings else None),
     }
     return F.when(fields.isNull(), F.array(F.lit("not_json_object"))).otherwise(
         _collect(broken))
@@ -170,12 +158,24 @@ def validate_extractions(replies: DataFrame, rules: Rules = SERVER) -> DataFrame
     """Adds ``cleaned`` and ``violations`` to rows with a ``reply``."""
     cleaned = settle(replies, cleaned=clean_reply(F.col("reply")))
     parsed = settle(cleaned, _fields=reply_fields(F.col("cleaned")))
+    fields = F.col("_fields")
+
+    def object_of(value: Column) -> Column:
+        return F.try_variant_get(value, "$", MAP)
+
     nested = settle(
-        parsed, _merchant=F.try_variant_get(F.col("_fields")["merchant"], "$", MAP),
-        _items=F.transform(F.try_variant_get(F.col("_fields")["items"], "$", "array<variant>"),
-                           lambda i: F.try_variant_get(i, "$", MAP)))
-    broken = extraction_violations(F.col("_fields"), F.col("_merchant"), F.col("_items"), rules)
-    return settle(nested, violations=broken).drop("_fields", "_merchant", "_items")
+        parsed, _kinds=_kinds(fields, EXTRACTION.names), _merchant_map=object_of(
+            fields["merchant"]),
+        _item_maps=F.transform(F.try_variant_get(fields["items"], "$", "array<variant>"),
+                               object_of))
+    typed = settle(
+        nested, _merchant=F.struct(
+            F.col("_merchant_map").alias("fields"),
+            _kinds(F.col("_merchant_map"), MERCHANT_FIELDS).alias("kinds")),
+        _items=F.transform("_item_maps", lambda m: F.struct(
+            m.alias("fields"), _kinds(m, EXTRACTED_ITEM.names).alias("kinds"))))
+    return settle(typed, violations=_extraction_violations(rules)).select(
+        *replies.columns, "cleaned", "violations")
 
 
 def accepted(validated: DataFrame) -> DataFrame:
@@ -212,35 +212,46 @@ def rejected(validated: DataFrame) -> DataFrame:
     return validated.where(F.size("violations") > 0)
 
 
-def summary_violations(fields: Column, rules: Rules = SERVER) -> Column:
+SUMMARY_FIELDS = ("observations", "suggestion")
+SNAPSHOT_LISTS = ("categories", "merchants", "items", "priceChanges")
+SNAPSHOT_FIELDS = ("locale", "period", "total", "previousTotal", *SNAPSHOT_LISTS)
+
+
+def _validate(rows: DataFrame, column: str, names: tuple[str, ...],
+              rules_of: Callable[[_Checks], dict[str, Column]], rules: Rules) -> DataFrame:
+    parsed = settle(rows, _fields=reply_fields(F.col(column)))
+    typed = settle(parsed, _kinds=_kinds(F.col("_fields"), names))
+    broken = rules_of(_Checks(rules, F.col("_fields"), F.col("_kinds")))
+    violations = F.when(F.col("_fields").isNull(), F.array(F.lit("not_json_object"))) \
+        .otherwise(_collect(broken))
+    return settle(typed, violations=violations).drop("_fields", "_kinds")
+
+
+def validate_summaries(rows: DataFrame, column: str = "summary",
+                       rules: Rules = SERVER) -> DataFrame:
     """Rules of a generated summary: at most three observations, suggestion up to 500."""
-    check = _Checks(rules)
-    return F.when(fields.isNull(), F.array(F.lit("not_json_object"))).otherwise(_collect({
-        "extra_key": check.keys(fields, ["observations", "suggestion"]),
-        "observations": check.texts(fields["observations"], 3),
-        "suggestion": check.text(fields["suggestion"], 500, True),
-    }))
-
-
-def snapshot_violations(fields: Column) -> Column:
-    """Rules of a snapshot request: supported locale, integer totals, entry lists."""
-    lists = ("categories", "merchants", "items", "priceChanges")
-    kind = {name: _kind(fields[name]) for name in
-            ("locale", "period", "total", "previousTotal", *lists)}
-    check = _Checks(SERVER)
-    known = ["locale", "period", "total", "previousTotal", *lists]
-    rules = {
-        "extra_key": check.keys(fields, known),
-        "locale": check.text(fields["locale"], None, False,
-                             lambda t: t.isin(*SUPPORTED_LOCALES)),
-        "period": kind["period"].startswith("OBJECT"),
-        "total": kind["total"] == "BIGINT", "previousTotal": kind["previousTotal"] == "BIGINT",
-    }
-    for name in lists:
-        entries = F.try_variant_get(fields[name], "$", "array<variant>")
-        rules[name] = kind[name].startswith("ARRAY") & F.forall(
-            entries, lambda e: F.coalesce(_kind(e).startswith("OBJECT"), F.lit(False)))
-    return F.when(fields.isNull(), F.array(F.lit("not_json_object"))).otherwise(_collect(rules))
+    return _validate(rows, column, SUMMARY_FIELDS, lambda check: {
+        "extra_key": check.keys(SUMMARY_FIELDS), "observations": check.texts("observations", 3),
+        "suggestion": check.text("suggestion", 500, True)}, rules)
+
+
+def validate_snapshots(rows: DataFrame, column: str = "snapshot") -> DataFrame:
+    """Rules of a snapshot request: supported locale, integer totals, lists of objects."""
+    def rules_of(check: _Checks) -> dict[str, Column]:
+        kinds = check.kinds
+        broken = {
+            "extra_key": check.keys(SNAPSHOT_FIELDS),
+            "locale": check.text("locale", test=lambda t: t.isin(*SUPPORTED_LOCALES)),
+            "period": kinds["period"].startswith("OBJECT"),
+            "total": kinds["total"] == "BIGINT",
+            "previousTotal": kinds["previousTotal"] == "BIGINT"}
+        for name in SNAPSHOT_LISTS:
+            broken[name] = kinds[name].startswith("ARRAY") & F.forall(
+                check.read(name, "array<variant>"),
+                lambda e: F.coalesce(F.schema_of_variant(e).startswith("OBJECT"), F.lit(False)))
+        return broken
+
+    return _validate(rows, column, SNAPSHOT_FIELDS, rules_of, SERVER)
 
 
 def upload_violations() -> Column:

@@ -122,13 +122,39 @@ def price_changes(receipts: DataFrame, items: DataFrame) -> DataFrame:
     observed = priced.groupBy(F.col("name").alias("id")).agg(
         F.max_by("unitPriceMinor", order).alias("latest"),
         F.sum("unitPriceMinor").alias("price_sum"), F.count(F.lit(1)).alias("observations"))
-    mean = money.half_up((F.col("price_sum") - F.col("latest")).cast("double")
-                         / (F.col("observations") - 1).cast("double"))
-    compared = observed.where(F.col("observations") >= 2).withColumn("previousAverage", mean)
-    return compared.select(
-        "id", "latest", "previousAverage",
-        (F.col("latest") - F.col("previousAverage")).alias("difference"),
-        money.percent_change(F.col("latest"), F.col("previousAverage")).alias("changePercent"))
+    return _with_price_change(observed).where(F.col("observations") >= 2).select(
+        "id", "latest", "previousAverage", "difference", "changePercent")
+
+
+def _with_price_change(observed: DataFrame) -> DataFrame:
+    """Mean of all observations but the latest; null when there is only one."""
+    earlier = F.col("observations") - 1
+    mean = F.when(earlier >= 1, money.half_up(
+        (F.col("price_sum") - F.col("latest")).cast("double") / earlier.cast("double")))
+    return observed.withColumn("previousAverage", mean).withColumns({
+        "difference": F.col("latest") - F.col("previousAverage"),
+        "changePercent": money.percent_change(F.col("latest"), F.col("previousAverage"))})
+
+
+def product_findings(receipts: DataFrame, items: DataFrame, now: datetime) -> DataFrame:
+    """Both product views from one pass over the items: current totals and price drift."""
+    period = dates.comparable_period(now)
+    day = F.col("transactionDate")
+    dated = usable(receipts).select(F.col("id").alias("receiptId"), day,
+                                    dates.in_current(day, period).alias("in_current"))
+    lines = _named_items(items).select(
+        "receiptId", "id", "name", "unitPriceMinor", "totalPriceMinor").join(
+        dated, "receiptId", "left")
+    current = F.coalesce("in_current", F.lit(False))
+    priced = F.col("unitPriceMinor").isNotNull()
+    order = F.when(priced, F.struct(F.coalesce(day, F.lit("")), F.col("id")))
+    grouped = lines.groupBy(F.col("name").alias("id")).agg(
+        F.sum(F.when(current, F.coalesce("totalPriceMinor", F.lit(0)))).alias("total"),
+        F.count(F.when(current, 1)).alias("frequency"),
+        F.max_by("unitPriceMinor", order).alias("latest"),
+        F.sum("unitPriceMinor").alias("price_sum"), F.count("unitPriceMinor")
+        .alias("observations"))
+    return _with_price_change(grouped)
 
 
 def by_total(df: DataFrame) -> DataFrame:
@@ -188,20 +214,25 @@ def findings(receipts: DataFrame, items: DataFrame, now: datetime,
     spending = (compared.groupBy(F.col("dimension").alias("type"))
                 .agg(F.min_by(entry, order).alias("best")).select("type", "best.*"))
 
-    frequent = product_totals(receipts, items, now).where(F.col("frequency") >= 2)
-    frequent = frequent.orderBy(F.desc("frequency"), F.desc("total"), "id").limit(1).select(
-        F.lit("frequency").alias("type"), "id", F.lit(None).cast("long").alias("difference"),
-        F.lit(None).cast("double").alias("changePercent"), "total", "frequency")
-
-    priced = price_changes(receipts, items).where(passed).orderBy(*_price_order()).limit(1)
-    priced = priced.select(
-        F.lit("price").alias("type"), "id", "difference", "changePercent",
-        F.lit(None).cast("long").alias("total"), F.lit(None).cast("long").alias("frequency"))
+    blank, none = F.lit(None).cast("long"), F.lit(None).cast("double")
+    frequent = F.when(F.col("frequency") >= 2, F.struct(-F.col("frequency"), -F.col("total"),
+                                                        F.col("id")))
+    drifted = F.when(passed, F.struct(-F.abs(F.coalesce("changePercent", F.lit(0.0))),
+                                      F.col("id")))
+    best = product_findings(receipts, items, now).agg(
+        F.min_by(F.struct("id", blank.alias("difference"), none.alias("changePercent"), "total",
+                          "frequency"), frequent).alias("frequency"),
+        F.min_by(F.struct("id", "difference", "changePercent", blank.alias("total"),
+                          blank.alias("frequency")), drifted).alias("price"))
+    bought = best.select(F.explode(F.array(
+        F.struct(F.lit("frequency").alias("type"), F.col("frequency").alias("best")),
+        F.struct(F.lit("price").alias("type"), F.col("price").alias("best")))).alias("found"))
+    bought = bought.where(F.col("found.best").isNotNull()).select("found.type", "found.best.*")
 
     rank = F.array_position(F.array(*[F.lit(t) for t in
                                       (CATEGORY, MERCHANT, "frequency", "price")]),
                             F.col("type")).cast("int")
-    found = spending.unionByName(frequent).unionByName(priced)
+    found = spending.unionByName(bought)
     return found.select(rank.alias("rank"), "type", *names)
 
 

@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 APPLICATION = "tillspark"
 
 
-def fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """Row count and an order-insensitive sum of row hashes; combines map-side."""
+def _measures(df: DataFrame) -> list[Column]:
     row_hash = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(20,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.coalesce(F.sum(row_hash), F.lit(0)).cast("string").alias("digest")
-                  ).withColumn("table", F.lit(name))
+    return [F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum(row_hash), F.lit(0)).cast("string").alias("digest")]
 
 
-def _all_fingerprints(tables: dict[str, DataFrame]) -> DataFrame:
-    prints = [fingerprint(df, name) for name, df in tables.items()]
-    joined = prints[0]
-    for other in prints[1:]:
-        joined = joined.unionByName(other)
-    return joined
+def fingerprint(df: DataFrame, name: str) -> DataFrame:
+    """Row count and an order-insensitive sum of row hashes; combines map-side."""
+    return df.agg(*_measures(df)).withColumn("table", F.lit(name))
 
 
 def read_snapshot(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
@@ -28,35 +25,39 @@ def read_snapshot(spark: SparkSession, path: str, names: list[str]) -> dict[str,
 
 
 def backup(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Writes each table and compares what was written with the source.
+    """Writes each table, then reads it back and compares it with what was written.
 
-    Returns table, rows and ``matches``.
+    The source is fingerprinted while it is written, so it is computed once. Returns table,
+    rows and ``matches``; the manifest keeps one row for each table.
     """
-    for name, df in tables.items():
-        df.write.parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    written = _all_fingerprints(read_snapshot(spark, path, list(tables)))
-    written.coalesce(1).write.parquet(f"{path}/_manifest")
-    return verify_against(spark, tables, path)
-
-
-def verify_against(spark: SparkSession, tables: dict[str, DataFrame], path: str) -> DataFrame:
-    source = _all_fingerprints(tables)
+    kept = []
+    for name, df in tables.items():
+        seen = Observation(f"backup-{name}")
+        df.observe(seen, *_measures(df)).write.parquet(f"{path}/{name}")
+        kept.append((name, seen.get["rows"], seen.get["digest"]))
+    spark.createDataFrame(kept, "table string, rows long, digest string").coalesce(1) \
+        .write.parquet(f"{path}/_manifest")
+    return verify(spark, path, list(tables))
+
+
+def verify(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Reads a snapshot and compares it with its manifest."""
+    prints = [fingerprint(df, name) for name, df in read_snapshot(spark, path, names).items()]
+    found = reduce(DataFrame.unionByName, prints)
     kept = spark.read.parquet(f"{path}/_manifest").select(
         "table", F.col("rows").alias("kept_rows"), F.col("digest").alias("kept_digest"))
-    return source.join(kept, "table", "left").select(
-        "table", "rows", F.coalesce((F.col("rows") == F.col("kept_rows"))
-                                    & (F.col("digest") == F.col("kept_digest")), F.lit(False))
-        .alias("matches"))
+    same = (F.col("rows") == F.col("kept_rows")) & (F.col("digest") == F.col("kept_digest"))
+    return found.join(kept, "table", "left").select(
+        "table", "rows", F.coalesce(same, F.lit(False)).alias("matches"))
 
 
 def restore(spark: SparkSession, path: str, destination: str, names: list[str]) -> None:
     """Verifies a snapshot, copies it beside the destination and swaps it in by rename."""
-    tables = read_snapshot(spark, path, names)
-    if not verify_against(spark, tables, path).where("NOT matches").isEmpty():
+    if not verify(spark, path, names).where("NOT matches").isEmpty():
         raise ValueError(f"Snapshot {path} failed its integrity check")
     staging = f"{destination}.restore"
-    for name, df in tables.items():
+    for name, df in read_snapshot(spark, path, names).items():
         df.write.parquet(f"{staging}/{name}")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(destination)
