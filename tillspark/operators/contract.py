@@ -157,27 +157,103 @@ def reply_fields(cleaned: Column) -> Column:
 def validate_extractions(replies: DataFrame, rules: Rules = SERVER) -> DataFrame:
     """Adds ``cleaned`` and ``violations`` to rows with a ``reply``."""
     cleaned = settle(replies, cleaned=clean_reply(F.col("reply")))
-    parsed = settle(cleaned, _fields=reply_fields(F.col("cleaned")))
+    parsed = settle(cleaned, _parsed=F.try_parse_json("cleaned"))
+    slow = F.lit(True)
+    if rules == SERVER:
+        read = settle(parsed, _shape=F.schema_of_variant("_parsed"),
+                      _raw=F.from_json("cleaned", EXTRACTION))
+        parsed = settle(read, _plain=F.coalesce(
+            F.col("_shape").rlike(_EXPECTED_SHAPE) & _plain_values(F.col("_raw")), F.lit(False)))
+        slow = ~F.col("_plain")
+    parsed = settle(parsed, _fields=F.when(slow, F.try_variant_get("_parsed", "$", MAP)))
     fields = F.col("_fields")
 
     def object_of(value: Column) -> Column:
         return F.try_variant_get(value, "$", MAP)
 
     nested = settle(
-        parsed, _kinds=_kinds(fields, EXTRACTION.names), _merchant_map=object_of(
-            fields["merchant"]),
+        parsed, _kinds=F.when(slow, _kinds(fields, EXTRACTION.names)),
+        _merchant_map=object_of(fields["merchant"]),
         _item_maps=F.transform(F.try_variant_get(fields["items"], "$", "array<variant>"),
                                object_of))
     typed = settle(
-        nested, _merchant=F.struct(
+        nested, _merchant=F.when(slow, F.struct(
             F.col("_merchant_map").alias("fields"),
-            _kinds(F.col("_merchant_map"), MERCHANT_FIELDS).alias("kinds")),
+            _kinds(F.col("_merchant_map"), MERCHANT_FIELDS).alias("kinds"))),
         _items=F.transform("_item_maps", lambda m: F.struct(
             m.alias("fields"), _kinds(m, EXTRACTED_ITEM.names).alias("kinds"))))
-    return settle(typed, violations=_extraction_violations(rules)).select(
+    violations = F.when(slow, _extraction_violations(rules)).otherwise(
+        F.array().cast("array<string>"))
+    return settle(typed, violations=violations).select(
         *replies.columns, "cleaned", "violations")
 
 
+_TEXT, _MAYBE_TEXT, _MINOR = "STRING", "(?:STRING|VOID)", "(?:BIGINT|VOID)"
+_NUMBER = r"(?:BIGINT|DOUBLE|VOID|DECIMAL\(\d+,\d+\))"
+
+
+def _object_shape(types: dict[str, str]) -> str:
+    """Pattern of an object type with any of these fields and no other."""
+    fields = "|".join(f"{name}: {kind}" for name, kind in types.items())
+    return f"OBJECT<(?:(?:{fields})(?:, |(?=>)))*>"
+
+
+_ITEM_SHAPE = _object_shape({
+    "rawName": _TEXT, "normalizedName": _TEXT, "quantity": _NUMBER, "unitPriceMinor": _MINOR,
+    "totalPriceMinor": _MINOR, "categoryId": _TEXT, "confidence": _NUMBER})
+_EXPECTED_SHAPE = r"\A" + _object_shape({
+    "schemaVersion": "BIGINT", "documentType": _TEXT,
+    "merchant": _object_shape({"rawName": _MAYBE_TEXT, "normalizedName": _MAYBE_TEXT}),
+    "transactionDate": _MAYBE_TEXT, "currency": _TEXT, "subtotalMinor": _MINOR,
+    "taxMinor": _MINOR, "discountMinor": _MINOR, "totalMinor": _MINOR, "categoryId": _TEXT,
+    "items": f"ARRAY<(?:VOID|{_ITEM_SHAPE})>", "confidence": _NUMBER,
+    "warnings": "ARRAY<(?:VOID|STRING)>"}) + r"\z"
+
+
+def _plain_values(raw: Column) -> Column:
+    """Value rules on a reply whose types are known to be right.
+
+    The type text of a whole reply is compared once; most replies pass it and need no look at
+    their single fields. The type of a list is merged over its entries and hides nulls, so a
+    null there fails this test and the reply takes the exact way.
+    """
+    def none_or(value: Column, test: Column) -> Column:
+        return value.isNull() | test
+
+    def length(value: Column, limit: int) -> Column:
+        return none_or(value, F.char_length(value) <= limit)
+
+    def share(value: Column) -> Column:
+        return none_or(value, value.between(0.0, 1.0))
+
+    def item(i: Column) -> Column:
+        return F.coalesce(
+            i.isNotNull() & (F.char_length(i["rawName"]) <= NAME_MAX)
+            & (F.char_length(i["normalizedName"]) <= NAME_MAX)
+            & (F.char_length(i["categoryId"]) <= CATEGORY_MAX)
+            & none_or(i["quantity"], i["quantity"] >= 0)
+            & none_or(i["unitPriceMinor"], i["unitPriceMinor"] >= 0)
+            & none_or(i["totalPriceMinor"], i["totalPriceMinor"] >= 0) & share(i["confidence"]),
+            F.lit(False))
+
+    minors = ("subtotalMinor", "taxMinor", "discountMinor", "totalMinor")
+    good = none_or(raw["schemaVersion"], raw["schemaVersion"] == 1)
+    for test in (
+            none_or(raw["documentType"], raw["documentType"] == "receipt"),
+            length(raw["merchant"]["rawName"], NAME_MAX),
+            length(raw["merchant"]["normalizedName"], NAME_MAX),
+            none_or(raw["transactionDate"], raw["transactionDate"].rlike(DATE_PATTERN)),
+            none_or(raw["currency"], F.char_length(raw["currency"]) == 3),
+            *[none_or(raw[name], raw[name] >= 0) for name in minors],
+            length(raw["categoryId"], CATEGORY_MAX), share(raw["confidence"]),
+            none_or(raw["items"], (F.size(raw["items"]) <= EXTRACTED_ITEMS_MAX)
+                    & F.forall(raw["items"], item)),
+            none_or(raw["warnings"], (F.size(raw["warnings"]) <= WARNINGS_MAX)
+                    & F.forall(raw["warnings"], lambda w: w.isNotNull()))):
+        good = good & test
+    return good
+
+
 def accepted(validated: DataFrame) -> DataFrame:
     """Valid replies as a struct ``extraction`` with the defaults of absent fields."""
     parsed = settle(validated.where(F.size("violations") == 0),
