@@ -1,8 +1,11 @@
 """Command line check: python tests/check_oracle.py [sf] [name-part ...]."""
 
+import os
 import sys
 import time
 
+from pyspark.sql import SparkSession
+
 sys.path.insert(0, __file__.rsplit("/", 2)[0])
 
 from tests.comparison import connect, difference  # noqa: E402
@@ -12,7 +15,12 @@ from tillspark.session import build_session  # noqa: E402
 sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
 wanted = sys.argv[2:]
 sf_dir = f"/root/testdata/sf{sf}"
-spark = build_session("check", "local[8]")
+if os.environ.get("CHECK_PLAIN"):  # a session without any of our settings
+    spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false") \
+        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+else:
+    spark = build_session("check", "local[8]")
 con = connect(sf_dir)
 oracle = registry.oracle_sql()
 failed = 0

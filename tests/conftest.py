@@ -11,8 +11,10 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", "local[8]", 4)
+def spark(tmp_path_factory):
+    warehouse = tmp_path_factory.mktemp("warehouse")
+    session = build_session("tests", "local[8]", 4,
+                            **{"spark.sql.warehouse.dir": str(warehouse)})
     yield session
     session.stop()
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import uuid
 from collections import deque
 from datetime import datetime
 
@@ -7,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillspark import model
-from tillspark.functions import catalogue, language, urls
-from tillspark.operators import intake, limiter, maintenance
+from tillspark.functions import catalogue, dates, language, urls
+from tillspark.operators import insights, intake, limiter, maintenance
 from tillspark.session import work_dir
-from tillspark.sources import snapshot, tables
+from tillspark.sources import adapter, snapshot, tables
 
 NOW = datetime(2026, 7, 14, 10)
 JPEG = b"\xff\xd8\xff" + b"pixels"
@@ -194,6 +195,40 @@ def test_tables_round_trip_and_prune(spark):
     assert tables.read_document(found, "receipts", "d2").count() == 1
 
 
+def test_comparison_reads_two_months_and_few_columns(spark, sf_dir):
+    base = work_dir(spark, "test")
+    heads = adapter.receipts(spark, sf_dir)
+    tables.write_receipts(heads, base)
+    period = dates.comparable_period(adapter.NOW)
+    stored = tables.read_receipts_of(spark, base, period)
+    compared = insights.comparison(stored, adapter.NOW, insights.CATEGORY)
+    plan = compared._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [tx_month" in plan
+    assert "PushedFilters: [IsNotNull(totalMinor)" in plan and "GreaterThanOr" in plan
+    scan = plan[plan.index("ReadSchema"):]
+    assert "merchantRaw" not in scan and "warnings" not in scan
+    whole = insights.comparison(heads, adapter.NOW, insights.CATEGORY)
+    assert sorted(map(tuple, compared.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_bucketed_tables_join_without_shuffle(spark, sf_dir):
+    suffix = uuid.uuid4().hex
+    tables.save_bucketed(adapter.receipts(spark, sf_dir), f"r_{suffix}", "id", 4)
+    tables.save_bucketed(adapter.receipt_items(spark, sf_dir), f"i_{suffix}", "receiptId", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table(f"i_{suffix}").join(
+            spark.table(f"r_{suffix}").select(F.col("id").alias("receiptId"), "totalMinor"),
+            "receiptId")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"DROP TABLE r_{suffix}")
+        spark.sql(f"DROP TABLE i_{suffix}")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def brute_limiter(rows, limit, seconds):
     window, state, out = seconds * 1_000_000, {}, {}
     for key, order, at, failed in rows:

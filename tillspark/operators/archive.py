@@ -30,7 +30,8 @@ def search(receipts: DataFrame, items: DataFrame, now: datetime, query: str = ""
     """Receipts by text, category and period.
 
     The text may match the merchant names or any item of the receipt; the item test is an
-    existence join on the receipt id, so no list of matches leaves the executors.
+    existence join on the receipt id, so no list of matches leaves the executors. Matching
+    items are made distinct map-side first, so a receipt with many of them is one row.
     """
     spark = receipts.sparkSession
     if category:
@@ -39,14 +40,14 @@ def search(receipts: DataFrame, items: DataFrame, now: datetime, query: str = ""
     wanted = query.strip().lower()
     if not wanted:
         return receipts
+    names = F.lower(F.concat("normalizedName", F.lit(" "), "rawName"))
+    matching = items.where(F.contains(names, F.lit(wanted))).select("receiptId").distinct()
     return spark.sql(
         """SELECT r.* FROM {receipts} r
            WHERE contains(lower(concat(coalesce(merchantNormalized, ''), ' ',
                                        coalesce(merchantRaw, ''))), :wanted)
-              OR EXISTS (SELECT 1 FROM {items} i WHERE i.receiptId = r.id
-                 AND contains(lower(concat(i.normalizedName, ' ', i.rawName)), :wanted))""",
-        args={"wanted": wanted}, receipts=receipts,
-        items=items.select("receiptId", "normalizedName", "rawName"))
+              OR EXISTS (SELECT 1 FROM {matching} m WHERE m.receiptId = r.id)""",
+        args={"wanted": wanted}, receipts=receipts, matching=matching)
 
 
 def receipt_detail(receipts: DataFrame, items: DataFrame) -> DataFrame:

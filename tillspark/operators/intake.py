@@ -11,6 +11,7 @@ from tillspark.functions.money import half_up
 from tillspark.functions.once import settle
 from tillspark.model import MAX_UPLOAD_BYTES
 from tillspark.operators.contract import upload_violations
+from tillspark.session import cut_lineage
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -27,7 +28,7 @@ def stored_path(file_hash: Column, thumbnail: bool = False) -> Column:
 
 def checked_uploads(uploads: DataFrame) -> DataFrame:
     """Adds ``hash``, ``size`` and the broken rules; reads the bytes once."""
-    return settle(uploads, hash=F.sha2("content", 256), size=F.octet_length("content"),
+    return settle(uploads, hash=F.sha2("content", 256), size=F.octet_length("content").cast("long"),
                   violations=upload_violations())
 
 
@@ -39,9 +40,10 @@ def store_results(checked: DataFrame, stored: DataFrame | None = None) -> DataFr
     """One row for each valid upload; the first of a hash stores it unless it was there.
 
     The first upload is found by a partial minimum, and then matched on (hash, upload), so
-    that a hash uploaded a billion times is no hot join key.
+    that a hash uploaded a billion times is no hot join key. What was read from the bytes is
+    written down once, so they are not hashed again for the second use.
     """
-    valid = checked.where(F.size("violations") == 0).drop("content")
+    valid = cut_lineage(checked.where(F.size("violations") == 0).drop("content"), "intake")
     first = valid.groupBy("hash").agg(F.min("upload_id").alias("upload_id"))
     if stored is not None:
         first = first.join(stored.select("hash"), "hash", "left_anti")

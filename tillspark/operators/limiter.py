@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tillspark.operators.ordered import CHUNK_WIDTH, with_last_marked, with_previous
 
 LIMIT, WINDOW_SECONDS = 10, 300
+CELLS = 64
 DECISION = "key string, ord long, decision string, wait_seconds long"
 
 
@@ -39,19 +40,19 @@ def decide(recent: deque, at: int, failed: bool, window: int, limit: int) -> tup
 
 
 def _bounded_failures(attempts: DataFrame, window: int) -> DataFrame:
-    """Adds ``bound``: failed attempts of the key in the window, this one included.
+    """Adds ``bound``: at least the failed attempts of the key in the window, this included.
 
-    A window reaches back into one time bucket at most, so failures are copied to the next
-    bucket and the count runs inside (key, bucket).
+    Failures are counted by (key, time cell) first, so a busy key is one row for each cell
+    and not for each attempt; the window then runs over cells. It covers whole cells, which
+    can only raise the bound. The counts go back by (key, cell), which spreads a busy key.
     """
-    bucket = F.floor(F.col("at_micros") / window).cast("long")
-    own = attempts.withColumns({"bucket": bucket, "own": F.lit(True)})
-    carried = attempts.where("failed").withColumns({"bucket": bucket + 1, "own": F.lit(False)})
-    span = Window.partitionBy("key", "bucket").orderBy("at_micros").rangeBetween(
-        -(window - 1), 0)
-    counted = own.unionByName(carried).withColumn(
-        "bound", F.sum(F.col("failed").cast("long")).over(span))
-    return counted.where("own").drop("own", "bucket")
+    cell = F.floor(F.col("at_micros") / F.lit(max(1, window // CELLS))).cast("long")
+    celled = attempts.withColumn("cell", cell)
+    span = Window.partitionBy("key").orderBy("cell").rangeBetween(-(CELLS + 1), 0)
+    bounds = celled.groupBy("key", "cell").agg(
+        F.count(F.when(F.col("failed"), 1)).alias("failures"))
+    bounds = bounds.withColumn("bound", F.sum("failures").over(span)).drop("failures")
+    return celled.join(bounds, ["key", "cell"]).drop("cell")
 
 
 def limit_failures(attempts: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_SECONDS,

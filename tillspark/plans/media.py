@@ -53,7 +53,7 @@ def _arrivals(s, d):
 QUERIES = {
     "content_store": _results,
     "content_written": lambda s, d: intake.new_content(_checked(s, d), _results(s, d)).select(
-        "prefix", "hash", F.octet_length("content").alias("bytes")),
+        "prefix", "hash", F.octet_length("content").cast("long").alias("bytes")),
     "upload_rejects": lambda s, d: intake.rejected_uploads(_checked(s, d)).select(
         "upload_id", F.array_join("violations", ",").alias("violations")),
     "output_size": _sizes,

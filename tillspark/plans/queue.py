@@ -140,8 +140,8 @@ FROM jobs""", views.JOBS, _CLAIMED),
 FROM jobs""", views.JOBS),
     "job_retry": views.sql(
         f"""SELECT j.* REPLACE ('openai' AS provider_id, 'pending' AS status, 0 AS attempts,
-  NULL AS next_attempt_at, NULL AS last_error_code, NULL AS last_error_message,
-  '{STAMP}' AS updated_at)
+  CAST(NULL AS VARCHAR) AS next_attempt_at, CAST(NULL AS VARCHAR) AS last_error_code,
+  CAST(NULL AS VARCHAR) AS last_error_message, '{STAMP}' AS updated_at)
 FROM jobs j JOIN orders ON o_orderkey = CAST(receipt_id AS BIGINT)
 WHERE o_orderstatus NOT IN ('F', 'O')""", views.JOBS),
     "job_retarget": views.sql(

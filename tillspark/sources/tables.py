@@ -6,9 +6,10 @@ images by the first two characters of their hash, so that the usual filters prun
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tillspark import model
+from tillspark.functions.dates import Period
 
 SCHEMAS = {
     "receipts": model.RECEIPTS, "receipt_items": model.RECEIPT_ITEMS,
@@ -18,9 +19,15 @@ SCHEMAS = {
 }
 
 
+PARTITIONS = {"receipts": "tx_month"}
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Read one table with its declared schema."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+    """Read one table with its declared schema and the folder column it is split by."""
+    schema = T.StructType(SCHEMAS[name].fields)
+    if name in PARTITIONS:
+        schema = schema.add(PARTITIONS[name], T.StringType())
+    return spark.read.schema(schema).parquet(f"{root}/{name}")
 
 
 def write_receipts(receipts: DataFrame, root: str) -> None:
@@ -32,6 +39,21 @@ def write_receipts(receipts: DataFrame, root: str) -> None:
      .write.partitionBy("tx_month").parquet(f"{root}/receipts"))
 
 
+def read_receipts_of(spark: SparkSession, root: str, period: Period) -> DataFrame:
+    """Receipts that the comparison of a period can count: two month folders."""
+    months = {d.strftime("%Y-%m") for d in (period.start, period.previous_start)}
+    return read_table(spark, root, "receipts").where(F.col("tx_month").isin(*sorted(months)))
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Saves a catalogue table bucketed and sorted by its join key.
+
+    Receipts by ``id`` and items by ``receiptId`` with the same number of buckets join
+    without a shuffle of either side.
+    """
+    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+
+
 def append_changes(changes: DataFrame, root: str) -> None:
     """Append to the log; files carry the sequence range in their statistics."""
     (changes.sortWithinPartitions("server_sequence")
