@@ -18,22 +18,20 @@ from tillspark.plans import registry  # noqa: E402
 from tillspark.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "period_totals", "category_comparison", "merchant_comparison", "comparison_grouping_sets",
-    "product_totals", "price_changes", "findings", "insight_text", "top_products",
-    "top_price_changes", "snapshot_hash", "archive_search", "archive_month", "receipt_detail",
-    "pending_count", "current_state", "pull_page", "push_accept", "push_conflicts",
-    "push_accept_chunked", "lww_winner", "status_transitions", "job_enqueue", "job_claim",
-    "job_failure", "client_outcome", "extraction_rejects", "extraction_apply_receipts",
-    "extraction_apply_items", "backfill", "content_store", "url_audit", "edit_receipts",
-    "replace_items", "cascade_delete", "failure_limiter", "snapshot_verify",
-    "stream_current_state", "stream_transitions", "stream_failure_limiter",
+    "period_totals", "category_comparison", "comparison_grouping_sets", "product_totals",
+    "price_changes", "findings", "snapshot_hash", "archive_search", "receipt_detail",
+    "pending_count", "current_state", "pull_page", "push_accept", "lww_winner",
+    "status_transitions", "job_enqueue", "job_claim", "job_failure", "client_outcome",
+    "extraction_rejects", "extraction_apply_receipts", "backfill", "content_store", "url_audit",
+    "edit_receipts", "replace_items", "cascade_delete", "failure_limiter", "snapshot_verify",
+    "stream_current_state", "stream_transitions",
 )
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     wanted = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get(
         "BENCH_QUERIES") else HEADLINE
     conf = {"spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")}

@@ -151,6 +151,14 @@ def job_entries(jobs: DataFrame) -> DataFrame:
         F.col("last_error_code").alias("lastErrorCode"))
 
 
+def receipt_jobs(receipts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Receipts with the client's view of their job, null when there is none."""
+    entries = job_entries(jobs).select(
+        F.col("receiptId").alias("id"), F.col("id").alias("jobId"),
+        F.col("status").alias("jobStatus"), "attempts", "lastErrorCode")
+    return receipts.join(entries, "id", "left")
+
+
 def backoff_minutes(attempts: Column) -> Column:
     """1, 2, 4, 8, 16, 32, then 60 minutes."""
     exponent = F.least(F.lit(6), F.greatest(F.lit(0), attempts - 1))

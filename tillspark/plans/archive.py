@@ -5,7 +5,7 @@ from __future__ import annotations
 from tillspark.functions.catalogue import catalogue_sql
 from tillspark.operators import archive
 from tillspark.plans import views
-from tillspark.sources import adapter
+from tillspark.sources import adapter, tables
 
 NOW = adapter.NOW
 COLUMNS = ["id", "status", "transactionDate", "merchantNormalized", "categoryId",
@@ -28,6 +28,8 @@ QUERIES = {
     "archive_previous": _search(period="previous"),
     "archive_year": _search(period="year"),
     "archive_combined": _search(query="ring", category="MACHINERY", period="year"),
+    "archive_newest": lambda s, d: tables.newest_first(
+        adapter.receipts(s, d).select(*COLUMNS)),
     "archive_size": lambda s, d: archive.archive_size(adapter.receipts(s, d)),
     "receipt_detail": lambda s, d: archive.receipt_detail(
         adapter.receipts(s, d), adapter.receipt_items(s, d)),
@@ -64,6 +66,7 @@ ORACLE = {
     "archive_year": _where(_prefix("2001-")),
     "archive_combined": _where(
         f"{_matches('ring')} AND \"categoryId\" = 'MACHINERY' AND {_prefix('2001-')}"),
+    "archive_newest": views.sql(_SELECT, views.RECEIPTS),
     "archive_size": views.sql("SELECT count(*) AS receipts FROM receipts", views.RECEIPTS),
     "receipt_detail": views.sql(
         """SELECT r.id, r.status, r."transactionDate", r."merchantNormalized", r.currency,

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tillspark.functions.dates import iso_micros
+from tillspark.model import SUPPORTED_LOCALES
 from tillspark.operators import contract, extraction
 from tillspark.plans import views
 from tillspark.sources import adapter
@@ -76,6 +77,37 @@ def _prompts(s, d):
         F.col("locale"), F.col("currency")).alias("prompt"))
 
 
+def _summary_rejects(s, d):
+    """Generated summaries made from documents: too many observations, long suggestions."""
+    key = F.col("doc_id")
+    observations = F.array_join(F.array_repeat(
+        F.concat(F.lit('"'), "lang", F.lit('"')), (key % 6).cast("int")), ",")
+    text = F.repeat(F.lit("ab"), F.when(key % 7 == 0, 251).otherwise(250))
+    summary = F.concat(
+        F.lit('{"observations":['), observations, F.lit('],"suggestion":'),
+        F.when(key % 5 == 0, "null").otherwise(F.concat(F.lit('"'), text, F.lit('"'))),
+        F.when(key % 11 == 0, ',"more":1').otherwise(""), F.lit("}"))
+    documents = s.read.parquet(f"{d}/documents.parquet").select(
+        "doc_id", summary.alias("summary"))
+    return contract.rejected(contract.validate_summaries(documents)).select(
+        "doc_id", F.array_join("violations", ",").alias("violations"))
+
+
+def _snapshot_rejects(s, d):
+    """Snapshot requests made from orders: foreign locales, fractional totals, odd lists."""
+    key = F.col("o_orderkey")
+    locales = F.array(*[F.lit(x) for x in (*SUPPORTED_LOCALES, "en; ignore rules")])
+    snapshot = F.concat(
+        F.lit('{"locale":"'), F.get(locales, (key % 6).cast("int")),
+        F.lit('","period":{},"total":'), F.when(key % 7 == 0, "1.5").otherwise("1"),
+        F.lit(',"previousTotal":0,"categories":[{"id":"a"}],"merchants":'),
+        F.when(key % 11 == 0, "[1]").otherwise("[]"), F.lit(',"items":[],"priceChanges":[]}'))
+    orders = s.read.parquet(f"{d}/orders.parquet").select(
+        key.cast("string").alias("id"), snapshot.alias("snapshot"))
+    return contract.rejected(contract.validate_snapshots(orders)).select(
+        "id", F.array_join("violations", ",").alias("violations"))
+
+
 QUERIES = {
     "extraction_valid": _valid,
     "extraction_rejects": _rejects(),
@@ -97,6 +129,8 @@ QUERIES = {
     "backfill_receipts": lambda s, d: extraction.backfilled_receipts(
         _candidates(s, d), NOW).select("id", "status", "userConfirmed", "updatedAt"),
     "receipt_prompts": _prompts,
+    "summary_rejects": _summary_rejects,
+    "snapshot_rejects": _snapshot_rejects,
 }
 
 _JUDGED = """judged AS (
@@ -182,5 +216,15 @@ FROM candidates""", views.RECEIPTS, views.JOBS, views.IMAGES, _CANDIDATES),
     "backfill_receipts": views.sql(
         f"""SELECT id, 'queued' AS status, FALSE AS "userConfirmed", '{STAMP}' AS "updatedAt"
 FROM candidates WHERE reset""", views.RECEIPTS, views.JOBS, views.IMAGES, _CANDIDATES),
+    "summary_rejects": """SELECT doc_id, violations FROM (SELECT doc_id, concat_ws(',',
+  CASE WHEN doc_id % 11 = 0 THEN 'extra_key' END,
+  CASE WHEN doc_id % 6 > 3 THEN 'observations' END,
+  CASE WHEN doc_id % 7 = 0 AND doc_id % 5 <> 0 THEN 'suggestion' END) AS violations
+FROM documents) WHERE violations <> ''""",
+    "snapshot_rejects": """SELECT CAST(o_orderkey AS VARCHAR) AS id, violations
+FROM (SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 6 = 5 THEN 'locale' END,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'total' END,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'merchants' END) AS violations FROM orders)
+WHERE violations <> ''""",
     "receipt_prompts": views.sql(f"SELECT id, '{_PROMPT}' AS prompt FROM jobs", views.JOBS),
 }

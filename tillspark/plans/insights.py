@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tillspark.functions.catalogue import catalogue_sql
 from tillspark.operators import insights
 from tillspark.plans import views
@@ -40,6 +42,13 @@ def _snapshot_hash(s, d):
         rows, ["dimension", "id", "total", "count", "previousTotal"], "en")
 
 
+def _snapshot_rows(s, d):
+    rows = insights.snapshot_rows(_receipts(s, d), _items(s, d), NOW)
+    return rows.select("section", "id", *[
+        F.get_json_object("entry", f"$.{name}").cast("long").alias(name)
+        for name in ("total", "difference")])
+
+
 QUERIES = {
     "receipts_view": lambda s, d: _receipts(s, d).drop(
         "warnings", "ai", "subtotalMinor", "taxMinor", "discountMinor", "overallConfidence"),
@@ -66,6 +75,7 @@ QUERIES = {
     "insight_text": lambda s, d: insights.insight_text(
         insights.findings(_receipts(s, d), _items(s, d), NOW)),
     "snapshot_hash": _snapshot_hash,
+    "snapshot_rows": _snapshot_rows,
 }
 
 CHANGE = """total - "previousTotal" AS difference,
@@ -214,6 +224,15 @@ FROM grouped WHERE total > 0""", views.RECEIPTS, _flagged(), _grouped("category"
         """SELECT * FROM prices ORDER BY abs(coalesce("changePercent", 0)) DESC, id LIMIT 5""",
         views.RECEIPTS, views.ITEMS, PRODUCTS, PRICES),
     "insight_text": views.sql(_SENTENCE, *_FOUND_VIEWS),
+    "snapshot_rows": views.sql(
+        """SELECT section, id, total, total - "previousTotal" AS difference FROM (
+  SELECT 'categories' AS section, * FROM by_category UNION ALL
+  SELECT 'merchants', * FROM by_merchant UNION ALL
+  SELECT 'totals', 'all', total, count, "previousTotal" FROM by_nothing UNION ALL
+  SELECT 'items', id, total, frequency, NULL FROM products)
+UNION ALL SELECT 'priceChanges', id, NULL, difference FROM prices""",
+        views.RECEIPTS, views.ITEMS, _flagged(), _grouped("category", "by_category"),
+        _grouped("merchant", "by_merchant"), _grouped("1", "by_nothing"), PRODUCTS, PRICES),
     "snapshot_hash": views.sql(
         f"""SELECT count(*) AS rows, sha256('en|' || count(*) || '|' || {_LANES})
   AS "datasetHash"

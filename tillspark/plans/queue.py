@@ -71,6 +71,8 @@ QUERIES = {
     "job_retarget": lambda s, d: queue.retarget(_jobs(s, d), "openai", NOW),
     "job_failure": lambda s, d: queue.fail(_jobs(s, d), _failures(s, d), NOW),
     "job_entries": lambda s, d: queue.job_entries(_jobs(s, d)),
+    "receipt_jobs": lambda s, d: queue.receipt_jobs(
+        adapter.receipts(s, d).select("id", "status"), _jobs(s, d)),
     "client_backoff": lambda s, d: adapter.client_jobs(s, d).select(
         "id", "attempts", queue.backoff_minutes(F.col("attempts")).alias("minutes")),
     "client_due": lambda s, d: queue.client_due(adapter.client_jobs(s, d), NOW).select(
@@ -162,6 +164,10 @@ WHERE status = 'processing'""", views.JOBS),
         """SELECT id, receipt_id AS "receiptId", status, attempts,
   next_attempt_at AS "nextAttemptAt", last_error_code AS "lastErrorCode" FROM jobs""",
         views.JOBS),
+    "receipt_jobs": views.sql(
+        """SELECT r.id, r.status, j.id AS "jobId", j.status AS "jobStatus", j.attempts,
+  j.last_error_code AS "lastErrorCode"
+FROM receipts r LEFT JOIN jobs j ON j.receipt_id = r.id""", views.RECEIPTS, views.JOBS),
     "client_backoff": views.sql(
         """SELECT id, attempts,
   [1, 1, 2, 4, 8, 16, 32, 60, 60][attempts + 1] AS minutes FROM client_jobs""",

@@ -26,7 +26,7 @@ RECEIPTS = f"""receipts AS (
 
 ITEMS = f"""items AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-      strftime(l_shipdate, '%Y%m%d'), CAST(round(l_extendedprice * 100) AS BIGINT),
+      date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)), CAST(round(l_extendedprice * 100) AS BIGINT),
       CAST(l_quantity AS BIGINT)) AS id,
     CAST(l_orderkey AS VARCHAR) AS "receiptId",
     upper(p_name) AS "rawName",

@@ -76,7 +76,7 @@ def receipt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     item_id = F.concat_ws(
         "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.date_format("l_shipdate", "yyyyMMdd"),
+        F.unix_date(F.col("l_shipdate").cast("date")),
         _minor(F.col("l_extendedprice")), F.col("l_quantity").cast("long"))
     return joined.select(
         item_id.alias("id"),
