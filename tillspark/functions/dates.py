@@ -44,19 +44,19 @@ def is_real_date(text: Column) -> Column:
     return F.coalesce(text.try_cast("date").cast("string") == text, F.lit(False))
 
 
+def text_between(text: Column, first: date, last: date) -> Column:
+    """Range test of a text that is known to be a date."""
+    return (text >= F.lit(first.isoformat())) & (text <= F.lit(last.isoformat()))
+
+
 def between(text: Column, first: date, last: date) -> Column:
-    return ((text >= F.lit(first.isoformat())) & (text <= F.lit(last.isoformat()))
-            & is_real_date(text))
+    return text_between(text, first, last) & is_real_date(text)
 
 
 def in_current(text: Column, period: Period) -> Column:
     return between(text, period.start, period.last_counted)
 
 
-def in_previous(text: Column, period: Period) -> Column:
-    return between(text, period.previous_start, period.previous_end)
-
-
 def display_date(text: Column, unknown: Column) -> Column:
     """Day, short month and year; an empty value gives the given label."""
     day = F.coalesce(real_date(text), F.try_to_timestamp(text).cast("date"))

@@ -27,13 +27,13 @@ def usable(receipts: DataFrame) -> DataFrame:
 def _both_periods(receipts: DataFrame, now: datetime) -> DataFrame:
     """Usable receipts of either period with a flag for the current one."""
     period = dates.comparable_period(now)
-    first, last = period.previous_start, max(period.last_counted, period.previous_end)
-    current = dates.in_current(F.col("transactionDate"), period)
-    previous = dates.in_previous(F.col("transactionDate"), period)
-    return (usable(receipts)
-            .where(F.col("transactionDate").between(first.isoformat(), last.isoformat()))
-            .withColumn("in_current", current)
-            .where(F.col("in_current") | previous))
+    day = F.col("transactionDate")
+    last = max(period.last_counted, period.previous_end)
+    current = dates.text_between(day, period.start, period.last_counted)
+    previous = dates.text_between(day, period.previous_start, period.previous_end)
+    return (usable(receipts).where(dates.text_between(day, period.previous_start, last))
+            .where((current | previous) & dates.is_real_date(day))
+            .withColumn("in_current", current))
 
 
 def _measures() -> list[Column]:

@@ -48,7 +48,7 @@ def receipts_from(orders: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
         .when(F.col("o_orderstatus") == "O", "needs_review")
         .otherwise("queued").alias("status"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.000'Z'").alias("capturedAt"),
-        F.when(key % 37 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+        F.when(key % 37 != 0, F.col("o_orderdate").cast("date").cast("string"))
         .alias("transactionDate"),
         F.when(key % 19 != 0, F.upper("n_name")).alias("merchantRaw"),
         F.when(key % 17 != 0, F.col("n_name")).alias("merchantNormalized"),
