@@ -188,7 +188,7 @@ def category_share(categories: DataFrame) -> DataFrame:
     shown = positive(categories)
     whole = shown.agg(F.sum("total")).scalar()
     colours = spark.createDataFrame(list(CATEGORIES), "id string, colour string")
-    return shown.join(colours, "id", "left").select(
+    return shown.join(F.broadcast(colours), "id", "left").select(
         "id", "total", (F.col("total") / 100).alias("amount"),
         (F.col("total").cast("double") / whole.cast("double")).alias("share"),
         F.coalesce("colour", F.lit(DEFAULT_COLOUR)).alias("colour"))
