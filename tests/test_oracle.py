@@ -4,8 +4,9 @@ import pytest
 
 import __spark_entry__ as contract
 from tests.comparison import connect, difference
+from tillspark.plans import registry
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +22,11 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(ORACLE) <= set(contract.oracle_sql())
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, sf_dir, con, name):
     assert difference(QUERIES[name](spark, sf_dir), con, ORACLE[name]) == ""
