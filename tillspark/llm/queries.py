@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tillspark.llm import bpe, chat, language, ogg, packing, quality, repeats, simhash, syncmers
+from tillspark.llm import (bpe, chat, language, ogg, packing, pages, quality, repeats, simhash,
+                           syncmers)
 
 QUERIES = {
     "op1_substring_dedup": repeats.op1_substring_dedup,
+    "op2_main_text": pages.op2_main_text,
     "op3_syncmers": syncmers.op3_syncmers,
     "op4_bpe": bpe.op4_bpe,
     "op5_ogg": ogg.op5_ogg,
