@@ -114,7 +114,11 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS,
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull()
                        & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).limit(MAX_LANGUAGES + 1)
+    sizes = sizes.collect()  # a row for each language, checked, so it may be broadcast
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} language values")
+    sizes = F.broadcast(docs.sparkSession.createDataFrame(sizes, "lang string, rows long"))
     rate = F.lit(docs_per_language) / F.col("rows")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / F.lit(1 << 20)
     sample = known.join(sizes, "lang").where(draw < rate)
@@ -133,10 +137,7 @@ def prototypes(docs: DataFrame, dimensions: int = DIMENSIONS,
     partial = sample.select("lang", "text").mapInArrow(bundle, _VECTORS)
     partial = partial.withColumn("slot", F.pmod(F.xxhash64("vector"), F.lit(64)))
     partial = partial.groupBy("lang", "slot").applyInArrow(_sum_vectors, _VECTORS)
-    rows = partial.groupBy("lang").applyInArrow(_sum_vectors, _VECTORS).limit(
-        MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} language values")
+    rows = partial.groupBy("lang").applyInArrow(_sum_vectors, _VECTORS).collect()
     rows.sort(key=lambda r: r["lang"])
     matrix = np.array([np.frombuffer(r["vector"], np.float64) for r in rows])
     matrix = matrix.reshape(len(rows), dimensions)
