@@ -60,7 +60,7 @@ class Profiles:
         lead = np.r_[True, owner[1:] != owner[:-1]]
         before = np.where(lead, 0, np.r_[0, flat[:-1]])
         second = np.r_[True, lead[:-1]]
-        earlier = np.where(lead | second, 0, np.r_[0, 0, flat[:-2]])
+        earlier = np.where(lead | second, 0, np.r_[0, 0, flat][:len(flat)])
         code = (earlier * _SYMBOLS + before) * _SYMBOLS + flat
         some = (flat != 0) | (before != 0)
         key, count = np.unique(owner[some] * (_SYMBOLS ** 3) + code[some], return_counts=True)
