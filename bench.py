@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tillspark.plans import registry  # noqa: E402
-from tillspark.session import build_session  # noqa: E402
+from tillspark.session import build_session, clear_work  # noqa: E402
 
 HEADLINE = (
     "period_totals", "category_comparison", "comparison_grouping_sets", "product_totals",
@@ -34,7 +34,8 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     wanted = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get(
         "BENCH_QUERIES") else HEADLINE
-    conf = {"spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g")}
+    conf = {"spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
+            "spark.checkpoint.dir": os.environ.get("BENCH_WORK_DIR", "/tmp/tillspark-bench")}
     spark = build_session("bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, **conf)
     registered = registry.queries()
     timings = {}
@@ -46,6 +47,7 @@ def main() -> None:
             taken.append(time.perf_counter() - begin)
         timings[name] = round(statistics.median(taken[1:] or taken), 3)
         print(name, timings[name], file=sys.stderr, flush=True)
+    clear_work(spark)
     spark.stop()
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(timings.values()), 3),

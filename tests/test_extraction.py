@@ -1,4 +1,5 @@
 import json
+from urllib.error import URLError
 from datetime import datetime
 
 import pytest
@@ -253,16 +254,22 @@ def test_model_seam(spark):
             raise FileNotFoundError("no")
         if content == b"key":
             raise KeyError("no")
+        if content == b"down":
+            raise URLError("unreachable")
+        if content == b"own":
+            raise extraction.ModelUnavailable("no")
         return json.dumps(VALID)
 
     requests = spark.createDataFrame(
-        [("j1", "r1", b"ok"), ("j2", "r2", b"bad"), ("j3", "r3", b"gone"), ("j4", "r4", b"key")],
+        [("j1", "r1", b"ok"), ("j2", "r2", b"bad"), ("j3", "r3", b"gone"), ("j4", "r4", b"key"),
+         ("j5", "r5", b"down"), ("j6", "r6", b"own"), ("j7", "r7", None)],
         "job_id string, receipt_id string, content binary").withColumns({
             "mimeType": F.lit("image/jpeg"),
             "prompt": extraction.receipt_prompt(F.lit("it-IT"), F.lit("EUR"))})
     rows = {r.job_id: r for r in extraction.call_model(requests, fake).collect()}
     assert json.loads(rows["j1"].reply) == VALID and rows["j1"].failure is None
-    assert [rows[f"j{n}"].failure for n in (2, 3, 4)] == ["invalid", "file", "lookup"]
+    assert [rows[f"j{n}"].failure for n in range(2, 8)] == [
+        "invalid", "file", "lookup", "http", "http", "file"]
 
 
 def test_prompts(spark):
@@ -285,3 +292,13 @@ def test_client_outcome(spark, code, attempts, status, tries):
     row = queue.client_outcome(jobs, results, NOW).first()
     assert (row.status, row.attempts) == (status, tries)
     assert code is None or len(row.lastErrorMessage) == 300
+
+
+def test_other_client_jobs_keep_their_error(spark):
+    jobs = spark.createDataFrame(
+        [("j", "ai-insight", "r", "processing", 1, None, "503", "before", "t", "t")],
+        model.CLIENT_JOBS)
+    results = spark.createDataFrame([("j", None, None)],
+                                    "id string, error_code string, message string")
+    row = queue.client_outcome(jobs, results, NOW).first()
+    assert (row.status, row.lastErrorCode, row.lastErrorMessage) == ("pending", "503", "before")

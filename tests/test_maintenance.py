@@ -51,8 +51,20 @@ def test_upload_is_hash_checked_and_idempotent(spark):
 
 def test_read_images_and_lookup(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(JPEG)
-    (tmp_path / "b.txt").write_bytes(b"x")
-    assert [r.length for r in intake.read_images(spark, str(tmp_path)).collect()] == [len(JPEG)]
+    (tmp_path / "B.JPEG").write_bytes(JPEG + b"2")
+    (tmp_path / "c.txt").write_bytes(b"x")
+    (tmp_path / "large.jpg").write_bytes(JPEG + bytes(model.MAX_UPLOAD_BYTES))
+    read = intake.read_images(spark, str(tmp_path))
+    assert sorted(r.length for r in read.collect()) == [
+        1, len(JPEG), len(JPEG) + 1, len(JPEG) + model.MAX_UPLOAD_BYTES]
+    checked = intake.checked_uploads(read.withColumns({
+        "upload_id": F.monotonically_increasing_id(), "receiptId": F.lit("r"),
+        "locale": F.lit("it-IT"), "currency": F.lit("EUR"), "contentType": F.lit("image/jpeg"),
+        "mimeType": F.lit("image/jpeg"), "sha256": F.sha2("content", 256)}))
+    rejected = {r.size: set(r.violations) for r in intake.rejected_uploads(checked).collect()}
+    assert rejected.keys() == {1, len(JPEG) + model.MAX_UPLOAD_BYTES}
+    assert "too_large" in rejected[len(JPEG) + model.MAX_UPLOAD_BYTES]
+    assert intake.store_results(checked).count() == 2
     store = spark.createDataFrame([("h", "full", JPEG)],
                                   "hash string, variant string, content binary")
     asked = spark.createDataFrame([("h", "full"), ("h", "thumbnail")],
@@ -174,7 +186,9 @@ def test_backup_detects_damage_and_restores(spark):
     assert all(r.matches for r in snapshot.backup({"t": df}, f"{base}/s").collect())
     snapshot.restore(spark, f"{base}/s", f"{base}/live", ["t"])
     assert spark.read.parquet(f"{base}/live/t").count() == 100
-    snapshot.restore(spark, f"{base}/s", f"{base}/live", ["t"])
+    for _ in range(2):
+        snapshot.restore(spark, f"{base}/s", f"{base}/live", ["t"])
+    assert spark.read.parquet(f"{base}/live/t").count() == 100
     spark.range(1).withColumn("v", F.lit(0).cast("long")).write.mode("append").parquet(
         f"{base}/s/t")
     with pytest.raises(ValueError):

@@ -53,8 +53,8 @@ def search(receipts: DataFrame, items: DataFrame, now: datetime, query: str = ""
 def receipt_detail(receipts: DataFrame, items: DataFrame) -> DataFrame:
     """Receipts with their items in long form, by position.
 
-    A receipt may have any number of items, so they are not folded into an array; the sort
-    is by range over (receipt, position, item) and splits a large receipt.
+    A receipt may have any number of items, so they are not folded into an array. The order
+    is within a receipt only and follows the join's partitions, without a shuffle of its own.
     """
     lines = items.select(
         F.col("receiptId").alias("id"), F.col("id").alias("itemId"), "position",
@@ -62,7 +62,8 @@ def receipt_detail(receipts: DataFrame, items: DataFrame) -> DataFrame:
         "quantity", "unitPriceMinor", "totalPriceMinor", "userEdited")
     heads = receipts.select("id", "status", "transactionDate", "merchantNormalized",
                             "currency", "totalMinor")
-    return heads.join(lines, "id", "left").orderBy("id", "position", "itemId")
+    return heads.join(lines, "id", "left").sortWithinPartitions(
+        "id", "position", "itemId")
 
 
 def pending_count(receipts: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -330,14 +330,14 @@ def validate_snapshots(rows: DataFrame, column: str = "snapshot") -> DataFrame:
     return _validate(rows, column, SNAPSHOT_FIELDS, rules_of, SERVER)
 
 
-def upload_violations() -> Column:
+def upload_violations(size: Column | None = None) -> Column:
     """Broken rules of an upload row: request fields, then its bytes."""
     content = F.col("content")
     return _collect({
         "receipt_id": F.col("receiptId").rlike(r"\A[A-Za-z0-9_-]{1,64}\z"),
         "locale": F.col("locale").isin(*SUPPORTED_LOCALES),
         "currency": is_currency(F.col("currency")),
-        "too_large": F.octet_length(content) <= MAX_UPLOAD_BYTES,
+        "too_large": (F.octet_length(content) if size is None else size) <= MAX_UPLOAD_BYTES,
         "type_mismatch": F.col("contentType") == F.col("mimeType"),
         "not_jpeg_type": F.col("mimeType") == "image/jpeg",
         "not_jpeg_bytes": F.hex(F.substring(content, 1, 3)) == "FFD8FF",

@@ -183,7 +183,8 @@ def call_model(requests: DataFrame, call: Callable[[bytes, str, str], str]) -> D
     """Runs an injected model over job rows (job_id, receipt_id, content, mimeType, prompt).
 
     ``call(content, mime_type, prompt)`` returns the reply text. An error becomes a failure
-    class and does not stop the other rows of its task.
+    class and does not stop the other rows of its task. Missing content or a missing file is a file
+    error; an unreachable model is ``ModelUnavailable`` or any ``OSError``.
     """
     schema = "job_id string, receipt_id string, reply string, failure string"
 
@@ -199,18 +200,24 @@ def call_model(requests: DataFrame, call: Callable[[bytes, str, str], str]) -> D
     return requests.select(*columns).mapInPandas(run, schema)
 
 
+class ModelUnavailable(Exception):
+    """The model cannot be reached or answers with an error of its own; raised by the callable."""
+
+
 def _safe_call(call, arguments) -> tuple[str | None, str | None]:
+    if arguments[0] is None:
+        return None, "file"
     try:
         return call(*arguments), None
     except LookupError:
         return None, "lookup"
     except TimeoutError:
         return None, "timeout"
-    except ConnectionError:
+    except FileNotFoundError:
+        return None, "file"
+    except (ModelUnavailable, OSError):  # HTTP clients derive their errors from OSError
         return None, "http"
     except ValueError:
         return None, "invalid"
-    except OSError:
-        return None, "file"
     except Exception:  # any other error of a provider
         return None, "other"

@@ -15,10 +15,15 @@ from tillspark.session import cut_lineage
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files as path, length and content; oversized files are dropped unread."""
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(path)
-            .where(F.col("length") <= MAX_UPLOAD_BYTES)
-            .select("path", "length", "content"))
+    """Every file as path, length and content, whatever its name.
+
+    The bytes of oversized files are not read; their content is null and their length makes
+    them ``too_large`` in ``checked_uploads``.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    fits = F.col("length") <= MAX_UPLOAD_BYTES
+    return files.where(fits).select("path", "length", "content").unionByName(
+        files.where(~fits).select("path", "length", F.lit(None).cast("binary").alias("content")))
 
 
 def stored_path(file_hash: Column, thumbnail: bool = False) -> Column:
@@ -28,8 +33,11 @@ def stored_path(file_hash: Column, thumbnail: bool = False) -> Column:
 
 def checked_uploads(uploads: DataFrame) -> DataFrame:
     """Adds ``hash``, ``size`` and the broken rules; reads the bytes once."""
-    return settle(uploads, hash=F.sha2("content", 256), size=F.octet_length("content").cast("long"),
-                  violations=upload_violations())
+    size = F.octet_length("content").cast("long")
+    if "length" in uploads.columns:
+        size = F.coalesce(size, F.col("length"))
+    return settle(uploads, hash=F.sha2("content", 256), size=size,
+                  violations=upload_violations(size))
 
 
 def rejected_uploads(checked: DataFrame) -> DataFrame:

@@ -3,8 +3,7 @@
 A row is accepted when its assumed state equals the state its document has at that moment,
 and then sets the new one. Rows of one document depend on each other, documents do not.
 
-A document with few rows is folded as one small ordered array. For a hot document the rows
-are cut in chunks of consecutive order numbers. Each row is a function from the state before
+Rows are cut in chunks of consecutive order numbers. Each row is a function from the state before
 to the state after; a chunk is the composition of its rows, kept as a table of
 (entry state, exit state) that leaves every other state as it is. Neighbouring chunks are
 composed by an equi-join on the state between them, in a binary tree, until a document has
@@ -20,11 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillspark.functions.text import canonical_json, sha256_hex
-from tillspark.model import OWNER_ID
+from tillspark.model import OWNER_ID, REPLICATED_COLLECTIONS
 from tillspark.session import cut_lineage
 
 NO_STATE = "none"
-FOLD_ROWS = 1024
 CHUNK_ROWS = 1_000_000
 _CHUNK = ["document_id", "chunk"]
 
@@ -36,31 +34,33 @@ def state_key(document_json: Column) -> Column:
         sha256_hex(canonical))
 
 
-def push(rows: DataFrame, masters: DataFrame, fold_rows: int = FOLD_ROWS,
-         chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Decides every pushed row.
+def batch_faults(rows: DataFrame, collection: str) -> DataFrame:
+    """(ord, reason) of the rows that make the whole batch invalid."""
+    known = collection in REPLICATED_COLLECTIONS
+    reason = F.lit("unknown_collection") if not known else F.when(
+        F.coalesce("document_id", F.lit("")) == "", "blank_id")
+    return rows.select("ord", reason.alias("reason")).where(F.col("reason").isNotNull())
 
-    Documents with more than ``fold_rows`` rows are hot; their chunks span ``chunk_rows``.
+
+def push(rows: DataFrame, masters: DataFrame, chunk_rows: int = CHUNK_ROWS,
+         collection: str = "receipts") -> DataFrame:
+    """Decides every pushed row of a batch; a batch with any invalid row is refused whole.
+
+    Chunks span ``chunk_rows`` order numbers. A document within one chunk needs no tree.
 
     ``rows``: ord (unique, in push order), document_id, assumed_json, new_json.
     ``masters``: document_id, document_json, one row for each stored document.
     Returns ord, document_id, new_json, accepted, and ``writer``: the ord of the row that
     had set the state met by this one, null for the stored master.
     """
+    if collection not in REPLICATED_COLLECTIONS or not batch_faults(rows, collection).isEmpty():
+        raise ValueError("Every pushed document needs a known collection and an id")
     keyed = rows.select(
         "ord", "document_id", state_key(F.col("assumed_json")).alias("assumed"),
         state_key(F.col("new_json")).alias("new"))
     stored = masters.select("document_id",
                             state_key(F.col("document_json")).alias("master"))
-    hot = (keyed.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
-           .where(F.col("n") > fold_rows).select("document_id"))
-    hot = cut_lineage(hot, "push-hot")
-    cold = _fold(keyed.join(hot, "document_id", "left_anti"), stored)
-    if hot.isEmpty():
-        decided = cold
-    else:
-        decided = cold.unionByName(_push_hot(keyed.join(hot, "document_id", "left_semi"),
-                                             stored, chunk_rows))
+    decided = _decided(keyed, stored, chunk_rows)
     return decided.join(rows.select("ord", "document_id", "new_json"), ["ord", "document_id"])
 
 
@@ -94,30 +94,6 @@ def conflicts(decided: DataFrame, rows: DataFrame, masters: DataFrame) -> DataFr
     return by_push.select(*columns).unionByName(by_master.select(*columns))
 
 
-def _fold(keyed: DataFrame, stored: DataFrame) -> DataFrame:
-    """Folds documents that are known to have a small number of rows."""
-    arrays = keyed.groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "assumed", "new"))).alias("steps"))
-    started = arrays.join(stored, "document_id", "left").withColumn(
-        "entry", F.coalesce("master", F.lit(NO_STATE)))
-    start = F.struct(
-        F.col("entry").alias("state"), F.lit(None).cast("long").alias("writer"),
-        F.array().cast("array<struct<ord:bigint,accepted:boolean,writer:bigint>>")
-        .alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        hit = acc["state"] == row["assumed"]
-        result = F.struct(row["ord"].alias("ord"), hit.alias("accepted"),
-                          acc["writer"].alias("writer"))
-        return F.struct(
-            F.when(hit, row["new"]).otherwise(acc["state"]).alias("state"),
-            F.when(hit, row["ord"]).otherwise(acc["writer"]).alias("writer"),
-            F.array_append(acc["out"], result).alias("out"))
-
-    folded = started.select("document_id", F.aggregate("steps", start, step)["out"].alias("out"))
-    return folded.select("document_id", F.inline("out"))
-
-
 def _chunk_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(entry, exit) table of each chunk from rows sorted by chunk and descending order.
 
@@ -194,15 +170,16 @@ def _replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "writer": pd.array(writers, dtype="Int64")})
 
 
-def _push_hot(keyed: DataFrame, stored: DataFrame, chunk_rows: int) -> DataFrame:
-    chunked = keyed.withColumn("chunk", F.floor(F.col("ord") / chunk_rows).cast("long"))
+def _decided(keyed: DataFrame, stored: DataFrame, chunk_rows: int) -> DataFrame:
+    chunked = cut_lineage(keyed.withColumn(
+        "chunk", F.floor(F.col("ord") / chunk_rows).cast("long")), "push-rows")
     tables = (chunked.repartition(*_CHUNK)
               .sortWithinPartitions("document_id", "chunk", F.desc("ord"))
               .mapInPandas(_chunk_tables, "document_id string, chunk long, entry string, "
                                           "exit string, exit_writer long"))
     levels = [cut_lineage(tables, "push-level")]
     chunks = cut_lineage(levels[0].select(*_CHUNK).distinct(), "push-chunks")
-    depth = int(chunks.agg(F.max("chunk")).first()[0]).bit_length()
+    depth = int(chunks.agg(F.max("chunk")).first()[0] or 0).bit_length()
     for _ in range(depth - 1):
         levels.append(cut_lineage(_compose(levels[-1]), "push-level"))
     entries = stored.select(

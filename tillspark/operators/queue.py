@@ -207,8 +207,10 @@ def client_outcome(jobs: DataFrame, results: DataFrame, now: datetime) -> DataFr
         F.when(failed & ~terminal, retry_at)
         .when(~failed & ~done, F.col("nextAttemptAt")).alias("nextAttemptAt"),
         F.when(failed, F.when(F.col("error_code") == "network", "job_failed")
-               .otherwise(F.col("error_code"))).alias("lastErrorCode"),
-        F.when(failed, cut(F.col("message"), ERROR_MESSAGE_MAX)).alias("lastErrorMessage"),
+               .otherwise(F.col("error_code")))
+        .when(~done, F.col("lastErrorCode")).alias("lastErrorCode"),
+        F.when(failed, cut(F.col("message"), ERROR_MESSAGE_MAX))
+        .when(~done, F.col("lastErrorMessage")).alias("lastErrorMessage"),
         "createdAt", stamp.alias("updatedAt"),
         F.when(terminal, "failed").when(failed, "pending").when(done, "uploaded")
         .alias("imageStatus"))

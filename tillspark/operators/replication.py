@@ -13,12 +13,17 @@ DOCUMENT_KEYS = ["collection_name", "document_id"]
 
 
 def current_state(changes: DataFrame) -> DataFrame:
-    """Newest version of each document, tombstones included."""
-    return latest(changes, DOCUMENT_KEYS, "server_sequence")
+    """Newest version of each document, tombstones included.
 
-
-def live_documents(changes: DataFrame) -> DataFrame:
-    return current_state(changes).where(~F.col("is_deleted"))
+    ``created_at``, where the log has it, is the one of the document's first version.
+    """
+    if "created_at" not in changes.columns:
+        return latest(changes, DOCUMENT_KEYS, "server_sequence")
+    rest = [c for c in changes.columns if c not in (*DOCUMENT_KEYS, "created_at")]
+    return changes.groupBy(*DOCUMENT_KEYS).agg(
+        F.max_by(F.struct(*rest), "server_sequence").alias("_row"),
+        F.min_by("created_at", "server_sequence").alias("created_at"),
+    ).select(*DOCUMENT_KEYS, "_row.*", "created_at")
 
 
 def tombstones(changes: DataFrame) -> DataFrame:
@@ -31,7 +36,8 @@ def pull(changes: DataFrame, collection: str, checkpoint: int = 0,
 
     A document belongs to the page iff it has a version past the checkpoint, and its newest
     version is then past it too. So the sequence filter can run before the newest version is
-    taken and prunes the log scan to its tail.
+    taken and prunes the log scan to its tail. A page has no creation times, which the tail
+    does not know.
     """
     if not 1 <= batch_size <= PULL_BATCH_MAX:
         raise ValueError(f"batch_size must be in 1..{PULL_BATCH_MAX}")
@@ -39,7 +45,7 @@ def pull(changes: DataFrame, collection: str, checkpoint: int = 0,
         raise ValueError("checkpoint must not be negative")
     tail = changes.where((F.col("collection_name") == collection)
                          & (F.col("server_sequence") > checkpoint))
-    return current_state(tail).orderBy("server_sequence").limit(batch_size)
+    return current_state(tail.drop("created_at")).orderBy("server_sequence").limit(batch_size)
 
 
 def next_checkpoint(page: DataFrame, checkpoint: int) -> DataFrame:
@@ -108,11 +114,6 @@ def lww_versions(versions: DataFrame, keys: list[str]) -> DataFrame:
         F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
 
 
-def same_document(left: Column, right: Column) -> Column:
-    """Null-safe equality; field order does not matter."""
-    return left.eqNullSafe(right)
-
-
 def conflict_audit(resolved: DataFrame, collection: Column, document_id: Column,
                    resolved_at: str) -> DataFrame:
     """One audit row for each resolved conflict."""

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from tillspark.functions.dates import iso_micros
 from tillspark.model import SUPPORTED_LOCALES
-from tillspark.operators import contract, extraction
+from tillspark.operators import bridge, contract, extraction, queue, step
 from tillspark.plans import views
 from tillspark.sources import adapter
 
 NOW = datetime(2001, 8, 15, 9, 30, 0, 250000)
 STAMP = iso_micros(NOW)
+LAST_SEQUENCE = 5_000_000
 
 
 def _receipts(s, d):
@@ -108,7 +110,53 @@ def _snapshot_rejects(s, d):
         "id", F.array_join("violations", ",").alias("violations"))
 
 
+def _log(s, d):
+    """All receipts and items as log rows."""
+    both = bridge.documents(_receipts(s, d), "receipts").unionByName(
+        bridge.documents(_items(s, d), "receipt_items"))
+    return bridge.append(both, 0, STAMP)
+
+
+def _answer(content, mime_type, prompt):
+    """A model that knows only the number of its receipt, and sometimes fails."""
+    number = int(content)
+    if number % 11 == 0:
+        raise extraction.ModelUnavailable("busy")
+    if number % 7 == 0:
+        return "no receipt"
+    item = {"rawName": "THING", "normalizedName": "", "quantity": 1, "unitPriceMinor": number,
+            "totalPriceMinor": number, "categoryId": "other", "confidence": 0.5}
+    return json.dumps({
+        "schemaVersion": 1, "documentType": "receipt",
+        "merchant": {"rawName": "SHOP", "normalizedName": "Shop"}, "transactionDate": None,
+        "currency": "EUR", "subtotalMinor": None, "taxMinor": None, "discountMinor": None,
+        "totalMinor": number, "categoryId": "other", "items": [item], "confidence": 0.5,
+        "warnings": []})
+
+
+def _step(s, d):
+    receipts = _receipts(s, d)
+    claimed = queue.due(adapter.extraction_jobs(s, d), NOW).withColumn(
+        "status", F.lit("processing"))
+    content = receipts.select(F.col("imageHash").alias("hash"),
+                              F.col("id").cast("binary").alias("content"))
+    return step.extraction_step(
+        _log(s, d), claimed, content, _answer, NOW, "ollama", "vision:latest", LAST_SEQUENCE,
+        F.concat("receipt_id", F.lit("-new-"), F.col("position").cast("string")))
+
+
 QUERIES = {
+    "log_receipts": lambda s, d: bridge.typed(_log(s, d), "receipts").where("NOT _deleted").drop(
+        "warnings", "ai", "subtotalMinor", "taxMinor", "discountMinor", "overallConfidence",
+        "_deleted"),
+    "log_items": lambda s, d: bridge.typed(_log(s, d), "receipt_items").where(
+        "NOT _deleted").drop("confidence", "_deleted"),
+    "sequence_allocation": lambda s, d: _log(s, d).select(
+        "collection_name", "document_id", "server_sequence"),
+    "extraction_step_jobs": lambda s, d: _step(s, d)[1].select(
+        "id", "status", "attempts", "last_error_code"),
+    "extraction_step_changes": lambda s, d: _step(s, d)[0].select(
+        "collection_name", "document_id", "is_deleted", "server_sequence"),
     "extraction_valid": _valid,
     "extraction_rejects": _rejects(),
     "extraction_rejects_client": _rejects(contract.CLIENT),
@@ -147,6 +195,34 @@ _LINES = """lines AS (
   FROM (SELECT receipt_id, okey, unnest(range(1, okey % 5 + 1)) AS n FROM judged
     WHERE NOT skip))"""
 
+_CODES = {kind: (code, int(counted)) for kind, code, _, _, counted in queue.FAILURES}
+_STEP = f"""step AS (
+  SELECT j.id, j.receipt_id, j.attempts,
+    CASE WHEN r.status = 'confirmed' OR k % 50 = 3 THEN 'skipped'
+      WHEN r."imageHash" <> j.image_hash THEN 'invalid' WHEN k % 11 = 0 THEN 'http'
+      WHEN k % 7 = 0 THEN 'invalid' WHEN edited.rid IS NOT NULL THEN 'skipped'
+      ELSE 'completed' END AS way
+  FROM (SELECT *, CAST(receipt_id AS BIGINT) AS k FROM jobs WHERE status = 'pending'
+    AND (next_attempt_at IS NULL OR next_attempt_at <= '{STAMP}')) j
+  JOIN receipts r ON r.id = j.receipt_id
+  LEFT JOIN (SELECT DISTINCT "receiptId" AS rid FROM items
+    WHERE "userEdited" AND position <> 6) edited ON edited.rid = j.receipt_id)"""
+_STEP_JOBS = f"""SELECT id, CASE WHEN way IN ('skipped', 'completed') THEN way
+    WHEN tries >= 5 THEN 'failed' ELSE 'pending' END AS status, tries AS attempts, code
+    AS last_error_code
+FROM (SELECT *, attempts + CASE way WHEN 'invalid' THEN {_CODES["invalid"][1]}
+    WHEN 'http' THEN {_CODES["http"][1]} ELSE 0 END AS tries,
+    CASE way WHEN 'invalid' THEN '{_CODES["invalid"][0]}' WHEN 'http' THEN '{_CODES["http"][0]}'
+      WHEN 'skipped' THEN 'user_edited' END AS code FROM step)"""
+_STEP_CHANGES = f"""SELECT collection_name, document_id, is_deleted, {LAST_SEQUENCE}
+  + row_number() OVER (ORDER BY collection_name, document_id) AS server_sequence
+FROM (SELECT 'receipts' AS collection_name, receipt_id AS document_id, FALSE AS is_deleted
+  FROM step WHERE way = 'completed'
+  UNION ALL SELECT 'receipt_items', i.id, TRUE FROM items i JOIN step s
+    ON s.receipt_id = i."receiptId" AND s.way = 'completed' WHERE i.position <> 6
+  UNION ALL SELECT 'receipt_items', receipt_id || '-new-0', FALSE FROM step
+  WHERE way = 'completed')"""
+
 _CANDIDATES = """candidates AS (
   SELECT r.id, r."imageHash", r.currency, CAST(r.id AS BIGINT) AS okey,
     CAST(r.id AS BIGINT) % 6 = 1 OR (r.status = 'queued' AND r."totalMinor" IS NULL
@@ -160,6 +236,18 @@ _PROMPT = extraction.RECEIPT_PROMPT.replace("'", "''").replace("{locale}", "en-G
     "{currency}", "EUR")
 
 ORACLE = {
+    "log_receipts": views.sql(
+        "SELECT * FROM receipts WHERE CAST(id AS BIGINT) % 50 <> 3", views.RECEIPTS),
+    "log_items": views.sql("SELECT * FROM items WHERE position <> 6", views.ITEMS),
+    "sequence_allocation": views.sql(
+        """SELECT collection_name, document_id,
+  row_number() OVER (ORDER BY collection_name, document_id) AS server_sequence
+FROM (SELECT 'receipts' AS collection_name, id AS document_id FROM receipts
+  UNION ALL SELECT 'receipt_items', id FROM items)""", views.RECEIPTS, views.ITEMS),
+    "extraction_step_jobs": views.sql(
+        _STEP_JOBS, views.JOBS, views.RECEIPTS, views.ITEMS, _STEP),
+    "extraction_step_changes": views.sql(
+        _STEP_CHANGES, views.JOBS, views.RECEIPTS, views.ITEMS, _STEP),
     "extraction_valid": views.sql(
         """SELECT job_id, receipt_id, merchant_raw AS "merchantRaw",
   tx_date AS "transactionDate", 'EUR' AS currency, CAST(0 AS BIGINT) AS "taxMinor",

@@ -187,9 +187,11 @@ FROM client_jobs""", views.CLIENT_JOBS),
   CASE WHEN failed AND NOT terminal THEN strftime(TIMESTAMP '1998-06-15 12:00:00'
       + to_minutes([1, 1, 2, 4, 8, 16, 32, 60, 60, 60][tries + 1]), {views.ISO_MS})
     WHEN NOT failed AND NOT done THEN "nextAttemptAt" END AS "nextAttemptAt",
-  CASE WHEN failed THEN CASE code WHEN 'network' THEN 'job_failed' ELSE code END END
-    AS "lastErrorCode",
-  CASE WHEN failed THEN left(repeat('broken ', 60), 300) END AS "lastErrorMessage",
+  CASE WHEN failed THEN CASE code WHEN 'network' THEN 'job_failed' ELSE code END
+    WHEN NOT done AND CAST(substr(id, 4) AS BIGINT) % 6 = 0 THEN '503' END AS "lastErrorCode",
+  CASE WHEN failed THEN left(repeat('broken ', 60), 300)
+    WHEN NOT done AND CAST(substr(id, 4) AS BIGINT) % 6 = 0 THEN 'unavailable before' END
+    AS "lastErrorMessage",
   "createdAt", '{STAMP_MS}' AS "updatedAt",
   CASE WHEN terminal THEN 'failed' WHEN failed THEN 'pending' WHEN done THEN 'uploaded' END
     AS "imageStatus"

@@ -16,7 +16,7 @@ WIDTH = 700
 
 
 def _changes(s, d):
-    return adapter.changes(s, d).drop("owner_id", "created_at")
+    return adapter.changes(s, d).drop("owner_id")
 
 
 def _document(code, document):
@@ -65,6 +65,11 @@ def _conflicts(*sizes):
     return run
 
 
+def _rejected_batch(s, d):
+    blank = F.when(F.col("ord") % 1009 != 5, F.col("document_id"))
+    return push.batch_faults(pushed_rows(s, d).withColumn("document_id", blank), "receipts")
+
+
 def _pairs(s, d):
     incoming = adapter.incoming_documents(s, d)
     parsed = adapter.parsed_changes(incoming)
@@ -117,8 +122,9 @@ QUERIES = {
     "write_documents": _written,
     "push_accept": _accepted(),
     "push_conflicts": _conflicts(),
-    "push_accept_chunked": _accepted(40, 5000),
-    "push_conflicts_chunked": _conflicts(40, 5000),
+    "push_accept_chunked": _accepted(5000),
+    "push_conflicts_chunked": _conflicts(5000),
+    "push_rejected_batch": _rejected_batch,
     "lww_winner": _winner,
     "lww_versions": _lww_versions,
     "conflict_audit": lambda s, d: replication.conflict_audit(
@@ -129,7 +135,9 @@ QUERIES = {
 _CURRENT = """current AS (
   SELECT * EXCLUDE (back, status, "updatedByDevice", "updatedAt"), "updatedAt" AS updated_at
   FROM (SELECT *, row_number() OVER (PARTITION BY collection_name, document_id
-    ORDER BY server_sequence DESC) AS back FROM changes) WHERE back = 1)"""
+    ORDER BY server_sequence DESC) AS back, first_value("updatedAt") OVER (
+      PARTITION BY collection_name, document_id ORDER BY server_sequence) AS created_at
+    FROM changes) WHERE back = 1)"""
 
 _PAGE = f"""page AS (SELECT * FROM current WHERE collection_name = 'receipts'
   AND server_sequence > {CHECKPOINT} ORDER BY server_sequence LIMIT {BATCH})"""
@@ -178,7 +186,7 @@ won AS (SELECT *, lt > rt OR (lt = rt AND ld >= rd) AS local_wins FROM paired
 ORACLE = {
     "current_state": views.sql("SELECT * FROM current", views.INCOMING, _CURRENT),
     "tombstones": views.sql("SELECT * FROM current WHERE is_deleted", views.INCOMING, _CURRENT),
-    "pull_page": views.sql("SELECT * FROM page", views.INCOMING, _CURRENT, _PAGE),
+    "pull_page": views.sql("SELECT * EXCLUDE (created_at) FROM page", views.INCOMING, _CURRENT, _PAGE),
     "pull_checkpoint": views.sql(
         f"SELECT coalesce(max(server_sequence), {CHECKPOINT}) AS sequence FROM page",
         views.INCOMING, _CURRENT, _PAGE),
@@ -193,6 +201,8 @@ FROM incoming WHERE collection_name = 'settings'""", views.INCOMING),
     "push_conflicts": _CONFLICTS,
     "push_accept_chunked": _ACCEPTED,
     "push_conflicts_chunked": _CONFLICTS,
+    "push_rejected_batch": """SELECT event_id AS ord, 'blank_id' AS reason FROM events
+WHERE event_id % 1009 = 5""",
     "lww_winner": views.sql(
         """SELECT document_id, server_sequence,
   CASE WHEN local_wins THEN 'local' ELSE 'remote' END AS winner,

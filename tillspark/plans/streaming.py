@@ -26,7 +26,7 @@ def _incoming(s, d):
 
 def _state(s, d):
     base = work_dir(s, "state")
-    changes = _incoming(s, d).drop("owner_id", "created_at")
+    changes = _incoming(s, d).drop("owner_id")
     replicate.follow_state(changes, f"{base}/out", f"{base}/checkpoint")
     return replicate.followed_state(s, f"{base}/out")
 

@@ -99,7 +99,8 @@ CLIENT_JOBS = f"""client_jobs AS (
     CAST(o_orderkey % 9 AS INTEGER) AS attempts,
     CASE WHEN o_orderkey % 3 <> 0 THEN strftime(o_orderdate + INTERVAL 1 DAY, {ISO_MS}) END
       AS "nextAttemptAt",
-    CAST(NULL AS VARCHAR) AS "lastErrorCode", CAST(NULL AS VARCHAR) AS "lastErrorMessage",
+    CASE WHEN o_orderkey % 6 = 0 THEN '503' END AS "lastErrorCode",
+    CASE WHEN o_orderkey % 6 = 0 THEN 'unavailable before' END AS "lastErrorMessage",
     strftime(o_orderdate, {ISO_MS}) AS "createdAt",
     strftime(o_orderdate, {ISO_MS}) AS "updatedAt"
   FROM orders WHERE o_orderkey % 2 = 0)"""

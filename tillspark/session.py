@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str, master: str = "local[*]", shuffle_partitions: int = 8,
                   **conf: str) -> SparkSession:
-    """A session for tests and the bench; a cluster brings its own."""
+    """A session for tests and the bench; a cluster brings its own.
+
+    Python workers of local executors find this package through PYTHONPATH.
+    """
+    package_root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if package_root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([package_root, *filter(None, paths)])
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -33,21 +40,30 @@ def build_session(app: str, master: str = "local[*]", shuffle_partitions: int =
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    Taken from ``spark.checkpoint.dir``. A machine-local folder is a fallback for
-    local mode only; on a cluster it would lose data with its executor.
+    Taken from ``spark.checkpoint.dir``. Where that is unset it is a folder of the warehouse,
+    which executors share as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     root = root or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.gettempdir()
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+
+
+def run_root(spark: SparkSession) -> str:
+    """The parent of all that this application writes there."""
+    return f"{shared_root(spark).rstrip('/')}/tillspark-{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Deletes what this application wrote there; its intermediate tables are gone after that."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_root(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(path):
+        files.delete(path, True)
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder; nothing is created or deleted."""
-    return f"{shared_root(spark).rstrip('/')}/tillspark-{label}-{uuid.uuid4().hex}"
+    return f"{run_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

@@ -201,7 +201,8 @@ def client_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 3 != 0, F.date_format(F.expr("o_orderdate + interval 1 day"),
                                            "yyyy-MM-dd'T'HH:mm:ss.000'Z'"))
         .alias("nextAttemptAt"),
-        _none().alias("lastErrorCode"), _none().alias("lastErrorMessage"),
+        F.when(key % 6 == 0, "503").alias("lastErrorCode"),
+        F.when(key % 6 == 0, "unavailable before").alias("lastErrorMessage"),
         created.alias("createdAt"), created.alias("updatedAt"))
 
 

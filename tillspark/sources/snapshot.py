@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
@@ -56,15 +57,23 @@ def restore(spark: SparkSession, path: str, destination: str, names: list[str])
     """Verifies a snapshot, copies it beside the destination and swaps it in by rename."""
     if not verify(spark, path, names).where("NOT matches").isEmpty():
         raise ValueError(f"Snapshot {path} failed its integrity check")
-    staging = f"{destination}.restore"
+    mark = uuid.uuid4().hex
+    staging, replaced = f"{destination}.restore-{mark}", f"{destination}.replaced-{mark}"
     for name, df in read_snapshot(spark, path, names).items():
         df.write.parquet(f"{staging}/{name}")
+    spark.read.parquet(f"{path}/_manifest").write.parquet(f"{staging}/_manifest")
+    if not verify(spark, staging, names).where("NOT matches").isEmpty():
+        raise ValueError(f"The copy {staging} failed its integrity check")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(destination)
+    target, old, new = (hadoop.Path(p) for p in (destination, replaced, staging))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, hadoop.Path(f"{destination}.replaced"))
-    fs.rename(hadoop.Path(staging), target)
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"{destination} could not be set aside")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"{staging} could not be moved to {destination}")
 
 
 def export(tables: dict[str, DataFrame], path: str, exported_at: str,

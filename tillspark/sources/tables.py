@@ -24,7 +24,7 @@ PARTITIONS = {"receipts": "tx_month"}
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Read one table with its declared schema and the folder column it is split by."""
-    schema = T.StructType(SCHEMAS[name].fields)
+    schema = T.StructType([*SCHEMAS[name].fields])
     if name in PARTITIONS:
         schema = schema.add(PARTITIONS[name], T.StringType())
     return spark.read.schema(schema).parquet(f"{root}/{name}")

@@ -31,9 +31,11 @@ def follow_state(changes: DataFrame, output: str, checkpoint: str) -> None:
 
 
 def followed_state(spark: SparkSession, output: str) -> DataFrame:
-    """Current state from the folders of all batches."""
-    versions = spark.read.parquet(output).drop("batch")
-    return latest(versions, replication.DOCUMENT_KEYS, "server_sequence")
+    """Current state from the folders of all batches.
+
+    A batch's row has the first creation time in that batch, so the earliest batch's stays.
+    """
+    return replication.current_state(spark.read.parquet(output).drop("batch"))
 
 
 def compact_state(spark: SparkSession, output: str, compacted: str) -> None:
