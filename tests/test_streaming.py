@@ -84,3 +84,21 @@ def test_live_comparison_over_batches(spark):
             datetime(2026, 7, 14, 12), "category", f"{base}/out", f"{base}/cp")
     row = replicate.latest_comparison(spark, f"{base}/out").first()
     assert (row.total, row.previousTotal, row["count"]) == (200, 100, 2)
+
+
+def test_live_comparison_takes_edits_and_deletions_back(spark):
+    base = work_dir(spark, "test")
+    schema = ("id string, transactionDate string, totalMinor long, categoryId string, "
+              "merchantNormalized string, merchantRaw string, server_sequence long, "
+              "_deleted boolean")
+    versions = [("a", "2026-07-01", 100, "home", 1, False), ("b", "2026-07-02", 50, "home", 2, False),
+                ("a", "2026-07-01", 30, "food", 3, False), ("b", "2026-07-02", 50, "home", 4, True),
+                ("a", "2026-07-01", 999, "home", 2, False)]  # the last one comes late
+    for v in versions:
+        row = (v[0], v[1], v[2], v[3], "M", None, v[4], v[5])
+        spark.createDataFrame([row], schema).write.mode("append").parquet(f"{base}/log")
+        replicate.live_comparison(
+            stream_parquet(spark, f"{base}/log", spark.createDataFrame([], schema).schema),
+            datetime(2026, 7, 14, 12), "category", f"{base}/out", f"{base}/cp")
+    rows = replicate.latest_comparison(spark, f"{base}/out").collect()
+    assert [(r.id, r.total, r["count"]) for r in rows] == [("food", 30, 1)]

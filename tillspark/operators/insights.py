@@ -75,6 +75,33 @@ def comparison(receipts: DataFrame, now: datetime, dimension: str) -> DataFrame:
     return _with_change(keyed.groupBy("id").agg(*_measures()))
 
 
+def contributions(receipts: DataFrame, now: datetime, dimension: str) -> DataFrame:
+    """What each receipt adds to ``comparison``: nothing (a null key) outside both periods and
+    for deleted ones. Columns id, server_sequence, key, total, count, previousTotal, rows."""
+    period = dates.comparable_period(now)
+    day = F.col("transactionDate")
+    amount = F.coalesce(F.col("totalMinor"), F.lit(0))
+    good = (F.col("totalMinor").isNotNull() & (F.coalesce(day, F.lit("")) != "")
+            & dates.is_real_date(day) & ~F.coalesce("_deleted", F.lit(False)))
+    current = F.coalesce(good & dates.text_between(
+        day, period.start, period.last_counted), F.lit(False))
+    previous = F.coalesce(good & ~current & dates.text_between(
+        day, period.previous_start, period.previous_end), F.lit(False))
+    return receipts.select(
+        "id", "server_sequence", F.when(current | previous, _keys()[dimension]).alias("key"),
+        F.when(current, amount).otherwise(0).alias("total"),
+        current.cast("long").alias("count"),
+        F.when(previous, amount).otherwise(0).alias("previousTotal"),
+        (current | previous).cast("long").alias("rows"))
+
+
+def compared(deltas: DataFrame) -> DataFrame:
+    """The comparison from any number of contributions and their retractions."""
+    sums = deltas.where(F.col("key").isNotNull()).groupBy(F.col("key").alias("id")).agg(
+        *[F.sum(c).alias(c) for c in ("total", "count", "previousTotal", "rows")])
+    return _with_change(sums.where("rows > 0").drop("rows"))
+
+
 def comparison_all(receipts: DataFrame, now: datetime) -> DataFrame:
     """Totals, categories and merchants from a single pass over the receipts."""
     keyed = _both_periods(receipts, now).withColumns(_keys())

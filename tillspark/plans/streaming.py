@@ -55,10 +55,18 @@ def _limiter(s, d):
 
 
 def _live(s, d):
+    """Every receipt with wrong figures first, then as it is, then some tombstones."""
     base = work_dir(s, "live")
-    receipts = adapter.receipts_from(_stream(s, d, "orders"), s, d)
-    replicate.live_comparison(receipts, adapter.NOW, insights.CATEGORY, f"{base}/out",
-                              f"{base}/checkpoint")
+    wrong = {"totalMinor": F.col("totalMinor") + 777, "categoryId": F.lit("household")}
+    rounds = ((0, wrong), (1, {}), (2, {"_deleted": F.lit(True)}))
+    for number, changed in rounds:
+        receipts = adapter.receipts_from(_stream(s, d, "orders"), s, d)
+        if number == 2:
+            receipts = receipts.where(F.col("id").cast("long") % 50 == 3)
+        versions = receipts.withColumns(
+            {"server_sequence": F.lit(number).cast("long"), **changed})
+        replicate.live_comparison(versions, adapter.NOW, insights.CATEGORY, f"{base}/out",
+                                  f"{base}/checkpoint-{number}", str(number))
     return replicate.latest_comparison(s, f"{base}/out")
 
 
@@ -78,5 +86,6 @@ ORACLE = {
         views.INCOMING),
     "stream_transitions": replication_plans.ORACLE["status_transitions"],
     "stream_failure_limiter": maintenance_plans.FAILURE_LIMITER,
-    "stream_category_comparison": insight_plans.ORACLE["category_comparison"],
+    "stream_category_comparison": insight_plans.ORACLE["category_comparison"].replace(
+        "FROM orders", "FROM (SELECT * FROM orders WHERE o_orderkey % 50 <> 3) orders"),
 }

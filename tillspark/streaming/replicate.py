@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tillspark.model import REPLICATED_COLLECTIONS
 from tillspark.operators import insights, replication
 from tillspark.operators.ordered import latest
-from tillspark.streaming.sources import rocksdb_state, run_available
+from tillspark.streaming.sources import run_available
 
 
 def _replicated(changes: DataFrame) -> DataFrame:
@@ -62,21 +62,48 @@ def notify(changes: DataFrame, output: str, checkpoint: str) -> None:
     run_available(changes.writeStream.foreachBatch(write), checkpoint)
 
 
-def live_comparison(receipts: DataFrame, now: datetime, dimension: str, output: str,
-                    checkpoint: str) -> None:
-    """Category or merchant comparison kept up to date from a stream of new receipts.
+_STATE = ("id string, server_sequence long, key string, total long, count long, "
+          "previousTotal long, rows long")
+_ADDED = ("total", "count", "previousTotal", "rows")
+
 
-    The stream state holds one row for each key; each batch writes the keys it changed.
+def live_comparison(receipts: DataFrame, now: datetime, dimension: str, output: str,
+                    checkpoint: str, label: str = "") -> None:
+    """Category or merchant comparison kept up to date from a stream of receipt versions.
+
+    A receipt's last contribution is kept; a newer version, or its deletion, takes that back
+    and adds its own. Versions are ordered by ``server_sequence`` and may come late;
+    ``_deleted`` marks tombstones (both optional). Each micro-batch writes its contributions
+    and its deltas to folders of its own, which a repeated batch overwrites. ``label`` tells
+    several streams into one ``output`` apart.
     """
-    compared = insights.comparison(receipts, now, dimension)
+    spark = receipts.sparkSession
+    for name, value in (("server_sequence", F.lit(0).cast("long")), ("_deleted", F.lit(False))):
+        if name not in receipts.columns:
+            receipts = receipts.withColumn(name, value)
+    empty = spark.createDataFrame([], _STATE)
+    for part in ("state", "deltas"):
+        empty.write.mode("ignore").parquet(f"{output}/{part}/part=start")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
-
-    with rocksdb_state(receipts.sparkSession):
-        run_available(compared.writeStream.outputMode("update").foreachBatch(write), checkpoint)
+        own = f"{label}-{batch_id}"
+        seen = batch.sparkSession.read.schema(f"{_STATE}, part string").parquet(
+            f"{output}/state").where(F.col("part") != own).drop("part")
+        new = latest(insights.contributions(batch, now, dimension), ["id"], "server_sequence")
+        old = latest(seen.join(new.select("id"), "id", "left_semi"), ["id"], "server_sequence")
+        known = old.select("id", F.col("server_sequence").alias("known"))
+        fresh = new.join(known, "id", "left").where(
+            F.col("known").isNull() | (F.col("server_sequence") >= F.col("known")))
+        fresh.drop("known").write.mode("overwrite").parquet(f"{output}/state/part={own}")
+        fresh = batch.sparkSession.read.schema(_STATE).parquet(f"{output}/state/part={own}")
+        gone = old.join(fresh.select("id"), "id", "left_semi").select(
+            "id", "server_sequence", "key", *[(-F.col(c)).alias(c) for c in _ADDED])
+        fresh.unionByName(gone).write.mode("overwrite").parquet(f"{output}/deltas/part={own}")
+
+    run_available(receipts.writeStream.foreachBatch(write), checkpoint)
 
 
 def latest_comparison(spark: SparkSession, output: str) -> DataFrame:
-    """The last value of each key over all batches."""
-    return latest(spark.read.parquet(output), ["id"], "batch").drop("batch")
+    """The comparison after all batches."""
+    return insights.compared(spark.read.schema(f"{_STATE}, part string").parquet(
+        f"{output}/deltas"))
