@@ -10,7 +10,7 @@ sys.path.insert(0, __file__.rsplit("/", 2)[0])
 
 from tests.comparison import connect, difference  # noqa: E402
 from tillspark.plans import registry  # noqa: E402
-from tillspark.session import build_session  # noqa: E402
+from tillspark.session import build_session, clear_work  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
 wanted = sys.argv[2:]
@@ -20,7 +20,8 @@ if os.environ.get("CHECK_PLAIN"):  # a session without any of our settings
         .config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
 else:
-    spark = build_session("check", "local[8]")
+    spark = build_session(
+        "check", "local[8]", **{"spark.checkpoint.dir": "/tmp/tillspark-check"})
 con = connect(sf_dir)
 oracle = registry.oracle_sql()
 failed = 0
@@ -39,4 +40,5 @@ for name, run in registry.queries().items():
         text = f"ERROR {str(error)[:700]}"
     failed += not text.startswith(("ok", "no sql"))
     print(f"{name:32s} {time.time() - begin:6.2f}s  {text}", flush=True)
+clear_work(spark)
 print("failed", failed)

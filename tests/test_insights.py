@@ -130,3 +130,20 @@ def test_declared_schema_field_counts():
         ("audit", model.AUDIT_EVENTS), ("extraction_jobs", model.EXTRACTION_JOBS))}
     assert sizes == {"receipts": 19, "items": 13, "images": 9, "jobs": 10, "settings": 9,
                      "audit": 6, "extraction_jobs": 13}
+
+
+def test_the_snapshot_hash_sees_every_figure(spark):
+    heads, items = sample(spark)
+
+    def digest(heads, items, now=NOON, locale="en-GB"):
+        rows = insights.snapshot_measures(heads, items, now, locale)
+        return insights.dataset_hash(rows, ["section", "id", *insights.SNAPSHOT_FIGURES],
+                                     "en").first().datasetHash
+
+    whole = digest(heads, items)
+    assert whole == digest(heads.repartition(3), items.repartition(2))
+    dearer = items.withColumn("unitPriceMinor", F.col("unitPriceMinor") + 1)
+    more = items.withColumn("quantity", F.col("quantity") + 0.5)
+    others = [digest(heads, dearer), digest(heads, more), digest(heads, items, locale="fr-FR"),
+              digest(heads, items, NOON.replace(day=13))]
+    assert len({whole, *others}) == 5

@@ -170,7 +170,7 @@ def product_findings(receipts: DataFrame, items: DataFrame, now: datetime) -> Da
     dated = usable(receipts).select(F.col("id").alias("receiptId"), day,
                                     dates.in_current(day, period).alias("in_current"))
     lines = _named_items(items).select(
-        "receiptId", "id", "name", "unitPriceMinor", "totalPriceMinor").join(
+        "receiptId", "id", "name", "unitPriceMinor", "totalPriceMinor", "quantity").join(
         dated, "receiptId", "left")
     current = F.coalesce("in_current", F.lit(False))
     priced = F.col("unitPriceMinor").isNotNull()
@@ -178,6 +178,7 @@ def product_findings(receipts: DataFrame, items: DataFrame, now: datetime) -> Da
     grouped = lines.groupBy(F.col("name").alias("id")).agg(
         F.sum(F.when(current, F.coalesce("totalPriceMinor", F.lit(0)))).alias("total"),
         F.count(F.when(current, 1)).alias("frequency"),
+        F.sum(F.when(current, F.coalesce("quantity", F.lit(1.0)))).alias("quantity"),
         F.max_by("unitPriceMinor", order).alias("latest"),
         F.sum("unitPriceMinor").alias("price_sum"), F.count("unitPriceMinor")
         .alias("observations"))
@@ -332,6 +333,43 @@ def snapshot_rows(receipts: DataFrame, items: DataFrame, now: datetime) -> DataF
     return sections.unionByName(products).unionByName(prices)
 
 
+SNAPSHOT_FIGURES = ("total", "count", "previousTotal", "quantityThousandths", "latest",
+                    "previousAverage")
+
+
+def snapshot_measures(receipts: DataFrame, items: DataFrame, now: datetime,
+                      locale: str) -> DataFrame:
+    """All that the snapshot says as (section, id, whole figures as text, blank where none).
+
+    Differences and percentages follow from these. One pass over the receipts, one over the
+    items; the period and the locale are rows of their own.
+    """
+    def entry(section, present=True, **figures):
+        return F.struct(
+            F.lit(section).alias("section") if isinstance(section, str) else
+            section.alias("section"), F.col("id").alias("id"),
+            F.lit(present).alias("present") if isinstance(present, bool) else
+            F.coalesce(present, F.lit(False)).alias("present"),
+            *[F.coalesce(figures.get(n, F.lit(None)).cast("string"), F.lit("")).alias(n)
+              for n in SNAPSHOT_FIGURES])
+
+    compared = comparison_all(receipts, now).select(F.array(entry(
+        F.col("dimension"), total=F.col("total"), count=F.col("count"),
+        previousTotal=F.col("previousTotal"))).alias("entries"))
+    products = product_findings(receipts, items, now).select(F.array(
+        entry("items", F.col("frequency") > 0, total=F.col("total"), count=F.col("frequency"),
+              quantityThousandths=F.round(F.col("quantity") * 1000).cast("long")),
+        entry("priceChanges", F.col("observations") >= 2, latest=F.col("latest"),
+              previousAverage=F.col("previousAverage"))).alias("entries"))
+    period = dates.comparable_period(now)
+    bounds = (period.start, period.end, period.previous_start, period.previous_end)
+    texts = (("period", " ".join(b.isoformat() for b in bounds)), ("locale", locale))
+    frame = receipts.sparkSession.createDataFrame(list(texts), "kind string, id string")
+    settings = frame.select(F.array(entry(F.col("kind"))).alias("entries"))
+    return compared.unionByName(products).unionByName(settings).select(
+        F.inline("entries")).where("present").drop("present")
+
+
 def dataset_hash(rows: DataFrame, columns: list[str], language: str) -> DataFrame:
     """SHA-256 over a row multiset: independent of order, one partial sum for each task.
 

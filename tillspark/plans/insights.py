@@ -33,13 +33,8 @@ def _prices(s, d):
 
 
 def _snapshot_hash(s, d):
-    compared = insights.comparison_all(_receipts(s, d), NOW)
-    products = _products(s, d).selectExpr("'items' AS dimension", "id", "total",
-                                          "frequency AS count", "0L AS previousTotal")
-    rows = compared.select("dimension", "id", "total", "count", "previousTotal") \
-        .unionByName(products)
-    return insights.dataset_hash(
-        rows, ["dimension", "id", "total", "count", "previousTotal"], "en")
+    rows = insights.snapshot_measures(_receipts(s, d), _items(s, d), NOW, "en-GB")
+    return insights.dataset_hash(rows, ["section", "id", *insights.SNAPSHOT_FIGURES], "en")
 
 
 def _snapshot_rows(s, d):
@@ -236,11 +231,24 @@ UNION ALL SELECT 'priceChanges', id, NULL, difference FROM prices""",
     "snapshot_hash": views.sql(
         f"""SELECT count(*) AS rows, sha256('en|' || count(*) || '|' || {_LANES})
   AS "datasetHash"
-FROM (SELECT sha256(concat_ws(chr(31), dimension, id, total, count, "previousTotal")) AS digest
-  FROM (SELECT 'category' AS dimension, * FROM by_category UNION ALL
-    SELECT 'merchant', * FROM by_merchant UNION ALL
-    SELECT 'all', 'all', total, count, "previousTotal" FROM by_nothing UNION ALL
-    SELECT 'items', id, total, frequency, 0 FROM products))""",
+FROM (SELECT sha256(concat_ws(chr(31), section, id, coalesce(CAST(total AS VARCHAR), ''),
+    coalesce(CAST(count AS VARCHAR), ''), coalesce(CAST("previousTotal" AS VARCHAR), ''),
+    coalesce(CAST(thousandths AS VARCHAR), ''), coalesce(CAST(latest AS VARCHAR), ''),
+    coalesce(CAST(average AS VARCHAR), ''))) AS digest
+  FROM (SELECT 'category' AS section, id, total, count, "previousTotal",
+      CAST(NULL AS BIGINT) AS thousandths, CAST(NULL AS BIGINT) AS latest,
+      CAST(NULL AS BIGINT) AS average FROM by_category UNION ALL
+    SELECT 'merchant', id, total, count, "previousTotal", NULL, NULL, NULL
+      FROM by_merchant UNION ALL
+    SELECT 'all', 'all', total, count, "previousTotal", NULL, NULL, NULL
+      FROM by_nothing UNION ALL
+    SELECT 'items', id, total, frequency, NULL, CAST(round(quantity * 1000) AS BIGINT), NULL,
+      NULL FROM products UNION ALL
+    SELECT 'priceChanges', id, NULL, NULL, NULL, NULL, latest, "previousAverage"
+      FROM prices UNION ALL
+    SELECT 'period', '2001-07-01 2001-07-14 2001-06-01 2001-06-14', NULL, NULL, NULL, NULL,
+      NULL, NULL UNION ALL
+    SELECT 'locale', 'en-GB', NULL, NULL, NULL, NULL, NULL, NULL))""",
         views.RECEIPTS, views.ITEMS, _flagged(), _grouped("category", "by_category"),
-        _grouped("merchant", "by_merchant"), _grouped("1", "by_nothing"), PRODUCTS),
+        _grouped("merchant", "by_merchant"), _grouped("1", "by_nothing"), PRODUCTS, PRICES),
 }
