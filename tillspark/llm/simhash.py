@@ -27,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from tillspark.llm.common import annotate, arrow_schema, record, table, tasks_for, texts_of, utf8
 from tillspark.llm.components import connected_components
@@ -298,8 +297,10 @@ def components(prints: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataF
                           "simhash-classes")
     labels = connected_components(edges(classes.select("fp"), budget, hot))
     named = classes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
-    named = named.withColumn("label", F.coalesce("label", "fp"))
-    named = named.withColumn("component_id", F.min("first").over(Window.partitionBy("label")))
+    named = cut_lineage(named.withColumn("label", F.coalesce("label", "fp")), "simhash-named")
+    # An aggregate and a join, not a window: a component may hold a third of all fingerprints.
+    first = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = named.join(first, "label")
     return prints.join(named.select("fp", "component_id"), "fp").select(
         "doc_id", "fp", "component_id")
 
