@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillspark.operators.ordered import CHUNK_WIDTH, with_last_marked, with_previous
+from tillspark.session import cut_lineage
 
 LIMIT, WINDOW_SECONDS = 10, 300
 CELLS = 64
@@ -59,9 +60,11 @@ def limit_failures(attempts: DataFrame, limit: int = LIMIT, seconds: int = WINDO
                    width: int = CHUNK_WIDTH) -> DataFrame:
     """Decides every attempt. ``attempts``: key, ord (unique, in time order), at_micros, failed."""
     window = seconds * 1_000_000
-    bounded = _bounded_failures(attempts, window)
+    # Each step uses its input twice; written tables keep them from computing it again and again.
+    bounded = cut_lineage(_bounded_failures(attempts, window), "limiter-bounds")
     clears = ~F.col("failed") & (F.col("bound") < limit)
-    after = with_previous(bounded, ["key"], "ord", clears, "cleared", width)
+    after = cut_lineage(with_previous(bounded, ["key"], "ord", clears, "cleared", width),
+                        "limiter-cleared")
     quiet = (F.col("bound") - F.col("failed").cast("long")) == 0
     starts = quiet | F.coalesce("cleared", F.lit(False))
     segments = with_last_marked(after, ["key"], "ord", starts, "segment", width)

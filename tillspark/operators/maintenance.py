@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tillspark.functions import money, text
 from tillspark.functions.dates import iso_millis
 from tillspark.model import CLIENT_JOBS, IMAGES, RECEIPT_ITEMS, RECEIPTS, SETTINGS
+from tillspark.session import cut_lineage
 
 # The settings row of a new archive.
 DEFAULT_SETTINGS = ("singleton", "en-GB", "auto", "auto", "EUR", None, 20.0, 1000, None)
@@ -143,7 +144,7 @@ def cascade_delete(ids: DataFrame, receipts: DataFrame, items: DataFrame, images
                    jobs: DataFrame) -> DataFrame:
     """What a deletion removes: (collection, documentId) of the receipts, all their items and
     jobs, and the first image found of each."""
-    gone = ids.select(F.col("id").alias("receiptId")).distinct()
+    gone = cut_lineage(ids.select(F.col("id").alias("receiptId")).distinct(), "cascade-ids")
 
     def named(collection: str, document_id: str, frame: DataFrame) -> DataFrame:
         return frame.select(F.lit(collection).alias("collection"),

@@ -70,7 +70,7 @@ def _candidates(s, d):
     receipts = _receipts(s, d).withColumns({
         "status": F.when(key % 6 == 1, "processing").otherwise(F.col("status")),
         "userConfirmed": (F.col("status") == "queued") & F.col("totalMinor").isNull()})
-    return extraction.backfill(receipts, adapter.extraction_jobs(s, d),
+    return extraction.backfill(receipts, adapter.extraction_jobs(s, d, gaps=True),
                                adapter.stored_images(s, d))
 
 
@@ -300,10 +300,10 @@ WHERE j.status = 'pending' AND r.status <> 'confirmed' AND CAST(r.id AS BIGINT)
         views.JOBS, views.RECEIPTS),
     "backfill": views.sql(
         """SELECT id AS receipt_id, "imageHash" AS image_hash, 'en-GB' AS locale, currency
-FROM candidates""", views.RECEIPTS, views.JOBS, views.IMAGES, _CANDIDATES),
+FROM candidates""", views.RECEIPTS, views.SOME_JOBS, views.SOME_IMAGES, _CANDIDATES),
     "backfill_receipts": views.sql(
         f"""SELECT id, 'queued' AS status, FALSE AS "userConfirmed", '{STAMP}' AS "updatedAt"
-FROM candidates WHERE reset""", views.RECEIPTS, views.JOBS, views.IMAGES, _CANDIDATES),
+FROM candidates WHERE reset""", views.RECEIPTS, views.SOME_JOBS, views.SOME_IMAGES, _CANDIDATES),
     "summary_rejects": """SELECT doc_id, violations FROM (SELECT doc_id, concat_ws(',',
   CASE WHEN doc_id % 11 = 0 THEN 'extra_key' END,
   CASE WHEN doc_id % 6 > 3 THEN 'observations' END,

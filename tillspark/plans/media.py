@@ -69,7 +69,7 @@ QUERIES = {
     "image_lookup": _lookup,
     "output_size": _sizes,
     "image_upsert": lambda s, d: intake.upsert_remote_images(
-        adapter.images(s, d), _arrivals(s, d), NOW),
+        adapter.images(s, d, gaps=True), _arrivals(s, d), NOW),
     "url_audit": lambda s, d: audit_endpoints(adapter.urls(s, d)),
 }
 
@@ -122,7 +122,7 @@ LEFT JOIN (SELECT DISTINCT hash, size_bytes FROM uploads WHERE upload_id % 2 = 0
 FROM images i FULL JOIN (
   SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS id, CAST(o_orderkey AS VARCHAR) AS rid,
     CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey + 5000 END AS full_size
-  FROM orders WHERE o_orderkey % 2 = 0) a ON a.id = i.id""", views.IMAGES),
+  FROM orders WHERE o_orderkey % 2 = 0) a ON a.id = i.id""", views.SOME_IMAGES),
     "url_audit": views.sql(
         """SELECT page_id, cleaned AS url, CASE
     WHEN page_id % 10 = 6 OR contains(cleaned, '?') OR contains(cleaned, '#')

@@ -55,7 +55,7 @@ def _results(s, d):
 
 def _enqueue(s, d):
     new_id = F.concat(F.lit("new-"), F.col("receipt_id"))
-    return queue.enqueue(_jobs(s, d), _requests(s, d), "openai", NOW, new_id, 5000)
+    return queue.enqueue(adapter.extraction_jobs(s, d, gaps=True), _requests(s, d), "openai", NOW, new_id, 5000)
 
 
 QUERIES = {
@@ -72,7 +72,8 @@ QUERIES = {
     "job_failure": lambda s, d: queue.fail(_jobs(s, d), _failures(s, d), NOW),
     "job_entries": lambda s, d: queue.job_entries(_jobs(s, d)),
     "receipt_jobs": lambda s, d: queue.receipt_jobs(
-        adapter.receipts(s, d).select("id", "status"), _jobs(s, d)),
+        adapter.receipts(s, d).select("id", "status"),
+        adapter.extraction_jobs(s, d, gaps=True)),
     "client_backoff": lambda s, d: adapter.client_jobs(s, d).select(
         "id", "attempts", queue.backoff_minutes(F.col("attempts")).alias("minutes")),
     "client_due": lambda s, d: queue.client_due(adapter.client_jobs(s, d), NOW).select(
@@ -124,7 +125,7 @@ ORACLE = {
   {_reset("'pending'", "status")}, {_reset("0", "attempts")},
   {_reset("NULL", "next_attempt_at")}, {_reset("NULL", "last_error_code")},
   {_reset("NULL", "last_error_message")}, coalesce(created_at, '{STAMP}') AS created_at,
-  {_reset(f"'{STAMP}'", "updated_at")} FROM merged""", views.JOBS, _WANTED),
+  {_reset(f"'{STAMP}'", "updated_at")} FROM merged""", views.SOME_JOBS, _WANTED),
     "job_due": views.sql(f"SELECT * FROM jobs WHERE {_DUE}", views.JOBS),
     "job_claim": views.sql(
         f"""SELECT * REPLACE ('processing' AS status, '{STAMP}' AS updated_at)
@@ -167,7 +168,7 @@ WHERE status = 'processing'""", views.JOBS),
     "receipt_jobs": views.sql(
         """SELECT r.id, r.status, j.id AS "jobId", j.status AS "jobStatus", j.attempts,
   j.last_error_code AS "lastErrorCode"
-FROM receipts r LEFT JOIN jobs j ON j.receipt_id = r.id""", views.RECEIPTS, views.JOBS),
+FROM receipts r LEFT JOIN jobs j ON j.receipt_id = r.id""", views.RECEIPTS, views.SOME_JOBS),
     "client_backoff": views.sql(
         """SELECT id, attempts,
   [1, 1, 2, 4, 8, 16, 32, 60, 60][attempts + 1] AS minutes FROM client_jobs""",

@@ -69,8 +69,8 @@ PUSHED = """pushed AS (
 
 ATTEMPTS = """attempts AS (
   SELECT CAST(user_id AS VARCHAR) AS key, event_id AS ord, epoch_us(ts) AS at_micros,
-    event_type = 'error' AS failed
-  FROM events WHERE event_type IN ('error', 'signup'))"""
+    event_type IN ('error', 'click', 'view') AS failed
+  FROM events)"""
 
 JOBS = """jobs AS (
   SELECT 'job-' || o_orderkey AS id, CAST(o_orderkey AS VARCHAR) AS receipt_id,
@@ -80,14 +80,15 @@ JOBS = """jobs AS (
     ['pending', 'processing', 'completed', 'failed'][CAST(o_orderkey % 4 + 1 AS INTEGER)]
       AS status,
     CAST(o_orderkey % 7 AS INTEGER) AS attempts,
-    CASE WHEN o_orderkey % 2 <> 0 THEN
+    CASE WHEN o_orderkey % 6 < 4 THEN
       strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S.000000Z') END
       AS next_attempt_at,
     CASE WHEN o_orderkey % 4 = 3 THEN 'worker_error' END AS last_error_code,
     CASE WHEN o_orderkey % 4 = 3 THEN 'AI extraction failed' END AS last_error_message,
     strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000000Z') AS created_at,
     strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000000Z') AS updated_at
-  FROM orders WHERE o_orderkey % 3 = 0)"""
+  FROM orders)"""
+SOME_JOBS = JOBS.removesuffix(")") + " WHERE o_orderkey % 3 = 0)"
 
 CLIENT_JOBS = f"""client_jobs AS (
   SELECT 'up-' || o_orderkey AS id,
@@ -103,7 +104,7 @@ CLIENT_JOBS = f"""client_jobs AS (
     CASE WHEN o_orderkey % 6 = 0 THEN 'unavailable before' END AS "lastErrorMessage",
     strftime(o_orderdate, {ISO_MS}) AS "createdAt",
     strftime(o_orderdate, {ISO_MS}) AS "updatedAt"
-  FROM orders WHERE o_orderkey % 2 = 0)"""
+  FROM orders)"""
 
 IMAGES = f"""images AS (
   SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS id,
@@ -116,7 +117,8 @@ IMAGES = f"""images AS (
     CASE WHEN o_orderkey % 3 = 0 THEN 'uploaded' ELSE 'pending' END AS "remoteStatus",
     CAST(NULL AS VARCHAR) AS "remoteFileId",
     strftime(o_orderdate, {ISO_MS}) AS "createdAt"
-  FROM orders WHERE o_orderkey % 4 <> 0)"""
+  FROM orders)"""
+SOME_IMAGES = IMAGES.removesuffix(")") + " WHERE o_orderkey % 4 <> 0)"
 
 UPLOADS = r"""uploads AS (
   SELECT doc_id AS upload_id, sha256(content) AS hash, octet_length(content) AS size_bytes,
@@ -155,7 +157,7 @@ EXTRACTIONS = """extractions AS (
     CAST(round(o_totalprice * 100) AS BIGINT)
       * CASE WHEN o_orderkey % 13 = 0 THEN -1 ELSE 1 END AS total,
     o_orderkey % 7 = 0 AS cut, o_orderkey % 29 = 0 AS extra
-  FROM orders WHERE o_orderkey % 3 = 0)"""
+  FROM orders)"""
 
 
 def sql(query: str, *views: str) -> str:

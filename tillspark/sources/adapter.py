@@ -150,22 +150,25 @@ def push_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign-in attempts: an error is a failure, a sign-up a success."""
+    """Sign-in attempts, one for each event: errors, clicks and views are failures."""
     return attempts_from_events(_table(spark, sf_dir, "events"))
 
 
 def attempts_from_events(events: DataFrame) -> DataFrame:
-    return events.where(
-        F.col("event_type").isin("error", "signup")).select(
+    return events.select(
         F.col("user_id").cast("string").alias("key"),
         F.col("event_id").alias("ord"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros"),
-        (F.col("event_type") == "error").alias("failed"))
+        F.col("event_type").isin("error", "click", "view").alias("failed"))
 
 
-def extraction_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == 0)
+def extraction_jobs(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
+    """One job for each order; ``gaps`` leaves receipts without a job, where that is the case
+    to be looked at."""
+    orders = _table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
+    if gaps:
+        orders = orders.where(key % 3 == 0)
     statuses = F.array(*[F.lit(s) for s in ("pending", "processing", "completed", "failed")])
     created = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.000000'Z'")
     later = F.date_format(F.expr("o_orderdate + interval 1 day"),
@@ -179,15 +182,15 @@ def extraction_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("EUR").alias("currency"),
         F.get(statuses, (key % 4).cast("int")).alias("status"),
         (key % 7).cast("int").alias("attempts"),
-        F.when(key % 2 != 0, later).alias("next_attempt_at"),
+        F.when(key % 6 < 4, later).alias("next_attempt_at"),
         F.when(failed, "worker_error").alias("last_error_code"),
         F.when(failed, "AI extraction failed").alias("last_error_message"),
         created.alias("created_at"), created.alias("updated_at"))
 
 
 def client_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upload jobs of the client, one for each second order; some of other types."""
-    orders = _table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 2 == 0)
+    """Upload jobs of the client, one for each order; some of other types."""
+    orders = _table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     statuses = F.array(*[F.lit(s) for s in ("pending", "processing", "completed", "failed")])
     created = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.000'Z'")
@@ -206,10 +209,13 @@ def client_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         created.alias("createdAt"), created.alias("updatedAt"))
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image rows of the client for three of four orders, two for some receipts."""
-    orders = _table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 4 != 0)
+def images(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
+    """Image rows of the client, one for each order; some receipts have two and some none.
+    ``gaps`` leaves hashes without an image, where that is the case to be looked at."""
+    orders = _table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
+    if gaps:
+        orders = orders.where(key % 4 != 0)
     return orders.select(
         sha256_hex(key.cast("string")).alias("id"),
         F.when(key % 12 == 1, key + 1).otherwise(key).cast("string").alias("receiptId"),
@@ -223,8 +229,8 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model replies for the orders that have a job, well formed or broken by rule."""
-    orders = _table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == 0)
+    """Raw model replies for all orders, well formed or broken by rule."""
+    orders = _table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     total = _minor(F.col("o_totalprice"))
     items = F.transform(
@@ -256,8 +262,8 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes present in the image store."""
-    return images(spark, sf_dir).select(F.col("id").alias("hash"))
+    """Hashes present in the image store, which lacks some."""
+    return images(spark, sf_dir, gaps=True).select(F.col("id").alias("hash"))
 
 
 def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
