@@ -76,6 +76,41 @@ def test_a_passage_inside_other_text_goes_and_own_text_stays(spark):
         assert len(set(passage) & set(left)) < 36
 
 
+def test_the_first_copy_in_a_document_stays_for_lines_and_stretches(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, expected = [], {}
+    for g in range(30):
+        block = "\n".join(line(40) for _ in range(1 + g % 3))
+        own = [line(30) for _ in range(3)]
+        rows.append((2 * g, f"{own[0]}\n{block}\n{own[1]}\n{block}\n{block}"))
+        rows.append((2 * g + 1, f"{block}\n{own[2]}\n{block}"))
+        expected[2 * g] = f"{own[0]} {block} {own[1]}".split()
+        expected[2 * g + 1] = own[2].split()
+    out = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(
+        5)).select("row.doc_id", "text").collect()
+    assert {r.doc_id: r.text.split() for r in out} == expected
+
+
+def test_repeats_against_a_dictionary_in_text_order(spark, texts):
+    first, places = {}, defaultdict(set)
+    for doc_id, text in texts.items():
+        words = text.lower().split()
+        lines = [" ".join(x.split()) for x in text.lower().split("\n")]
+        _, _, edges, _ = repeats.cuts(text)
+        found = [(("line", x), -1 - i, i) for i, x in enumerate(lines) if len(x.split()) >= 5]
+        found += [(("stretch", " ".join(words[a:b])), i, i)
+                  for i, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        for unit, place, along in sorted(found, key=lambda f: f[2]):
+            if first.setdefault(unit, (doc_id, place)) != (doc_id, place):
+                places[doc_id].add(place)
+    found = defaultdict(set)
+    for r in repeats.repeated_units(table(spark, SF, "documents")).collect():
+        found[r.doc_id].add(r.place)
+    assert found == places
+
+
 # op2
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,8 @@ A document is cut into units twice: into its lines, and into short stretches of
 depend on the words alone (a stretch ends where a hash of two neighbouring words says so), so
 that a passage inside other text, or over several lines, is cut the same way wherever it stands.
 Units are normalised (lower case, single blanks) and grouped by a 128-bit digest over all
-documents. The occurrence that ranks first, by (doc_id, place), stays. The others go:
+documents. The occurrence that comes first, by doc_id and then by position in the text (for lines
+and stretches alike, so that both rules keep the same copy), stays. The others go:
 
 * a line of at least ``LINE_WORDS`` words, with its line break;
 * consecutive repeated stretches of at least ``RUN_WORDS`` words together.
@@ -142,7 +143,8 @@ def repeated_units(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
                 continue
             pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             owner, place = np.concatenate(owners), np.array(places, np.int32)
-            order = np.lexsort((place, owner, pair[:, 1], pair[:, 0]))
+            along = np.where(place < 0, -1 - place, place)
+            order = np.lexsort((along, owner, pair[:, 1], pair[:, 0]))
             pair, owner, place = pair[order], owner[order], place[order]
             again = np.r_[False, (pair[1:] == pair[:-1]).all(axis=1)]
             # A repeated row is the same document, and no repeat.
@@ -158,7 +160,8 @@ def repeated_units(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
     rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(
         F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _UNITS)
     ranked = rows.withColumn("rank", F.dense_rank().over(
-        Window.partitionBy("high", "low").orderBy("doc_id", "place")))
+        Window.partitionBy("high", "low").orderBy(
+            "doc_id", F.expr("if(place < 0, -1 - place, place)"))))
     return ranked.where("again or rank > 1").select("doc_id", "place")
 
 
