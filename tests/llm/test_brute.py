@@ -428,6 +428,41 @@ def test_near_copies_stay_once(spark):
     assert len(kept) <= 33
 
 
+def _copies(seed, groups, copies):
+    """(doc_id, text) rows: bases, copies of them and copies of copies, at likenesses of 0.6 to 1"""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for _ in range(groups):
+        made = [[word() for _ in range(120)]]
+        for _ in range(copies):
+            own = list(rng.choice(made))
+            for _ in range(rng.randrange(1, 7)):
+                own[rng.randrange(len(own))] = word()
+            made.append(own)
+        rows += [" ".join(own) for own in made]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def _first_of_each(rows):
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return sorted(set(label))
+
+
+def test_near_copies_by_exact_likeness(spark):
+    rows = _copies(17, 60, 6)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in nearcopies.keep_first(frame).collect())
+    assert kept == _first_of_each(rows)
+
+
 # op9
 
 def test_languages_held_out(spark):
