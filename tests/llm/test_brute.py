@@ -463,6 +463,30 @@ def test_near_copies_by_exact_likeness(spark):
     assert kept == _first_of_each(rows)
 
 
+def test_near_copy_links_do_not_depend_on_the_number_of_rows(spark):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    n, texts = 3_000, []
+    for _ in range(n):  # both copies are near the base (0.86) and not near each other (0.73)
+        base = [word() for _ in range(200)]
+        texts.append([base, list(base), list(base)])
+        for copy, places in ((1, (20, 60, 100)), (2, (40, 80, 120))):
+            for place in places:
+                texts[-1][copy][place] = word()
+    rows = [(order * n + i, " ".join(t[own])) for i, t in enumerate(texts)
+            for order, own in enumerate((1, 0, 2))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in nearcopies.keep_first(frame).select("doc_id").collect())
+    assert kept == list(range(n))
+
+
+def test_near_copies_are_removed_by_row(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
+    rows = [(1, a), (7, b), (7, a), (9, b)]
+    kept = nearcopies.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (7, b)]
+
+
 # op9
 
 def test_languages_held_out(spark):
