@@ -217,6 +217,18 @@ def test_next_documents(spark, texts, each):
         assert r.near_next == syncmers.likeness(syncmers.sketch(own), syncmers.sketch(following))
 
 
+@pytest.mark.parametrize("n", range(20, 32))
+def test_every_short_text_has_an_anchor(n):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    texts = [word() for _ in range(200)]
+    sketches = [syncmers.sketch(t) for t in texts]
+    assert all(s.any() for s in sketches)
+    # one anchor shows 22 bits of a text, so that two of them may agree by chance
+    assert len({syncmers.text_form(s) for s in sketches}) > len(set(texts)) - 3
+    assert all(syncmers.likeness(a, b) < 1 for a, b in zip(sketches, sketches[1:]))
+
+
 # op4
 
 def test_bpe_equals_the_library(texts):

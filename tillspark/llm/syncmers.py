@@ -13,7 +13,8 @@ each task's last row has to meet the first row of another task, in a small secon
 
 Edge cases: null and empty texts have no anchor and an empty fingerprint (all slots 0000); two
 empty fingerprints are alike 1, an empty and a filled one 0. A text shorter than k is one anchor,
-its whole. Rows with a null ``doc_id`` come first. The next document of a repeated row is the
+its whole. A short text none of whose k-mers is closed has its k-mer with the smallest hash as
+its anchor. Rows with a null ``doc_id`` come first. The next document of a repeated row is the
 repeat. A single row is its own next document. Only ``doc_id`` and ``text`` are read.
 """
 
@@ -36,8 +37,9 @@ _BASE = np.uint64(0x100000001B3)
 _PIECE = 1 << 20
 
 
-def _anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the closed syncmers of at least K code points."""
+def _anchors(codes: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes) of the closed syncmers of at least K code points; a whole text
+    without any has its k-mer with the smallest hash instead."""
     x = codes.astype(np.uint64)
     n = len(x) - S + 1
     small = np.zeros(n, np.uint64)
@@ -53,9 +55,14 @@ def _anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if reach < width:
         least = np.minimum(least[:count], least[width - reach:width - reach + count])
     closed = np.flatnonzero((small[:count] == least) | (small[width - 1:] == least))
+    every = whole and not len(closed)
+    if every:  # only below 2 * K - S - 1 code points
+        closed = np.arange(count)
     hashes = np.zeros(len(closed), np.uint64)
     for offset in [*range(0, K - S, S), K - S]:  # s-mers that cover the k-mer
         hashes = mix64(hashes * _BASE + small[closed + offset])
+    if every:
+        closed, hashes = closed[[np.argmin(hashes)]], hashes[[np.argmin(hashes)]]
     return closed, hashes
 
 
@@ -68,10 +75,10 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
         digest = hashlib.blake2b(utf8(text), digest_size=8).digest()
         return np.zeros(1, np.int64), np.frombuffer(digest, np.uint64)
     if len(codes) <= _PIECE:
-        return _anchors(codes)
+        return _anchors(codes, True)
     found = []
     for a in range(0, len(codes) - K + 1, _PIECE):
-        position, value = _anchors(codes[a:a + _PIECE + K - 1])
+        position, value = _anchors(codes[a:a + _PIECE + K - 1], False)
         found.append((position + a, value))
     return tuple(np.concatenate(c) for c in zip(*found))
 
