@@ -111,6 +111,25 @@ def test_repeats_against_a_dictionary_in_text_order(spark, texts):
     assert found == places
 
 
+def test_every_repeat_of_fifty_words_is_found(spark):
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, own, shared = [], {}, {}
+    for i in range(400):
+        passage = [word() for _ in range(50)]
+        for doc_id in (i, 1000 + i):
+            before, after = ([word() for _ in range(rng.randrange(30))] for _ in range(2))
+            own[doc_id], shared[doc_id] = {*before, *after}, passage
+            rows.append((doc_id, " ".join(before + passage + after)))
+    out = {r.doc_id: r.text.split() for r in repeats.remove_repeats(spark.createDataFrame(
+        rows, "doc_id long, text string")).select("row.doc_id", "text").collect()}
+    for doc_id, text in rows:
+        left = out[doc_id]
+        assert own[doc_id] <= set(left)
+        gone = len(set(shared[doc_id]) - set(left))
+        assert gone == 0 if doc_id < 1000 else gone >= 20
+
+
 # op2
 
 @pytest.fixture(scope="module")

@@ -1,8 +1,11 @@
 """Removal of repeated passages by hashing lines and stretches of lines.
 
 A document is cut into units twice: into its lines, and into short stretches of words whose ends
-depend on the words alone (a stretch ends where a hash of two neighbouring words says so), so
-that a passage inside other text, or over several lines, is cut the same way wherever it stands.
+depend on the words alone (a stretch ends where a hash of two neighbouring words is the least of
+some ``WINDOW`` in a row), so that a passage inside other text, or over several lines, is cut the
+same way wherever it stands, but for its first and last 2 * ``WINDOW`` words at most. Of a passage
+of 50 words at least 20 in a row are cut alike, whatever the words are: every such repeat is found.
+The words of a repeat before its first and after its last common cut stay.
 Units are normalised (lower case, single blanks) and grouped by a 128-bit digest over all
 documents. The occurrence that comes first, by doc_id and then by position in the text (for lines
 and stretches alike, so that both rules keep the same copy), stays. The others go:
@@ -37,9 +40,8 @@ from pyspark.sql.types import StructField, StructType
 from tillspark.llm.common import arrow_schema, in_groups, mix64, record, table, utf8
 
 LINE_WORDS = 5
-RUN_WORDS = 24
-STRETCH = 6
-LONGEST = 32
+RUN_WORDS = 20
+WINDOW = 8
 _WORD = re.compile(r"\S+")
 _BATCH_BYTES = 8_000_000
 
@@ -57,13 +59,12 @@ def cuts(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     crc = zlib.crc32
     marks = np.fromiter((crc(utf8(w)) for w in words), np.uint64, len(words))
     pair = mix64(marks + (np.r_[np.uint64(0), marks[:-1]] << np.uint64(32)))
-    ends = np.flatnonzero(pair % np.uint64(STRETCH) == 0) + 1
+    if len(words) <= WINDOW:
+        return words, lines, np.array([0, len(words)]), np.array(sizes)
+    # The last of the least ones in each window: there is a cut in every WINDOW words.
+    back = np.lib.stride_tricks.sliding_window_view(pair, WINDOW)[:, ::-1].argmin(axis=1)
+    ends = np.arange(len(back)) + WINDOW - back
     stretches = np.unique(np.r_[0, ends, len(words)])
-    # Where no pair of words ends a stretch (one word over and over), it ends after LONGEST.
-    wide = np.flatnonzero(np.diff(stretches) > LONGEST)
-    more = [np.arange(stretches[i], stretches[i + 1], LONGEST) for i in wide]
-    if more:
-        stretches = np.unique(np.concatenate([stretches, *more]))
     return words, lines, stretches, np.array(sizes)
 
 
