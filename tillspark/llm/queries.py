@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tillspark.llm import (bpe, chat, language, ogg, packing, pages, quality, repeats, simhash,
-                           syncmers)
+from tillspark.llm import (bpe, chat, codes, language, lexical, neighbours, ogg, packing, pages,
+                           quality, repeats, simhash, syncmers)
 
 QUERIES = {
     "op1_substring_dedup": repeats.op1_substring_dedup,
@@ -16,5 +16,13 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_language_id": language.op9_language_id,
     "op10_quality": quality.op10_quality,
+    "op11_vector_codes": codes.op11_vector_codes,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_neighbours": neighbours.op13_neighbours,
+}
+ORACLE = {
+    "op6_chat_format": chat.OP6_SQL,
+    "op11_vector_codes": codes.OP11_SQL,
+    "op12_lexical_search": lexical.OP12_SQL,
+    "op13_neighbours": neighbours.OP13_SQL,
 }
-ORACLE = {"op6_chat_format": chat.OP6_SQL}
