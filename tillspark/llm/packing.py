@@ -10,6 +10,9 @@ as the solution rounded down says; what is left is filled sequence by sequence w
 dynamic programme. Pieces are ranked within their length, and rank, pattern and copy give every
 piece its sequence and offset by arithmetic.
 
+Pieces of a length are ranked within ``BUCKETS`` hashed buckets, whatever their number, and a
+bucket's ranks are shifted by the sizes of those before it: no length is ranked in one task.
+
 Edge cases: null and empty texts hold the end mark alone. Repeated rows are packed each for
 themselves; rows with a null ``doc_id`` as well. An empty table packs into nothing. Ties within
 a length are broken by (doc_id, start, checksum); which of equal rows comes first has no effect
@@ -18,6 +21,7 @@ on the result. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -30,8 +34,7 @@ from tillspark.session import cut_lineage
 CAPACITY = 4096
 GRAIN = 64
 END_ID = 2
-RANKED_EACH = 200_000
-_STEPS = 3_000
+BUCKETS = 1_024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -102,17 +105,20 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, capacity: int
     """(times, counts of each size): the linear program's patterns, times not yet whole.
 
     Revised simplex over patterns. It starts with one pattern for each size and stops when no
-    pattern has a reduced cost, or after ``_STEPS`` steps with the best basis so far.
+    pattern has a reduced cost, or when the dual says that less than one sequence can be saved:
+    prices divided by the best pattern's price are a feasible dual, so the optimum is no less
+    than the present total divided by that price.
     """
     m = len(sizes)
     columns = np.diag(capacity // sizes).astype(float)
     inverse = np.linalg.inv(columns)
     level = inverse @ demand
     free = np.full(m, capacity, np.int64)
-    for step in range(_STEPS):
+    for step in itertools.count():
         prices = inverse.sum(axis=0)
         pattern = best_pattern(sizes, prices, free, capacity)
-        if prices @ pattern <= 1 + 1e-7:
+        price = prices @ pattern
+        if price <= 1 + 1e-7 or level.sum() * (1 - 1 / price) < 1:
             break
         direction = inverse @ pattern
         rising = direction > 1e-9
@@ -210,10 +216,8 @@ def places(sizes: np.ndarray, plan: list[tuple[int, np.ndarray]]) -> dict[int, t
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
     """The rows of ``cut`` (with ``length``) with ``sequence_id`` and ``offset``."""
-    total = cut.count()
-    buckets = max(1, -(-total // RANKED_EACH))
     keyed = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"),
-                                             F.lit(buckets)).cast("int"))
+                                             F.lit(BUCKETS)).cast("int"))
     sizes = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
