@@ -17,11 +17,14 @@ Shorter repeats are common speech and stay. The removed spans keep their offsets
 text, in code points.
 
 A batch first ranks its own units; only the first occurrence of a unit in a batch is compared
-with other batches, so a line that a third of all documents share costs one row for each batch.
+with other batches. Units that repeat within a batch are remembered by the task (a bounded number
+of them), and later batches send such a unit only if they hold an earlier occurrence. So a line
+that a third of all documents share costs about one row for each task.
 
 Edge cases: null texts stay null and empty ones empty, with no span. Rows with a null ``doc_id``
 are returned unchanged and rank nowhere. Rows with the same ``doc_id`` and text are the same
-document and are cut alike. A document whose text is all repeated keeps its row with an empty
+document and are cut alike; rows with one ``doc_id`` and different texts are different documents,
+ordered by a hash of the text and told apart by it. A document whose text is all repeated keeps its row with an empty
 text. Other columns pass through.
 """
 
@@ -39,7 +42,7 @@ from pyspark.sql.types import StructField, StructType
 
 from tillspark.llm.common import arrow_schema, in_groups, mix64, record, table, utf8
 
-LINE_WORDS = 5
+LINE_WORDS = 20
 RUN_WORDS = 20
 WINDOW = 8
 _WORD = re.compile(r"\S+")
@@ -124,56 +127,113 @@ def without(text: str, gone: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-_UNITS = "high long, low long, doc_id long, place int, again boolean"
+_UNITS = "high long, low long, doc_id long, code long"
+_REMEMBERED = 100_000
+
+
+def _along(place: np.ndarray) -> np.ndarray:
+    """What places are ordered by: the line's or the stretch's number."""
+    return np.where(place < 0, -1 - place, place)
+
+
+def _text_hash(text: str):
+    """31 bits that tell the texts of one ``doc_id`` apart."""
+    return F.xxhash64(F.col(text).cast("string")).bitwiseAND(F.lit((1 << 31) - 1))
+
+
+class _Earliest:
+    """First occurrences, so far in a task, of digests that repeat within a batch."""
+
+    def __init__(self):
+        self.of: dict[bytes, tuple] = {}
+        self.high = np.zeros(0, np.int64)
+
+    def later(self, digests: np.ndarray, at: tuple, first: np.ndarray, busy: np.ndarray
+              ) -> np.ndarray:
+        """Which of the batch's first occurrences come after one that was sent already.
+
+        ``at`` are the doc_id, text hash and order of all rows, ``first`` the places of first
+        occurrences and ``busy`` which of those repeat in the batch.
+        """
+        out = np.zeros(len(first), bool)
+        look = np.flatnonzero(busy | np.isin(digests[first, 0], self.high))
+        for i, row in zip(look.tolist(), first[look].tolist()):
+            key, own = digests[row].tobytes(), tuple(int(x[row]) for x in at)
+            if key not in self.of:
+                if busy[i] and len(self.of) < _REMEMBERED:
+                    self.of[key] = own
+            elif own > self.of[key]:
+                out[i] = True
+            else:
+                self.of[key] = own
+        if len(self.of) > len(self.high):
+            self.high = np.sort(np.frombuffer(b"".join(self.of), np.int64)[::2])
+        return out
 
 
 def repeated_units(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
-    """(doc_id, place) of every unit that is not its digest's first occurrence."""
+    """(doc_id, hash, place) of every unit that is not its digest's first occurrence.
+
+    ``code`` holds place (32 bits), text hash (31) and whether an earlier occurrence is known.
+    """
     schema = arrow_schema(_UNITS)
 
     def cut(batches):
+        earliest = _Earliest()
         for batch in in_groups(batches, "text", _BATCH_BYTES):
-            digests, owners, places = [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(),
-                                    batch.column("text").to_pylist()):
+            digests, owners, texts, places = [], [], [], []
+            for doc_id, text, own in zip(*(batch.column(c).to_pylist()
+                                           for c in ("doc_id", "text", "hash"))):
                 found, at = units(text, line_words)
                 digests += found
                 places += at
                 owners.append(np.full(len(at), doc_id, np.int64))
+                texts.append(np.full(len(at), own, np.int64))
             if not digests:
                 continue
             pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            owner, place = np.concatenate(owners), np.array(places, np.int32)
-            along = np.where(place < 0, -1 - place, place)
-            order = np.lexsort((along, owner, pair[:, 1], pair[:, 0]))
-            pair, owner, place = pair[order], owner[order], place[order]
+            owner, text, place = np.concatenate(owners), np.concatenate(texts), np.array(
+                places, np.int64)
+            order = np.lexsort((_along(place), text, owner, pair[:, 1], pair[:, 0]))
+            pair, owner, text, place = pair[order], owner[order], text[order], place[order]
             again = np.r_[False, (pair[1:] == pair[:-1]).all(axis=1)]
             # A repeated row is the same document, and no repeat.
-            same = np.r_[False, (owner[1:] == owner[:-1]) & (place[1:] == place[:-1])] & again
-            first = np.maximum.accumulate(np.where(~again, np.arange(len(again)), 0))
-            again &= (owner != owner[first]) | (place != place[first])
+            same = np.r_[False, (owner[1:] == owner[:-1]) & (text[1:] == text[:-1])
+                         & (place[1:] == place[:-1])] & again
+            lead = np.maximum.accumulate(np.where(~again, np.arange(len(again)), 0))
+            again &= (owner != owner[lead]) | (text != text[lead]) | (place != place[lead])
+            first = np.flatnonzero(lead == np.arange(len(lead)))
+            busy = np.add.reduceat(again, first) > 0
+            again[first] = earliest.later(pair, (owner, text, _along(place)), first, busy)
             pair = pair.copy()
             pair[again] = np.column_stack([mix64(owner[again]).view(np.int64), place[again]])
             keep = ~same
-            yield record(schema, pair[keep, 0], pair[keep, 1], owner[keep], place[keep],
-                         again[keep])
+            code = (place << 32) | (text << 1) | again
+            yield record(schema, pair[keep, 0], pair[keep, 1], owner[keep], code[keep])
 
     rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(
-        F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _UNITS)
+        F.col("doc_id").cast("long"), F.col("text").cast("string"),
+        _text_hash("text").alias("hash")).mapInArrow(cut, _UNITS)
+    place = F.shiftright("code", 32)
+    rows = rows.select("high", "low", "doc_id", "code", F.expr("(code & 1) = 1").alias("again"))
+    order = [F.col("doc_id"), F.expr("(code >> 1) & 2147483647"),
+             F.when(place < 0, -1 - place).otherwise(place)]
     ranked = rows.withColumn("rank", F.dense_rank().over(
-        Window.partitionBy("high", "low").orderBy(
-            "doc_id", F.expr("if(place < 0, -1 - place, place)"))))
-    return ranked.where("again or rank > 1").select("doc_id", "place")
+        Window.partitionBy("high", "low").orderBy(*order)))
+    return ranked.where("again or rank > 1").select(
+        "doc_id", F.expr("(code >> 1) & 2147483647").alias("hash"),
+        F.expr("cast(code >> 32 as int)").alias("place"))
 
 
 def remove_repeats(docs: DataFrame, line_words: int = LINE_WORDS,
                    run_words: int = RUN_WORDS) -> DataFrame:
     """(row, text, removed): rows whole, the text without repeats, and what went, by offset."""
-    places = repeated_units(docs, line_words).groupBy("doc_id").agg(
+    places = repeated_units(docs, line_words).groupBy("doc_id", "hash").agg(
         F.collect_set("place").alias("places"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"))
-    joined = rows.join(places.withColumnRenamed("doc_id", "_id"), "_id", "left").select(
-        "row", "places")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"),
+                       _text_hash("text").alias("_hash"))
+    joined = rows.join(places.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"),
+                                     "places"), ["_id", "_hash"], "left").select("row", "places")
     kind = StructType([StructField("row", docs.schema, False), *StructType.fromDDL(
         "text string, removed array<struct<start: int, length: int>>")])
     schema = to_arrow_schema(kind)
