@@ -12,7 +12,9 @@ comments and footers, under many tag and class names. It is trained once for eac
 and is the same every time.
 
 Edge cases: null and empty pages give an empty text, as do pages without any article block.
-Broken markup (open tags, stray ends, unclosed comments) is read as far as it goes. Repeated
+Broken markup (open tags, stray ends, unclosed comments) is read as far as it goes: a quote inside
+an unquoted value is a sign like any other, and a quoted value without a proper end stops at the
+first blank or ``>``. A page is read once from front to back, whatever stands in it. Repeated
 rows give repeated results. Only ``html`` is read, all columns pass through.
 """
 
@@ -22,6 +24,7 @@ import functools
 import html
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -35,7 +38,8 @@ PAGES, SEED = 1_600, 5
 _TOGETHER = 64
 
 # Names of HTML elements.
-_SKIPPED = "script|style|title|noscript|template|textarea|svg|math|iframe|object|canvas|select"
+_SKIPPED = frozenset(
+    "script style title noscript template textarea svg math iframe object canvas select".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt "
     "fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label "
@@ -46,129 +50,229 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
            "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = _BLOCKS - {"button", "label", "option", "optgroup"}
 
-_TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SKIPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|"
-    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_NAMES = re.compile(r"""(?:\b(class|id|role|style|type))\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|"""
-                    r"""(\bhidden\b|aria-hidden)""", re.I)
+_TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_SPACE = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"[^\s/>=][^\s/>=]*|=")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _LETTERS = re.compile(r"[a-z]+")
+_HIDES = re.compile(r"display\s*:\s*none", re.I)
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _SKIPPED}
+
+
+class Path:
+    """The open elements at a place. Grows by one element from its parent in constant time."""
+
+    __slots__ = ("tag", "depth", "slots", "leaf", "key", "linked")
+
+    def __init__(self, parent: Path | None, tag: str, names: tuple[str, ...]):
+        own, depth, key, linked = 0, 0, 0, False
+        if parent is not None:
+            own, depth, key, linked = parent.slots, parent.depth, parent.key, parent.linked
+        for token in (tag, *names):
+            own |= 1 << _slot(token, PATH_SLOTS)
+        self.tag, self.slots, self.depth = tag, own, depth + 1 + len(names)
+        self.leaf = names[-1] if names else tag
+        self.key, self.linked = hash((key, tag, names)), linked or tag == "a"
 
 
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple, text: str, linked: float):
+    def __init__(self, path: Path | None, text: str, linked: float):
         self.path, self.text, self.linked = path, text, linked
 
 
-def _names(attributes: str) -> tuple[str, ...]:
-    found = []
-    for name, value, hidden in _NAMES.findall(attributes):
-        if hidden:
-            found.append(".hidden")
-        elif name.lower() == "style":
-            found += [".hidden"] if re.search(r"display\s*:\s*none", value, re.I) else []
-        else:
-            found += ["." + w for w in _LETTERS.findall(value.lower()) if len(w) > 1]
-    return tuple(found)
+class _Tags:
+    """Reads the tags of a page, each sign a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        """Like ``str.find``; looks only once for what is not to come any more."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def value(self, at: int) -> tuple[str, int]:
+        """(value, end) of an attribute whose value begins at ``at``."""
+        page = self.page
+        sign = page[at:at + 1]
+        if sign in ("'", '"'):
+            end = self.find(sign, at + 1)
+            if end >= 0 and (page[end + 1:end + 2] in (" ", "\n", "\t", "\r", "\f", "/", ">", "")
+                             or page.find(">", at, end) < 0):
+                return page[at + 1:end], end + 1
+            at += 1
+        end = _BARE.match(page, at).end()
+        return page[at:end], end
+
+    def names(self, at: int) -> tuple[tuple[str, ...], int, bool]:
+        """(words of the telling attributes, place after ``>``, whether it closes itself)."""
+        page, found, size = self.page, [], len(self.page)
+        while True:
+            space = _SPACE.match(page, at)
+            at = space.end()
+            if at >= size:
+                return tuple(found), size, False
+            if page[at] == ">":
+                return tuple(found), at + 1, page[at - 1] == "/"
+            at = _ATTRIBUTE.match(page, at).end()
+            name = page[space.end():at].lower()
+            value, equals = "", _EQUALS.match(page, at)
+            if equals:
+                value, at = self.value(equals.end())
+            if name in ("hidden", "aria-hidden") or name == "style" and _HIDES.search(value):
+                found.append(".hidden")
+            elif name in ("class", "id", "role", "type"):
+                found += ["." + w for w in _LETTERS.findall(value.lower()) if len(w) > 1]
+
+    def __iter__(self):
+        """(start, end, name or None, whether it ends an element, attribute words)."""
+        page, at = self.page, 0
+        while (start := self.find("<", at)) >= 0 and self.find(">", start) >= 0:
+            if page.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(page)
+                yield start, at, None, False, ()
+            elif page[start + 1:start + 2] in ("!", "?"):
+                at = self.find(">", start) + 1
+                yield start, at, None, False, ()
+            elif name := _TAG_NAME.match(page, start + 1):
+                tag = name[0].lower()
+                words, at, itself = self.names(name.end())
+                if tag[0] == "/":
+                    yield start, at, tag[1:], True, ()
+                elif tag in _SKIPPED:
+                    if not itself:
+                        end = _ENDS[tag].search(page, at) if tag not in self.missing else None
+                        if not end:
+                            self.missing.add(tag)
+                        end = self.find(">", end.end()) if end else -1
+                        at = end + 1 if end >= 0 else len(page)
+                    yield start, at, None, False, ()
+                else:
+                    yield start, at, tag, False, words
+                    if itself and tag not in _VOID:
+                        yield at, at, tag, True, ()
+            else:
+                at = start + 1
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """All blocks with text, in page order."""
-    stack: list[tuple[str, tuple]] = []
-    blocks, parts, linked, at, path = [], [], 0, 0, None
+    stack: list[Path] = []
+    opened: Counter = Counter()
+    blocks, parts, linked, at, path, some = [], [], 0, 0, None, False
 
     def add(raw):
-        nonlocal linked, path
+        nonlocal linked, path, some
         if not raw:
             return
-        if path is None and not raw.isspace():
-            path = tuple(n for tag, names in stack for n in (tag, *names))
+        if not some and not raw.isspace():
+            path, some = stack[-1] if stack else None, True
         parts.append(raw)
-        if any(tag == "a" for tag, _ in stack):
+        if stack and stack[-1].linked:
             linked += len(raw)
 
     def close():
-        nonlocal parts, linked, path
-        if path is not None:
+        nonlocal parts, linked, path, some
+        if some:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
                 blocks.append(Block(path, text, min(1.0, linked / max(len(raw.strip()), 1))))
-        parts, linked, path = [], 0, None
+        parts, linked, path, some = [], 0, None, False
+
+    def cut(size):
+        for gone in stack[size:]:
+            opened[gone.tag] -= 1
+        del stack[size:]
 
-    for m in _TAG.finditer(page):
-        add(page[at:m.start()])
-        at = m.end()
-        tag = m[3]
+    def pop(tag):
+        """Closes an open ``tag`` unless a list, table or section was opened in it."""
+        if not opened[tag]:
+            return
+        for i in range(len(stack) - 1, -1, -1):
+            own = stack[i].tag
+            if own == tag:
+                return cut(i)
+            if tag != "p" and own in ("ul", "ol", "dl", "table", "menu") or own in (
+                    "td", "body", "article"):
+                return
+
+    for start, end, tag, ends, names in _Tags(page):
+        add(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag in _BLOCKS:
             close()
         elif tag == "br":
             parts.append(" ")
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if ends:
+            if opened[tag]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].tag == tag:
+                        cut(i)
+                        break
         elif tag not in _VOID:
             for closed in _CLOSES.get(tag, ()) if tag != "p" else ():
-                _pop(stack, closed)
+                pop(closed)
             if tag in _ENDS_P:
-                _pop(stack, "p")
-            if not m[4].endswith("/"):
-                stack.append((tag, _names(m[4]) if m[4] else ()))
+                pop("p")
+            stack.append(Path(stack[-1] if stack else None, tag, names))
+            opened[tag] += 1
     add(page[at:])
     close()
     return blocks
 
 
-def _pop(stack: list, tag: str) -> None:
-    """Closes an open ``tag`` unless a list, table or section was opened in it."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == tag:
-            del stack[i:]
-            return
-        if stack[i][0] in _BLOCKS and tag != "p" and stack[i][0] in (
-                "ul", "ol", "dl", "table", "menu") or stack[i][0] in ("td", "body", "article"):
-            return
-
-
 @functools.lru_cache(maxsize=100_000)
 def _slot(token: str, slots: int) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % slots
 
 
 @functools.lru_cache(maxsize=20_000)
-def _path_slots(path: tuple) -> list[int]:
-    leaf = [_slot("leaf " + path[-1], PATH_SLOTS)] if path else []
-    return sorted({*leaf, *(_slot(t, PATH_SLOTS) for t in path)})
+def _places(slots: int) -> list[int]:
+    return [i for i in range(PATH_SLOTS) if slots >> i & 1]
+
+
+def _path_slots(path: Path | None) -> list[int]:
+    if path is None:
+        return []
+    return _places(path.slots | 1 << _slot("leaf " + path.leaf, PATH_SLOTS))
 
 
 def vectors(blocks: list[Block]) -> np.ndarray:
+    """One row for each block; words count by their share in blocks of more than 30."""
     count = len(blocks)
-    rows, slots, word_rows, word_slots, measures = [], [], [], [], []
+    rows, slots, word_rows, word_slots, measures, sizes = [], [], [], [], [], []
+    keys = [None, *(b.path.key if b.path else 0 for b in blocks), None]
     for i, b in enumerate(blocks):
         own = _path_slots(b.path)
         rows += [i] * len(own)
         slots += own
-        # The vector holds the first words; the text itself is never cut.
-        words = [_slot(w, WORD_SLOTS) for w in b.text[:200].lower().split()]
+        words = [_slot(w, WORD_SLOTS) for w in b.text.lower().split()]
         word_rows += [i * WORD_SLOTS] * len(words)
         word_slots += words
+        sizes.append(len(words))
         measures.append((
-            len(b.text), b.linked, len(words) / 30, b.text[-1] in ".!?", b.text.count(",") > 2,
-            i == 0, i / count, len(b.path) / 12, i > 0 and blocks[i - 1].path == b.path,
-            i + 1 < count and blocks[i + 1].path == b.path))
+            len(b.text), b.linked, len(words), b.text[-1] in ".!?", b.text.count(",") > 2,
+            i == 0, i / count, (b.path.depth if b.path else 0) / 12, keys[i] == keys[i + 1],
+            keys[i + 2] == keys[i + 1]))
     out = np.zeros((count, WIDTH), np.float32)
     out[rows, slots] = 1
-    out[:, PATH_SLOTS:-MEASURES] = 0.2 * np.bincount(
-        np.array(word_rows, np.int64) + np.array(word_slots, np.int64),
-        minlength=count * WORD_SLOTS).reshape(count, WORD_SLOTS)
+    counts = np.bincount(np.array(word_rows, np.int64) + np.array(word_slots, np.int64),
+                         minlength=count * WORD_SLOTS).reshape(count, WORD_SLOTS)
+    out[:, PATH_SLOTS:-MEASURES] = counts * (6 / np.maximum(np.array(sizes), 30))[:, None]
     out[:, -MEASURES:] = measures
     out[:, -MEASURES] = np.log1p(out[:, -MEASURES]) / 6
+    out[:, 2 - MEASURES] = np.minimum(out[:, 2 - MEASURES] / 30, 1.2)
     return out
 
 
