@@ -1,9 +1,10 @@
 from datetime import datetime
 
+import pytest
 
-from tillspark.operators import limiter, replication
+from tillspark.operators import insights, limiter, replication
 from tillspark.session import work_dir
-from tillspark.streaming import replicate, stateful
+from tillspark.streaming import live, replicate, stateful
 from tillspark.streaming.sources import stream_parquet
 
 VERSIONS = "collection_name string, document_id string, server_sequence long, status string"
@@ -102,3 +103,87 @@ def test_live_comparison_takes_edits_and_deletions_back(spark):
             datetime(2026, 7, 14, 12), "category", f"{base}/out", f"{base}/cp")
     rows = replicate.latest_comparison(spark, f"{base}/out").collect()
     assert [(r.id, r.total, r["count"]) for r in rows] == [("food", 30, 1)]
+
+
+RECEIPT = ("id string, transactionDate string, totalMinor long, categoryId string, "
+           "merchantNormalized string, merchantRaw string, server_sequence long, "
+           "_deleted boolean")
+ITEM = ("id string, receiptId string, rawName string, normalizedName string, "
+        "unitPriceMinor long, totalPriceMinor long, quantity double, server_sequence long, "
+        "_deleted boolean")
+NOW = datetime(2026, 7, 14, 12)
+
+
+def as_batch(receipts, items):
+    """Products, price changes and findings of the newest versions, without streams."""
+    def alive(rows):
+        newest = replication.latest(rows, ["id"], "server_sequence")
+        return newest.where("not _deleted")
+    r, i = alive(receipts), alive(items)
+    return [sorted(map(str, f.collect())) for f in (
+        insights.product_totals(r, i, NOW), insights.price_changes(r, i),
+        insights.findings(r, i, NOW, 1, 1.0))]
+
+
+def as_live(store):
+    return [sorted(map(str, f.collect())) for f in (
+        live.product_totals(store), live.price_changes(store),
+        live.findings(store, minimum_minor=1, minimum_percent=1.0))]
+
+
+def test_live_insights_equal_the_batch(spark, monkeypatch):
+    """Edits, late versions, a latest price taken back, a batch cut off and one run twice."""
+    receipts = [("a", "2026-07-01", 900, "home", "M", None, 1, False),
+                ("b", "2026-07-05", 500, "food", "N", None, 2, False),
+                ("c", "2026-06-05", 300, "food", "N", None, 3, False),
+                ("b", "2026-06-20", 450, "home", "N", None, 8, False),
+                ("c", "2026-06-05", 300, "food", "N", None, 9, True),
+                ("a", "2026-07-03", 9999, "home", "M", None, 0, False)]  # late
+    items = [("i1", "a", "MILK", "milk", 100, 100, 1.0, 4, False),
+             ("i2", "b", "MILK", "milk", 150, 300, 2.0, 5, False),
+             ("i3", "c", "BREAD", "bread", 70, 70, None, 6, False),
+             ("i4", "a", "BREAD", None, 90, 90, 1.0, 7, False),
+             ("i5", "lost", "MILK", "milk", 80, 80, 1.0, 7, False),
+             ("i2", "b", "MILK", "milk", 150, 300, 2.0, 10, True),
+             ("i4", "a", "BREAD", "rye", 95, 95, 1.0, 11, False),
+             ("i1", "a", "MILK", "milk", 1, 1, 1.0, 2, False)]  # late
+    store = live.open_store(spark, work_dir(spark, "test"), buckets=3)
+    r = lambda rows: spark.createDataFrame(rows, RECEIPT)
+    i = lambda rows: spark.createDataFrame(rows, ITEM)
+    live.apply(store, NOW, r(receipts[:3]), i(items[:5]), "s", 0)
+    assert as_live(store) == as_batch(r(receipts[:3]), i(items[:5]))
+
+    def cut_off(manifest):
+        raise RuntimeError("cut off")
+
+    before = as_live(store)
+    with monkeypatch.context() as m:
+        m.setattr(store, "publish", cut_off)
+        with pytest.raises(RuntimeError, match="cut off"):
+            live.apply(store, NOW, r(receipts[3:]), i(items[5:]), "s", 1)
+    assert as_live(store) == before, "readers see a batch whole or not at all"
+    live.apply(store, NOW, r(receipts[3:]), i(items[5:]), "s", 1)
+    after = as_live(store)
+    assert after == as_batch(r(receipts), i(items))
+    live.apply(store, NOW, r(receipts[3:]), i(items[5:]), "s", 1)
+    assert store.manifest()["version"] == 2, "a batch that was applied does nothing"
+
+    folders = {t: sorted(f.values()) for t, f in store.manifest()["folders"].items()}
+    assert all(len(f) <= 3 for f in folders.values()), "a bucket has one folder"
+    store.vacuum()
+    assert as_live(store) == after
+    assert len(store.listed("manifests")) == 1
+
+
+def test_a_batch_reads_its_buckets_only(spark):
+    store = live.open_store(spark, work_dir(spark, "test"), buckets=4)
+    rows = [(str(n), "2026-07-01", n, "home", "M", None, 1, False) for n in range(40)]
+    live.apply(store, NOW, spark.createDataFrame(rows, RECEIPT), None, "s", 0)
+    one = store.buckets_of([spark.createDataFrame([("7",)], "id string")])
+    before = store.manifest()["folders"]["receipts"]
+    live.apply(store, NOW, spark.createDataFrame([("7", "2026-07-01", 5, "food", "M", None, 2,
+                                                   False)], RECEIPT), None, "s", 1)
+    after = store.manifest()["folders"]["receipts"]
+    assert {b for b in after if after[b] != before[b]} == set(map(str, one))
+    read = store.read("receipts", one).inputFiles()
+    assert read and all(after[str(one[0])] in f for f in read)

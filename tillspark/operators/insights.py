@@ -46,7 +46,7 @@ def _measures() -> list[Column]:
     ]
 
 
-def _with_change(df: DataFrame) -> DataFrame:
+def with_change(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "difference": F.col("total") - F.col("previousTotal"),
         "changePercent": money.percent_change(F.col("total"), F.col("previousTotal")),
@@ -56,7 +56,7 @@ def _with_change(df: DataFrame) -> DataFrame:
 def period_totals(receipts: DataFrame, now: datetime) -> DataFrame:
     """Period bounds, both totals, their difference and percent change."""
     period = dates.comparable_period(now)
-    totals = _with_change(_both_periods(receipts, now).agg(*_measures()).drop("count"))
+    totals = with_change(_both_periods(receipts, now).agg(*_measures()).drop("count"))
     bounds = {"start": period.start, "end": period.end,
               "previousStart": period.previous_start, "previousEnd": period.previous_end}
     return totals.withColumns({k: F.lit(v.isoformat()) for k, v in bounds.items()})
@@ -72,7 +72,7 @@ def _keys() -> dict[str, Column]:
 def comparison(receipts: DataFrame, now: datetime, dimension: str) -> DataFrame:
     """One row for each key seen in either period; ``count`` is of the current one."""
     keyed = _both_periods(receipts, now).withColumn("id", _keys()[dimension])
-    return _with_change(keyed.groupBy("id").agg(*_measures()))
+    return with_change(keyed.groupBy("id").agg(*_measures()))
 
 
 def contributions(receipts: DataFrame, now: datetime, dimension: str) -> DataFrame:
@@ -99,7 +99,7 @@ def compared(deltas: DataFrame) -> DataFrame:
     """The comparison from any number of contributions and their retractions."""
     sums = deltas.where(F.col("key").isNotNull()).groupBy(F.col("key").alias("id")).agg(
         *[F.sum(c).alias(c) for c in ("total", "count", "previousTotal", "rows")])
-    return _with_change(sums.where("rows > 0").drop("rows"))
+    return with_change(sums.where("rows > 0").drop("rows"))
 
 
 def comparison_all(receipts: DataFrame, now: datetime) -> DataFrame:
@@ -112,7 +112,7 @@ def comparison_all(receipts: DataFrame, now: datetime) -> DataFrame:
         .otherwise("all")
     key = F.when(F.col("gid") == 1, F.col(CATEGORY)).when(F.col("gid") == 2, F.col(MERCHANT)) \
         .otherwise("all")
-    return _with_change(grouped.select(
+    return with_change(grouped.select(
         dimension.alias("dimension"), key.alias("id"), "total", "count", "previousTotal"))
 
 
@@ -149,11 +149,16 @@ def price_changes(receipts: DataFrame, items: DataFrame) -> DataFrame:
     observed = priced.groupBy(F.col("name").alias("id")).agg(
         F.max_by("unitPriceMinor", order).alias("latest"),
         F.sum("unitPriceMinor").alias("price_sum"), F.count(F.lit(1)).alias("observations"))
-    return _with_price_change(observed).where(F.col("observations") >= 2).select(
+    return drifted(observed)
+
+
+def drifted(observed: DataFrame) -> DataFrame:
+    """Price changes of products from their latest price, sum and number of observations."""
+    return with_price_change(observed).where(F.col("observations") >= 2).select(
         "id", "latest", "previousAverage", "difference", "changePercent")
 
 
-def _with_price_change(observed: DataFrame) -> DataFrame:
+def with_price_change(observed: DataFrame) -> DataFrame:
     """Mean of all observations but the latest; null when there is only one."""
     earlier = F.col("observations") - 1
     mean = F.when(earlier >= 1, money.half_up(
@@ -165,24 +170,31 @@ def _with_price_change(observed: DataFrame) -> DataFrame:
 
 def product_findings(receipts: DataFrame, items: DataFrame, now: datetime) -> DataFrame:
     """Both product views from one pass over the items: current totals and price drift."""
+    return with_price_change(product_summaries(product_lines(receipts, items, now)))
+
+
+def product_lines(receipts: DataFrame, items: DataFrame, now: datetime) -> DataFrame:
+    """What each item adds to its product: its figures and the day of its receipt, if usable."""
     period = dates.comparable_period(now)
     day = F.col("transactionDate")
     dated = usable(receipts).select(F.col("id").alias("receiptId"), day,
                                     dates.in_current(day, period).alias("in_current"))
-    lines = _named_items(items).select(
-        "receiptId", "id", "name", "unitPriceMinor", "totalPriceMinor", "quantity").join(
-        dated, "receiptId", "left")
+    return _named_items(items).join(dated, "receiptId", "left").select(
+        "name", "id", "unitPriceMinor", "totalPriceMinor", "quantity", day, "in_current")
+
+
+def product_summaries(lines: DataFrame) -> DataFrame:
+    """Current totals, latest price, price sum and observations of each product."""
     current = F.coalesce("in_current", F.lit(False))
     priced = F.col("unitPriceMinor").isNotNull()
-    order = F.when(priced, F.struct(F.coalesce(day, F.lit("")), F.col("id")))
-    grouped = lines.groupBy(F.col("name").alias("id")).agg(
+    order = F.when(priced, F.struct(F.coalesce("transactionDate", F.lit("")), F.col("id")))
+    return lines.groupBy(F.col("name").alias("id")).agg(
         F.sum(F.when(current, F.coalesce("totalPriceMinor", F.lit(0)))).alias("total"),
         F.count(F.when(current, 1)).alias("frequency"),
         F.sum(F.when(current, F.coalesce("quantity", F.lit(1.0)))).alias("quantity"),
         F.max_by("unitPriceMinor", order).alias("latest"),
         F.sum("unitPriceMinor").alias("price_sum"), F.count("unitPriceMinor")
         .alias("observations"))
-    return _with_price_change(grouped)
 
 
 def by_total(df: DataFrame) -> DataFrame:
@@ -231,11 +243,17 @@ def significant(minimum_minor: int, minimum_percent: float) -> Column:
 def findings(receipts: DataFrame, items: DataFrame, now: datetime,
              minimum_minor: int = 1000, minimum_percent: float = 20.0) -> DataFrame:
     """The best finding of each type: category, merchant, frequent product, price change."""
+    return best_findings(comparison_all(receipts, now), product_findings(receipts, items, now),
+                         minimum_minor, minimum_percent)
+
+
+def best_findings(spending: DataFrame, products: DataFrame, minimum_minor: int = 1000,
+                  minimum_percent: float = 20.0) -> DataFrame:
+    """``findings`` from compared categories and merchants and from products."""
     passed = significant(minimum_minor, minimum_percent)
     names = ["id", "difference", "changePercent", "total", "frequency"]
 
-    compared = comparison_all(receipts, now).where(
-        F.col("dimension").isin(CATEGORY, MERCHANT) & passed)
+    compared = spending.where(F.col("dimension").isin(CATEGORY, MERCHANT) & passed)
     entry = F.struct("id", "difference", "changePercent", "total",
                      F.lit(None).cast("long").alias("frequency"))
     order = F.struct(-F.abs("difference"), -F.col("total"), F.col("id"))
@@ -245,13 +263,13 @@ def findings(receipts: DataFrame, items: DataFrame, now: datetime,
     blank, none = F.lit(None).cast("long"), F.lit(None).cast("double")
     frequent = F.when(F.col("frequency") >= 2, F.struct(-F.col("frequency"), -F.col("total"),
                                                         F.col("id")))
-    drifted = F.when(passed, F.struct(-F.abs(F.coalesce("changePercent", F.lit(0.0))),
+    changed = F.when(passed, F.struct(-F.abs(F.coalesce("changePercent", F.lit(0.0))),
                                       F.col("id")))
-    best = product_findings(receipts, items, now).agg(
+    best = products.agg(
         F.min_by(F.struct("id", blank.alias("difference"), none.alias("changePercent"), "total",
                           "frequency"), frequent).alias("frequency"),
         F.min_by(F.struct("id", "difference", "changePercent", blank.alias("total"),
-                          blank.alias("frequency")), drifted).alias("price"))
+                          blank.alias("frequency")), changed).alias("price"))
     bought = best.select(F.explode(F.array(
         F.struct(F.lit("frequency").alias("type"), F.col("frequency").alias("best")),
         F.struct(F.lit("price").alias("type"), F.col("price").alias("best")))).alias("found"))

@@ -11,7 +11,7 @@ from tillspark.plans import replication as replication_plans
 from tillspark.plans import views
 from tillspark.session import work_dir
 from tillspark.sources import adapter
-from tillspark.streaming import replicate, stateful
+from tillspark.streaming import live, replicate, stateful
 from tillspark.streaming.sources import stream_parquet
 
 
@@ -70,14 +70,66 @@ def _live(s, d):
     return replicate.latest_comparison(s, f"{base}/out")
 
 
+_FOLLOWED: dict[tuple[str, str], live.Store] = {}
+
+
+def _live_insights(result):
+    """Receipts and items with wrong figures, then as they are and with tombstones of some.
+
+    The streams run once for each application and data folder; the queries read one store.
+    """
+    def run(s, d):
+        key = (s.sparkContext.applicationId, d)
+        if key not in _FOLLOWED or not _FOLLOWED[key].manifest()["version"]:
+            _FOLLOWED[key] = _follow_insights(s, d)
+        return result(_FOLLOWED[key])
+    return run
+
+
+def _follow_insights(s, d):
+    base = work_dir(s, "insights")
+    store = live.open_store(s, f"{base}/store")
+    wrong = {"receipts": {"totalMinor": F.col("totalMinor") + 777,
+                          "categoryId": F.lit("household")},
+             "items": {"unitPriceMinor": F.lit(9_999_999).cast("long"),
+                       "totalPriceMinor": F.col("totalPriceMinor") * 3}}
+    dead = {"receipts": F.col("id").cast("long") % 50 == 3,
+            "items": (F.col("receiptId").cast("long") % 50 == 3) | (F.col("position") == 6)}
+    for number, collection in enumerate(("receipts", "items", "receipts", "items")):
+        if collection == "receipts":
+            rows = adapter.receipts_from(_stream(s, d, "orders"), s, d)
+        else:
+            rows = adapter.receipt_items_from(_stream(s, d, "lineitem"), s, d)
+        rows = rows.withColumn("server_sequence", F.lit(number).cast("long"))
+        if number < 2:
+            rows = rows.withColumns(wrong[collection])
+        else:
+            rows = rows.withColumn("_deleted", dead[collection])
+        live.follow(rows, collection, adapter.NOW, store, f"round{number}",
+                    f"{base}/checkpoint-{number}")
+    return store
+
+
 QUERIES = {
     "stream_current_state": _state,
     "stream_notifications": _notifications,
     "stream_transitions": _transitions,
     "stream_failure_limiter": _limiter,
     "stream_category_comparison": _live,
+    "stream_product_totals": _live_insights(live.product_totals),
+    "stream_price_changes": _live_insights(live.price_changes),
+    "stream_findings": _live_insights(live.findings),
 }
 
+
+
+def _without_tombstones(sql: str) -> str:
+    return sql.replace(
+        "FROM orders", "FROM (SELECT * FROM orders WHERE o_orderkey % 50 <> 3) orders").replace(
+        "FROM lineitem", "FROM (SELECT * FROM lineitem WHERE l_orderkey % 50 <> 3 "
+        "AND l_linenumber <> 7) lineitem")
+
+
 ORACLE = {
     "stream_current_state": replication_plans.ORACLE["current_state"],
     "stream_notifications": views.sql(
@@ -88,4 +140,6 @@ ORACLE = {
     "stream_failure_limiter": maintenance_plans.FAILURE_LIMITER,
     "stream_category_comparison": insight_plans.ORACLE["category_comparison"].replace(
         "FROM orders", "FROM (SELECT * FROM orders WHERE o_orderkey % 50 <> 3) orders"),
+    **{f"stream_{name}": _without_tombstones(insight_plans.ORACLE[name])
+       for name in ("product_totals", "price_changes", "findings")},
 }

@@ -71,7 +71,10 @@ def receipts_from(orders: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
 
 def receipt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of one receipt may share a position; the id orders them."""
-    lines = _table(spark, sf_dir, "lineitem")
+    return receipt_items_from(_table(spark, sf_dir, "lineitem"), spark, sf_dir)
+
+
+def receipt_items_from(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     joined = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
     item_id = F.concat_ws(
