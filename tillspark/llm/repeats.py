@@ -41,8 +41,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from tillspark.llm.common import arrow_schema, in_groups, mix64, record, table, utf8
+from tillspark.session import cut_lineage
 
-LINE_WORDS = 20
+LINE_WORDS = 5
 RUN_WORDS = 20
 WINDOW = 8
 _WORD = re.compile(r"\S+")
@@ -129,6 +130,7 @@ def without(text: str, gone: list[tuple[int, int]]) -> str:
 
 _UNITS = "high long, low long, doc_id long, code long"
 _REMEMBERED = 100_000
+_SMALL = 100_000
 
 
 def _along(place: np.ndarray) -> np.ndarray:
@@ -136,9 +138,27 @@ def _along(place: np.ndarray) -> np.ndarray:
     return np.where(place < 0, -1 - place, place)
 
 
-def _text_hash(text: str):
-    """31 bits that tell the texts of one ``doc_id`` apart."""
-    return F.xxhash64(F.col(text).cast("string")).bitwiseAND(F.lit((1 << 31) - 1))
+def _with_hash(docs: DataFrame) -> DataFrame:
+    """(row, _id, _text, _hash): ``_hash`` tells the texts of one ``doc_id`` apart.
+
+    It is 0 where a ``doc_id`` has one text only, so that it costs nothing in the shuffle, else
+    31 bits of the text's hash. Of each ``doc_id`` only the least and largest hash are compared;
+    the ids with several texts are written and counted, few are broadcast, more are joined.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"),
+                       F.col("text").cast("string").alias("_text"))
+    whole = F.xxhash64("_text")
+    several = rows.where("_id is not null").groupBy("_id").agg(
+        F.min(whole).alias("a"), F.max(whole).alias("b")).where("a <> b").select(
+        F.col("_id").alias("_several"))
+    several = cut_lineage(several, "repeats-ids")
+    count = several.count()
+    if not count:
+        return rows.withColumn("_hash", F.lit(0).cast("long"))
+    several = F.broadcast(several) if count <= _SMALL else several
+    return rows.join(several, F.col("_id") == F.col("_several"), "left").withColumn(
+        "_hash", F.when(F.col("_several").isNull(), 0).otherwise(
+            whole.bitwiseAND(F.lit((1 << 31) - 1)))).drop("_several")
 
 
 class _Earliest:
@@ -172,6 +192,10 @@ class _Earliest:
 
 
 def repeated_units(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
+    return _repeated_units(_with_hash(docs), line_words)
+
+
+def _repeated_units(rows: DataFrame, line_words: int) -> DataFrame:
     """(doc_id, hash, place) of every unit that is not its digest's first occurrence.
 
     ``code`` holds place (32 bits), text hash (31) and whether an earlier occurrence is known.
@@ -211,9 +235,9 @@ def repeated_units(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
             code = (place << 32) | (text << 1) | again
             yield record(schema, pair[keep, 0], pair[keep, 1], owner[keep], code[keep])
 
-    rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(
-        F.col("doc_id").cast("long"), F.col("text").cast("string"),
-        _text_hash("text").alias("hash")).mapInArrow(cut, _UNITS)
+    rows = rows.where(F.col("_id").isNotNull() & (F.length("_text") > 0)).select(
+        F.col("_id").alias("doc_id"), F.col("_text").alias("text"),
+        F.col("_hash").alias("hash")).mapInArrow(cut, _UNITS)
     place = F.shiftright("code", 32)
     rows = rows.select("high", "low", "doc_id", "code", F.expr("(code & 1) = 1").alias("again"))
     order = [F.col("doc_id"), F.expr("(code >> 1) & 2147483647"),
@@ -228,11 +252,10 @@ def repeated_units(docs: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
 def remove_repeats(docs: DataFrame, line_words: int = LINE_WORDS,
                    run_words: int = RUN_WORDS) -> DataFrame:
     """(row, text, removed): rows whole, the text without repeats, and what went, by offset."""
-    places = repeated_units(docs, line_words).groupBy("doc_id", "hash").agg(
+    rows = _with_hash(docs)
+    places = _repeated_units(rows, line_words).groupBy("doc_id", "hash").agg(
         F.collect_set("place").alias("places"))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_id"),
-                       _text_hash("text").alias("_hash"))
-    joined = rows.join(places.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"),
+    joined = rows.drop("_text").join(places.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"),
                                      "places"), ["_id", "_hash"], "left").select("row", "places")
     kind = StructType([StructField("row", docs.schema, False), *StructType.fromDDL(
         "text string, removed array<struct<start: int, length: int>>")])
