@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tillspark.operators import push, replication
 from tillspark.operators.ordered import with_previous
 from tillspark.plans import views
-from tillspark.sources import adapter
+from tillspark.session import work_dir
+from tillspark.sources import adapter, pages
 
 CHECKPOINT, BATCH = 2000, 100
 LAST_SEQUENCE = 1_000_000
@@ -110,10 +111,19 @@ def _written(s, d):
         "collection_name", "document_id", "document_json", "server_sequence", "is_deleted")
 
 
+def _clustered_page(s, d):
+    """State of the first three quarters of the log is stored by sequence, the rest is the tail."""
+    changes, root = _changes(s, d), work_dir(s, "pages")
+    last = changes.agg(F.max("server_sequence").alias("last")).head()["last"] or 0
+    pages.store(changes, root, last * 3 // 4, 1000)
+    return pages.pull(changes, root, "receipts", CHECKPOINT, BATCH)
+
+
 QUERIES = {
     "current_state": lambda s, d: replication.current_state(_changes(s, d)),
     "tombstones": lambda s, d: replication.tombstones(_changes(s, d)),
     "pull_page": lambda s, d: replication.pull(_changes(s, d), "receipts", CHECKPOINT, BATCH),
+    "pull_page_clustered": _clustered_page,
     "pull_checkpoint": lambda s, d: replication.next_checkpoint(
         replication.pull(_changes(s, d), "receipts", CHECKPOINT, BATCH), CHECKPOINT),
     "rejected_writes": lambda s, d: replication.rejected_writes(
@@ -183,10 +193,16 @@ _PAIRS = """paired AS (
 won AS (SELECT *, lt > rt OR (lt = rt AND ld >= rd) AS local_wins FROM paired
   WHERE rd IS NOT NULL)"""
 
+DOCUMENT_READS = views.sql(
+    """SELECT * FROM current WHERE collection_name = 'receipts'
+AND document_id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)""", views.INCOMING, _CURRENT)
+
 ORACLE = {
     "current_state": views.sql("SELECT * FROM current", views.INCOMING, _CURRENT),
     "tombstones": views.sql("SELECT * FROM current WHERE is_deleted", views.INCOMING, _CURRENT),
     "pull_page": views.sql("SELECT * EXCLUDE (created_at) FROM page", views.INCOMING, _CURRENT, _PAGE),
+    "pull_page_clustered": views.sql(
+        "SELECT * EXCLUDE (created_at) FROM page", views.INCOMING, _CURRENT, _PAGE),
     "pull_checkpoint": views.sql(
         f"SELECT coalesce(max(server_sequence), {CHECKPOINT}) AS sequence FROM page",
         views.INCOMING, _CURRENT, _PAGE),

@@ -11,7 +11,7 @@ from tillspark.plans import replication as replication_plans
 from tillspark.plans import views
 from tillspark.session import work_dir
 from tillspark.sources import adapter
-from tillspark.streaming import live, replicate, stateful
+from tillspark.streaming import levels, live, replicate, stateful
 from tillspark.streaming.sources import stream_parquet
 
 
@@ -110,8 +110,39 @@ def _follow_insights(s, d):
     return store
 
 
+_LEVELS: dict[tuple[str, str], levels.Levels] = {}
+BATCHES = 9
+
+
+def _levelled(result):
+    """The log in files by sequence, each a micro-batch; followed once for each application."""
+    def run(s, d):
+        key = (s.sparkContext.applicationId, d)
+        if key not in _LEVELS or not _LEVELS[key].manifest()["version"]:
+            base = work_dir(s, "levels")
+            changes = adapter.incoming_documents(s, d).drop("owner_id")
+            changes.repartitionByRange(BATCHES, "server_sequence").write.parquet(f"{base}/log")
+            kept = levels.Levels(s, f"{base}/state", "collection_name string, "
+                                 "document_id string, document_json string, server_sequence long, "
+                                 "is_deleted boolean, created_at string, updated_at string")
+            levels.follow(stream_parquet(s, f"{base}/log", changes.schema, max_bytes=1), kept,
+                          f"{base}/checkpoint")
+            _LEVELS[key] = kept
+        return result(_LEVELS[key], s, d)
+    return run
+
+
+def _document_reads(kept, s, d):
+    """The receipts whose ids are those of customers, where there are such."""
+    ids = adapter.customer_ids(s, d)
+    return kept.documents(ids.select(F.lit("receipts").alias("collection_name"),
+                                     F.col("id").alias("document_id")))
+
+
 QUERIES = {
     "stream_current_state": _state,
+    "stream_levelled_state": _levelled(lambda kept, s, d: kept.state()),
+    "document_reads": _levelled(_document_reads),
     "stream_notifications": _notifications,
     "stream_transitions": _transitions,
     "stream_failure_limiter": _limiter,
@@ -122,7 +153,6 @@ QUERIES = {
 }
 
 
-
 def _without_tombstones(sql: str) -> str:
     return sql.replace(
         "FROM orders", "FROM (SELECT * FROM orders WHERE o_orderkey % 50 <> 3) orders").replace(
@@ -132,6 +162,8 @@ def _without_tombstones(sql: str) -> str:
 
 ORACLE = {
     "stream_current_state": replication_plans.ORACLE["current_state"],
+    "stream_levelled_state": replication_plans.ORACLE["current_state"],
+    "document_reads": replication_plans.DOCUMENT_READS,
     "stream_notifications": views.sql(
         """SELECT 'RESYNC' AS event, collection_name, max(server_sequence) AS server_sequence,
   collection_name = 'receipts' AS "wakeExtraction" FROM changes GROUP BY collection_name""",

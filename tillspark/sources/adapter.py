@@ -134,6 +134,10 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("collection_name").isin(*REPLICATED_COLLECTIONS))
 
 
+def customer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+
+
 def parsed_changes(changes_df: DataFrame) -> DataFrame:
     """The log with status and device read from the payload."""
     fields = F.from_json("document_json",

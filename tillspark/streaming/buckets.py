@@ -11,23 +11,22 @@ What a batch reads depends on the rows of its buckets and not on the number of b
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tillspark.sources.manifest import Manifests
+
 BUCKETS = 16
 
 
-class Store:
+class Store(Manifests):
     """``tables``: name to (schema, key column)."""
 
     def __init__(self, spark: SparkSession, root: str, tables: dict[str, tuple[str, str]],
                  buckets: int = BUCKETS):
-        self.spark, self.root, self.tables, self.buckets = spark, root, tables, buckets
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        super().__init__(spark, root)
+        self.tables, self.buckets = tables, buckets
 
     def bucket(self, key: str) -> Column:
         return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets)).cast("int")
@@ -40,33 +39,10 @@ class Store:
             found |= {r["b"] for r in rows}
         return sorted(found)
 
-    def listed(self, folder: str) -> list[str]:
-        path = self._path(f"{self.root}/{folder}")
-        if not self._files.exists(path):
-            return []
-        return [s.getPath().getName() for s in self._files.listStatus(path)]
-
     def manifest(self) -> dict:
         """The newest manifest: version, last batch of each stream, folder of each bucket."""
-        versions = [int(n.split(".")[0]) for n in self.listed("manifests") if n.endswith(".json")]
-        if not versions:
-            return {"version": 0, "streams": {}, "folders": {t: {} for t in self.tables}}
-        path = self._path(f"{self.root}/manifests/{max(versions)}.json")
-        stream = self._files.open(path)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def publish(self, manifest: dict) -> None:
-        """Makes ``manifest`` the next version; fails if another writer was first."""
-        spare = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
-        final = self._path(f"{self.root}/manifests/{manifest['version']}.json")
-        out = self._files.create(spare)
-        out.write(json.dumps(manifest).encode())
-        out.close()
-        if self._files.exists(final) or not self._files.rename(spare, final):
-            raise RuntimeError(f"version {manifest['version']} exists already")
+        return self.newest() or {
+            "version": 0, "streams": {}, "folders": {t: {} for t in self.tables}}
 
     def read(self, table: str, buckets: Iterable[int] | None = None,
              manifest: dict | None = None) -> DataFrame:
@@ -87,11 +63,8 @@ class Store:
             for batch in self.listed(table):
                 for bucket in self.listed(f"{table}/{batch}"):
                     if bucket.startswith("bucket=") and f"{table}/{batch}/{bucket}" not in used:
-                        self._files.delete(
-                            self._path(f"{self.root}/{table}/{batch}/{bucket}"), True)
-        for name in self.listed("manifests"):
-            if name != f"{now['version']}.json":
-                self._files.delete(self._path(f"{self.root}/manifests/{name}"), False)
+                        self.delete(f"{table}/{batch}/{bucket}")
+        self.forget_older(now)
 
 
 class Batch:
@@ -133,5 +106,4 @@ class Batch:
         self.after["version"] += 1
         self.after["streams"][self.stream] = self.number
         self.store.publish(self.after)
-        self.store._files.delete(self.store._path(
-            f"{self.store.root}/batches/{self.stream}-{self.number}"), True)
+        self.store.delete(f"batches/{self.stream}-{self.number}")
