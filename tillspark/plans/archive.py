@@ -5,7 +5,8 @@ from __future__ import annotations
 from tillspark.functions.catalogue import catalogue_sql
 from tillspark.operators import archive
 from tillspark.plans import views
-from tillspark.sources import adapter, tables
+from tillspark.session import work_dir
+from tillspark.sources import adapter, search_index, tables
 
 NOW = adapter.NOW
 COLUMNS = ["id", "status", "transactionDate", "merchantNormalized", "categoryId",
@@ -20,7 +21,27 @@ def _search(**filters):
     return run
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _indexed(**filters):
+    """The index is built once for each application and data folder, and kept."""
+    def run(s, d):
+        key = (s.sparkContext.applicationId, d)
+        receipts, items = adapter.receipts(s, d), adapter.receipt_items(s, d)
+        if key not in _INDEXES:
+            root = work_dir(s, "search-index")
+            search_index.build(receipts, items, root)
+            _INDEXES[key] = root
+        return search_index.search(receipts, items, _INDEXES[key], NOW, **filters).select(*COLUMNS)
+    return run
+
+
 QUERIES = {
+    "archive_search_indexed": _indexed(query=" Red Widget "),
+    "archive_search_merchant_indexed": _indexed(query="nation_3 nation"),
+    "archive_search_short_indexed": _indexed(query="n_"),
+    "archive_combined_indexed": _indexed(query="ring", category="MACHINERY", period="year"),
     "archive_search": _search(query=" Red Widget "),
     "archive_search_merchant": _search(query="nation_3 nation"),
     "archive_category": _search(category="BUILDING"),
@@ -57,15 +78,21 @@ def _prefix(prefix: str) -> str:
     return f"""("transactionDate" IS NULL OR "transactionDate" LIKE '{prefix}%')"""
 
 
+_COMBINED = _where(
+    f"{_matches('ring')} AND \"categoryId\" = 'MACHINERY' AND {_prefix('2001-')}")
+
 ORACLE = {
+    "archive_search_indexed": _where(_matches("red widget")),
+    "archive_search_merchant_indexed": _where(_matches("nation_3 nation")),
+    "archive_search_short_indexed": _where(_matches("n_")),
+    "archive_combined_indexed": _COMBINED,
     "archive_search": _where(_matches("red widget")),
     "archive_search_merchant": _where(_matches("nation_3 nation")),
     "archive_category": _where("\"categoryId\" = 'BUILDING'"),
     "archive_month": _where(_prefix("2001-07-")),
     "archive_previous": _where(_prefix("2001-06-")),
     "archive_year": _where(_prefix("2001-")),
-    "archive_combined": _where(
-        f"{_matches('ring')} AND \"categoryId\" = 'MACHINERY' AND {_prefix('2001-')}"),
+    "archive_combined": _COMBINED,
     "archive_newest": views.sql(_SELECT, views.RECEIPTS),
     "archive_size": views.sql("SELECT count(*) AS receipts FROM receipts", views.RECEIPTS),
     "receipt_detail": views.sql(

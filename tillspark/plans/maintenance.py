@@ -12,6 +12,7 @@ from tillspark.operators import limiter, maintenance
 from tillspark.plans import views
 from tillspark.session import work_dir
 from tillspark.sources import adapter, snapshot
+from tillspark.sources.increments import Snapshots
 
 NOW = datetime(2001, 8, 15, 9, 30, 0, 250000)
 STAMP = "2001-08-15T09:30:00.250Z"
@@ -170,7 +171,67 @@ def _exported(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _earlier(s, d):
+    """The tables before their last edits: other totals of one category, no seventh items."""
+    tables = _tables(s, d)
+    total = F.when(F.col("categoryId") == "BUILDING", 777).otherwise(F.col("totalMinor"))
+    return {"receipts": tables["receipts"].withColumn("totalMinor", total.cast("long")),
+            "receipt_items": tables["receipt_items"].where(F.col("position") != 6)}
+
+
+def _incremental(s, d):
+    """A backup of the earlier tables, then one that rewrites the buckets that changed."""
+    kept = Snapshots(s, work_dir(s, "snapshots"))
+    kept.backup(_earlier(s, d))
+    kept.backup(_tables(s, d))
+    return kept.verify()
+
+
+def _restored(table, *columns):
+    """The earlier tables are live; a restore brings the snapshot's rows back."""
+    def run(s, d):
+        kept, live = (Snapshots(s, work_dir(s, name)) for name in ("snapshots", "live"))
+        kept.backup(_tables(s, d))
+        live.backup(_earlier(s, d))
+        kept.restore(live)
+        return live.read(table).select(*columns)
+    return run
+
+
+_NO_VALUES = ("subtotalMinor", "taxMinor", "discountMinor", "overallConfidence")
+_RECEIPT = ("id", "status", "capturedAt", "transactionDate", "merchantRaw", "merchantNormalized",
+            "currency", "totalMinor", "categoryId", "imageHash", "userConfirmed", "updatedAt",
+            "updatedByDevice")
+_ITEM = ("id", "receiptId", "rawName", "normalizedName", "quantity", "unitPriceMinor",
+         "totalPriceMinor", "categoryId", "position", "userEdited", "updatedAt", "updatedByDevice")
+
+
+def _export_of(part):
+    """One part of the export read back with all its columns and bytes."""
+    def run(s, d):
+        path = work_dir(s, "export")
+        images = adapter.images(s, d).withColumn("full", F.encode("id", "UTF-8"))
+        tables = {"receipts": adapter.receipts(s, d), "items": adapter.receipt_items(s, d),
+                  "images": images}
+        snapshot.export(tables, path, STAMP, include_images=True)
+        schema = tables[part].schema
+        if part == "images":
+            schema = images.withColumn("full", F.col("full").cast("string")).schema
+        back = s.read.schema(schema).json(f"{path}/{part}")
+        if part == "receipts":
+            return back.select(*_RECEIPT, *_NO_VALUES, F.size("warnings").alias("warnings"),
+                               F.col("ai.providerId").alias("providerId"))
+        return back
+    return run
+
+
 QUERIES = {
+    "snapshot_incremental": _incremental,
+    "snapshot_restore": _restored("receipts", *_RECEIPT),
+    "snapshot_restore_items": _restored("receipt_items", *_ITEM),
+    "export_receipts": _export_of("receipts"),
+    "export_items": _export_of("items"),
+    "export_images": _export_of("images"),
     "new_receipts": _new_receipts,
     "captured_receipts": _captured(0),
     "captured_images": _captured(1),
@@ -252,7 +313,27 @@ FAILURE_LIMITER = views.sql(
     "SELECT key, ord, decision, wait_seconds FROM walk WHERE rn > 0",
     views.ATTEMPTS, _WALK).replace("WITH ", "WITH RECURSIVE ", 1)
 
+def _names(columns):
+    return ", ".join(f'"{c}"' for c in columns)
+
+
+_VERIFIED = """SELECT 'receipts' AS "table", count(*) AS rows, TRUE AS matches FROM orders
+UNION ALL SELECT 'receipt_items', count(*), TRUE FROM lineitem"""
+
 ORACLE = {
+    "snapshot_incremental": _VERIFIED,
+    "snapshot_restore": views.sql(f"SELECT {_names(_RECEIPT)} FROM receipts", views.RECEIPTS),
+    "snapshot_restore_items": views.sql(f"SELECT {_names(_ITEM)} FROM items", views.ITEMS),
+    "export_receipts": views.sql(
+        f"""SELECT {_names(_RECEIPT)}, CAST(NULL AS BIGINT) AS "subtotalMinor",
+  CAST(NULL AS BIGINT) AS "taxMinor", CAST(NULL AS BIGINT) AS "discountMinor",
+  CAST(NULL AS DOUBLE) AS "overallConfidence", 0 AS warnings, CAST(NULL AS VARCHAR) AS "providerId"
+FROM receipts""", views.RECEIPTS),
+    "export_items": views.sql(
+        f"""SELECT {_names(_ITEM)}, CAST(NULL AS DOUBLE) AS confidence FROM items""", views.ITEMS),
+    "export_images": views.sql(
+        """SELECT *, 'data:image/jpeg;base64,' || base64(encode(id)) AS "full" FROM images""",
+        views.IMAGES),
     "new_receipts": f"""SELECT 'c-' || c_custkey AS id, 'manual' AS status,
   '{STAMP}' AS "capturedAt", '2001-08-15' AS "transactionDate",
   CASE WHEN c_custkey % 3 = 0 THEN 'CHF' ELSE 'EUR' END AS currency,
@@ -336,7 +417,6 @@ FROM (SELECT *, {_NORMAL})""", views.SETTINGS),
         """SELECT 'receipts' AS part, id FROM receipts
 UNION ALL SELECT 'items', id FROM items UNION ALL SELECT 'images', id FROM images""",
         views.RECEIPTS, views.ITEMS, views.IMAGES),
-    "snapshot_verify": """SELECT 'receipts' AS "table", count(*) AS rows, TRUE AS matches FROM orders
-UNION ALL SELECT 'receipt_items', count(*), TRUE FROM lineitem""",
+    "snapshot_verify": _VERIFIED,
     "failure_limiter": FAILURE_LIMITER,
 }

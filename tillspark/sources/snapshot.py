@@ -80,7 +80,7 @@ def export(tables: dict[str, DataFrame], path: str, exported_at: str,
            include_images: bool = False) -> DataFrame:
     """JSON export: one folder for each of receipts, items and images, and a manifest.
 
-    Images are listed only when asked; their bytes become a data URL, row by row.
+    Images are listed only when asked; their bytes become a data URL on one line, row by row.
     """
     parts = {"receipts": tables["receipts"], "items": tables["items"]}
     if include_images:
@@ -89,7 +89,7 @@ def export(tables: dict[str, DataFrame], path: str, exported_at: str,
             if variant in images.columns:
                 images = images.withColumn(variant, F.concat(
                     F.lit("data:"), F.col("mimeType"), F.lit(";base64,"),
-                    F.base64(F.col(variant))))
+                    F.translate(F.base64(F.col(variant)), "\r\n", "")))
         parts["images"] = images
     for name, df in parts.items():
         df.write.option("ignoreNullFields", "false").json(f"{path}/{name}")
