@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillspark.functions.catalogue import catalogue_sql
+from tillspark.functions.catalogue import LANGUAGE_ORDER, catalogue_sql
+from tillspark.model import CATEGORIES, DEFAULT_COLOUR
 from tillspark.operators import insights
 from tillspark.plans import views
 from tillspark.sources import adapter
@@ -44,7 +45,24 @@ def _snapshot_rows(s, d):
         for name in ("total", "difference")])
 
 
+def _known(s, d):
+    return adapter.with_known_categories(_receipts(s, d))
+
+
+def _labels_known(s, d):
+    """Each category of the comparison with its label in each language."""
+    compared = insights.comparison(_known(s, d), NOW, insights.CATEGORY)
+    languages = F.explode(F.array(*map(F.lit, LANGUAGE_ORDER)))
+    return insights.category_labels(compared.select("id", "total", languages.alias("lang")),
+                                    F.col("id"))
+
+
 QUERIES = {
+    "category_share_known": lambda s, d: insights.category_share(
+        insights.comparison(_known(s, d), NOW, insights.CATEGORY)),
+    "category_labels_known": _labels_known,
+    "insight_text_known": lambda s, d: insights.insight_text(
+        insights.findings(_known(s, d), _items(s, d), NOW)),
     "receipts_view": lambda s, d: _receipts(s, d).drop(
         "warnings", "ai", "subtotalMinor", "taxMinor", "discountMinor", "overallConfidence"),
     "items_view": lambda s, d: _items(s, d).drop("confidence"),
@@ -187,7 +205,27 @@ _LANES = " || '|' || ".join(
     f"CAST(sum(CAST(('0x' || substr(digest, {1 + 15 * i}, 15)) AS BIGINT)) AS VARCHAR)"
     for i in range(4))
 
+_KNOWN_RECEIPTS = views.RECEIPTS.replace("c_mktsegment END", "CASE c_mktsegment " + " ".join(
+    f"WHEN '{segment}' THEN '{category}'"
+    for segment, category in adapter.SEGMENT_CATEGORIES.items()) + " ELSE c_mktsegment END END")
+_COLOURS = "(VALUES " + ", ".join(f"('{c}', '{colour}')" for c, colour in CATEGORIES) + ")"
+_LABEL_KEY = "'category.' || CASE WHEN {0} IN (" + ", ".join(
+    f"'{c}'" for c, _ in CATEGORIES) + ") THEN {0} ELSE 'other' END"
+
 ORACLE = {
+    "category_share_known": views.sql(
+        f"""SELECT id, total, total / 100e0 AS amount,
+  CAST(total AS DOUBLE) / CAST(sum(total) OVER () AS DOUBLE) AS share,
+  coalesce(colour, '{DEFAULT_COLOUR}') AS colour
+FROM grouped LEFT JOIN {_COLOURS} AS colours(known, colour) ON known = id WHERE total > 0""",
+        _KNOWN_RECEIPTS, _flagged(), _grouped("category")),
+    "category_labels_known": views.sql(
+        f"""SELECT id, total, lang, text AS category_label FROM grouped
+JOIN {catalogue_sql("category.")} ON key = {_LABEL_KEY.format("id")}""",
+        _KNOWN_RECEIPTS, _flagged(), _grouped("category")),
+    "insight_text_known": views.sql(
+        _SENTENCE.replace("'category.other'", _LABEL_KEY.format("f.id")),
+        _KNOWN_RECEIPTS, *_FOUND_VIEWS[1:]),
     "receipts_view": views.sql("SELECT * FROM receipts", views.RECEIPTS),
     "items_view": views.sql("SELECT * FROM items", views.ITEMS),
     "period_totals": _totals("2001-07-01", "2001-07-14", "2001-06-01", "2001-06-14"),

@@ -69,6 +69,16 @@ def receipts_from(orders: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
     )
 
 
+# Market segments as category ids; a segment that is not here stays an unknown category.
+SEGMENT_CATEGORIES = {"AUTOMOBILE": "transport", "BUILDING": "home",
+                      "FURNITURE": "food_grocery", "HOUSEHOLD": "restaurant"}
+
+
+def with_known_categories(receipts: DataFrame) -> DataFrame:
+    """Receipts whose category is one of the catalogue's, but for one segment."""
+    return receipts.replace(SEGMENT_CATEGORIES, subset=["categoryId"])
+
+
 def receipt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of one receipt may share a position; the id orders them."""
     return receipt_items_from(_table(spark, sf_dir, "lineitem"), spark, sf_dir)
