@@ -91,7 +91,7 @@ def apply_updates(jobs: DataFrame, updated: DataFrame, key: str = "id") -> DataF
 
 def requeue_interrupted(jobs: DataFrame, now: datetime) -> DataFrame:
     """Jobs left in processing go back to pending."""
-    hit = F.col("status") == "processing"
+    hit = F.col("status").eqNullSafe("processing")
     return jobs.withColumns({
         "status": F.when(hit, "pending").otherwise(F.col("status")),
         "next_attempt_at": F.when(~hit, F.col("next_attempt_at")),
@@ -109,7 +109,7 @@ def retry(jobs: DataFrame, receipt_ids: DataFrame, provider_id: str, now: dateti
 
 def retarget(jobs: DataFrame, provider_id: str, now: datetime) -> DataFrame:
     """All pending jobs move to a provider and become due."""
-    hit = F.col("status") == "pending"
+    hit = F.col("status").eqNullSafe("pending")
     return jobs.withColumns({
         "provider_id": F.when(hit, provider_id).otherwise(F.col("provider_id")),
         "next_attempt_at": F.when(~hit, F.col("next_attempt_at")),
@@ -175,7 +175,7 @@ def client_due(jobs: DataFrame, now: datetime) -> DataFrame:
 
 
 def client_requeue_interrupted(jobs: DataFrame, now: datetime) -> DataFrame:
-    hit = F.col("status") == "processing"
+    hit = F.col("status").eqNullSafe("processing")
     return jobs.withColumns({
         "status": F.when(hit, "pending").otherwise(F.col("status")),
         "nextAttemptAt": F.when(~hit, F.col("nextAttemptAt")),
