@@ -224,7 +224,7 @@ FROM grouped LEFT JOIN {_COLOURS} AS colours(known, colour) ON known = id WHERE
 JOIN {catalogue_sql("category.")} ON key = {_LABEL_KEY.format("id")}""",
         _KNOWN_RECEIPTS, _flagged(), _grouped("category")),
     "insight_text_known": views.sql(
-        _SENTENCE.replace("'category.other'", _LABEL_KEY.format("f.id")),
+        _SENTENCE.replace("c.key = 'category.other'", "c.key = " + _LABEL_KEY.format("f.id")),
         _KNOWN_RECEIPTS, *_FOUND_VIEWS[1:]),
     "receipts_view": views.sql("SELECT * FROM receipts", views.RECEIPTS),
     "items_view": views.sql("SELECT * FROM items", views.ITEMS),
