@@ -62,7 +62,8 @@ def period_totals(receipts: DataFrame, now: datetime) -> DataFrame:
     return totals.withColumns({k: F.lit(v.isoformat()) for k, v in bounds.items()})
 
 
-def _keys() -> dict[str, Column]:
+def spending_keys() -> dict[str, Column]:
+    """What a receipt counts to."""
     return {
         CATEGORY: text.category_key(F.col("categoryId")),
         MERCHANT: text.merchant_key(F.col("merchantNormalized"), F.col("merchantRaw")),
@@ -71,7 +72,7 @@ def _keys() -> dict[str, Column]:
 
 def comparison(receipts: DataFrame, now: datetime, dimension: str) -> DataFrame:
     """One row for each key seen in either period; ``count`` is of the current one."""
-    keyed = _both_periods(receipts, now).withColumn("id", _keys()[dimension])
+    keyed = _both_periods(receipts, now).withColumn("id", spending_keys()[dimension])
     return with_change(keyed.groupBy("id").agg(*_measures()))
 
 
@@ -88,7 +89,8 @@ def contributions(receipts: DataFrame, now: datetime, dimension: str) -> DataFra
     previous = F.coalesce(good & ~current & dates.text_between(
         day, period.previous_start, period.previous_end), F.lit(False))
     return receipts.select(
-        "id", "server_sequence", F.when(current | previous, _keys()[dimension]).alias("key"),
+        "id", "server_sequence",
+        F.when(current | previous, spending_keys()[dimension]).alias("key"),
         F.when(current, amount).otherwise(0).alias("total"),
         current.cast("long").alias("count"),
         F.when(previous, amount).otherwise(0).alias("previousTotal"),
@@ -104,7 +106,7 @@ def compared(deltas: DataFrame) -> DataFrame:
 
 def comparison_all(receipts: DataFrame, now: datetime) -> DataFrame:
     """Totals, categories and merchants from a single pass over the receipts."""
-    keyed = _both_periods(receipts, now).withColumns(_keys())
+    keyed = _both_periods(receipts, now).withColumns(spending_keys())
     grouped = keyed.groupingSets(
         [[F.col(CATEGORY)], [F.col(MERCHANT)], []], CATEGORY, MERCHANT
     ).agg(F.grouping_id().alias("gid"), *_measures())

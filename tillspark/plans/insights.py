@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tillspark.functions.catalogue import LANGUAGE_ORDER, catalogue_sql
 from tillspark.model import CATEGORIES, DEFAULT_COLOUR
-from tillspark.operators import insights
+from tillspark.operators import insights, rollup
 from tillspark.plans import views
+from tillspark.session import work_dir
 from tillspark.sources import adapter
+from tillspark.sources.rollups import Rollups
 
 NOW = adapter.NOW
 
@@ -17,16 +19,40 @@ def _receipts(spark, sf_dir):
     return adapter.receipts(spark, sf_dir)
 
 
+def _period(s, d, now=NOW):
+    return adapter.receipts_of_period(s, d, now)
+
+
 def _items(spark, sf_dir):
     return adapter.receipt_items(spark, sf_dir)
 
 
 def _comparison(dimension):
-    return lambda s, d: insights.comparison(_receipts(s, d), NOW, dimension)
+    return lambda s, d: insights.comparison(_period(s, d), NOW, dimension)
 
 
 def _products(s, d):
-    return insights.product_totals(_receipts(s, d), _items(s, d), NOW)
+    return insights.product_totals(_period(s, d), _items(s, d), NOW)
+
+
+def _edited(receipts):
+    """Every seventh receipt is deleted, every fifth of the others costs more on another day."""
+    key, day = F.col("id").cast("long"), F.col("transactionDate")
+    edited = receipts.where((key % 7 != 0) & (key % 5 == 0)).withColumns({
+        "totalMinor": F.col("totalMinor") + 700,
+        "transactionDate": F.date_sub(day.cast("date"), 9).cast("string"),
+        "categoryId": F.when(key % 10 == 0, "gift").otherwise(F.col("categoryId"))})
+    return receipts.where((key % 7 == 0) | (key % 5 == 0)), edited
+
+
+def _rolled(result):
+    """A query on the stored rollup after the edits came in as differences."""
+    def run(s, d):
+        rollups = Rollups(s, work_dir(s, "rollup"))
+        rollups.apply(rollup.daily(_receipts(s, d)), 0)
+        rollups.apply(rollup.differences(*_edited(_receipts(s, d))), 1)
+        return result(rollups.of_period(NOW))
+    return run
 
 
 def _prices(s, d):
@@ -49,9 +75,13 @@ def _known(s, d):
     return adapter.with_known_categories(_receipts(s, d))
 
 
+def _known_period(s, d):
+    return adapter.with_known_categories(_period(s, d))
+
+
 def _labels_known(s, d):
     """Each category of the comparison with its label in each language."""
-    compared = insights.comparison(_known(s, d), NOW, insights.CATEGORY)
+    compared = insights.comparison(_known_period(s, d), NOW, insights.CATEGORY)
     languages = F.explode(F.array(*map(F.lit, LANGUAGE_ORDER)))
     return insights.category_labels(compared.select("id", "total", languages.alias("lang")),
                                     F.col("id"))
@@ -59,36 +89,41 @@ def _labels_known(s, d):
 
 QUERIES = {
     "category_share_known": lambda s, d: insights.category_share(
-        insights.comparison(_known(s, d), NOW, insights.CATEGORY)),
+        insights.comparison(_known_period(s, d), NOW, insights.CATEGORY)),
     "category_labels_known": _labels_known,
     "insight_text_known": lambda s, d: insights.insight_text(
         insights.findings(_known(s, d), _items(s, d), NOW)),
     "receipts_view": lambda s, d: _receipts(s, d).drop(
         "warnings", "ai", "subtotalMinor", "taxMinor", "discountMinor", "overallConfidence"),
     "items_view": lambda s, d: _items(s, d).drop("confidence"),
-    "period_totals": lambda s, d: insights.period_totals(_receipts(s, d), NOW),
+    "period_totals": lambda s, d: insights.period_totals(_period(s, d), NOW),
     "period_totals_morning": lambda s, d: insights.period_totals(
-        _receipts(s, d), NOW.replace(hour=11, minute=59, second=59)),
+        _period(s, d), NOW.replace(hour=11, minute=59, second=59)),
     "period_totals_clamped": lambda s, d: insights.period_totals(
-        _receipts(s, d), NOW.replace(month=3, day=31)),
+        _period(s, d, NOW.replace(month=3, day=31)), NOW.replace(month=3, day=31)),
     "category_comparison": _comparison(insights.CATEGORY),
     "merchant_comparison": _comparison(insights.MERCHANT),
-    "comparison_grouping_sets": lambda s, d: insights.comparison_all(_receipts(s, d), NOW),
+    "comparison_grouping_sets": lambda s, d: insights.comparison_all(_period(s, d), NOW),
     "product_totals": _products,
     "price_changes": _prices,
     "findings": lambda s, d: insights.findings(_receipts(s, d), _items(s, d), NOW),
     "category_share": lambda s, d: insights.category_share(
-        insights.comparison(_receipts(s, d), NOW, insights.CATEGORY)),
+        insights.comparison(_period(s, d), NOW, insights.CATEGORY)),
     "top_categories": lambda s, d: insights.top_by_total(insights.positive(
-        insights.comparison(_receipts(s, d), NOW, insights.CATEGORY))),
+        insights.comparison(_period(s, d), NOW, insights.CATEGORY))),
     "top_merchants": lambda s, d: insights.top_by_total(insights.positive(
-        insights.comparison(_receipts(s, d), NOW, insights.MERCHANT))),
+        insights.comparison(_period(s, d), NOW, insights.MERCHANT))),
     "top_products": lambda s, d: insights.top_by_total(_products(s, d)),
     "top_price_changes": lambda s, d: insights.top_price_changes(_prices(s, d)),
     "insight_text": lambda s, d: insights.insight_text(
         insights.findings(_receipts(s, d), _items(s, d), NOW)),
     "snapshot_hash": _snapshot_hash,
     "snapshot_rows": _snapshot_rows,
+    "rollup_period_totals": _rolled(lambda rows: rollup.period_totals(rows, NOW)),
+    "rollup_category_comparison": _rolled(
+        lambda rows: rollup.comparison(rows, NOW, insights.CATEGORY)),
+    "rollup_merchant_comparison": _rolled(
+        lambda rows: rollup.comparison(rows, NOW, insights.MERCHANT)),
 }
 
 CHANGE = """total - "previousTotal" AS difference,
@@ -212,6 +247,21 @@ _COLOURS = "(VALUES " + ", ".join(f"('{c}', '{colour}')" for c, colour in CATEGO
 _LABEL_KEY = "'category.' || CASE WHEN {0} IN (" + ", ".join(
     f"'{c}'" for c, _ in CATEGORIES) + ") THEN {0} ELSE 'other' END"
 
+_EDITED_RECEIPTS = views.RECEIPTS.replace("receipts AS (", "before AS (", 1) + """,
+receipts AS (SELECT * REPLACE (
+    CASE WHEN edited THEN "totalMinor" + 700 ELSE "totalMinor" END AS "totalMinor",
+    CASE WHEN edited THEN strftime(CAST("transactionDate" AS DATE) - 9, '%Y-%m-%d')
+      ELSE "transactionDate" END AS "transactionDate",
+    CASE WHEN edited AND CAST(id AS BIGINT) % 10 = 0 THEN 'gift' ELSE "categoryId" END
+      AS "categoryId")
+  FROM (SELECT *, CAST(id AS BIGINT) % 5 = 0 AS edited FROM before
+    WHERE CAST(id AS BIGINT) % 7 <> 0))"""
+
+
+def _edited_sql(name):
+    return ORACLE[name].replace(views.RECEIPTS, _EDITED_RECEIPTS)
+
+
 ORACLE = {
     "category_share_known": views.sql(
         f"""SELECT id, total, total / 100e0 AS amount,
@@ -290,3 +340,5 @@ FROM (SELECT sha256(concat_ws(chr(31), section, id, coalesce(CAST(total AS VARCH
         views.RECEIPTS, views.ITEMS, _flagged(), _grouped("category", "by_category"),
         _grouped("merchant", "by_merchant"), _grouped("1", "by_nothing"), PRODUCTS, PRICES),
 }
+ORACLE |= {f"rollup_{name}": _edited_sql(name)
+           for name in ("period_totals", "category_comparison", "merchant_comparison")}

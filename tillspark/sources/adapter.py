@@ -6,10 +6,11 @@ grouping: at any size it is a scan plus key lookups whose strategy Catalyst pick
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tillspark.functions.dates import comparable_period
 from tillspark.functions.text import sha256_hex
 from tillspark.model import REPLICATED_COLLECTIONS
 
@@ -32,6 +33,21 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return receipts_from(_table(spark, sf_dir, "orders"), spark, sf_dir)
 
 
+def receipts_between(spark: SparkSession, sf_dir: str, first: date, last: date) -> DataFrame:
+    """Receipts whose transaction date can lie in a range of days; the range reaches the scan."""
+    orders = _table(spark, sf_dir, "orders")
+    kind = orders.schema["o_orderdate"].dataType
+    begin, end = (F.lit(d.isoformat()).cast(kind) for d in (first, last + timedelta(days=1)))
+    placed = F.col("o_orderdate")
+    return receipts_from(orders.where((placed >= begin) & (placed < end)), spark, sf_dir)
+
+
+def receipts_of_period(spark: SparkSession, sf_dir: str, now: datetime) -> DataFrame:
+    """Receipts that the comparison of ``now`` can count."""
+    period = comparable_period(now)
+    return receipts_between(spark, sf_dir, period.previous_start, period.end)
+
+
 def receipts_from(orders: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts of an order table or stream."""
     customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey",
