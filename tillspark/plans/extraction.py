@@ -11,7 +11,10 @@ from tillspark.functions.dates import iso_micros
 from tillspark.model import SUPPORTED_LOCALES
 from tillspark.operators import bridge, contract, extraction, queue, step
 from tillspark.plans import views
+from tillspark.session import cut_lineage, work_dir
 from tillspark.sources import adapter
+from tillspark.sources.item_index import ItemIndex
+from tillspark.streaming.levels import Levels
 
 NOW = datetime(2001, 8, 15, 9, 30, 0, 250000)
 STAMP = iso_micros(NOW)
@@ -134,15 +137,44 @@ def _answer(content, mime_type, prompt):
         "warnings": []})
 
 
-def _step(s, d):
-    receipts = _receipts(s, d)
+def _claim(s, d):
     claimed = queue.due(adapter.extraction_jobs(s, d), NOW).withColumn(
         "status", F.lit("processing"))
-    content = receipts.select(F.col("imageHash").alias("hash"),
-                              F.col("id").cast("binary").alias("content"))
-    return step.extraction_step(
-        _log(s, d), claimed, content, _answer, NOW, "ollama", "vision:latest", LAST_SEQUENCE,
-        F.concat("receipt_id", F.lit("-new-"), F.col("position").cast("string")))
+    return claimed, _receipts(s, d).select(F.col("imageHash").alias("hash"),
+                                           F.col("id").cast("binary").alias("content"))
+
+
+def _setting():
+    return (_answer, NOW, "ollama", "vision:latest", LAST_SEQUENCE,
+            F.concat("receipt_id", F.lit("-new-"), F.col("position").cast("string")))
+
+
+def _step(s, d):
+    return step.extraction_step(_log(s, d), *_claim(s, d), *_setting())
+
+
+def _indexed_step(s, d):
+    """The same step after the log came in two batches, on levelled state and the item index."""
+    log = cut_lineage(_log(s, d), "log")
+    levels = Levels(s, work_dir(s, "step-levels"), log.schema.simpleString()[7:-1].replace(
+        ":", " "))
+    index = ItemIndex(s, work_dir(s, "step-index"))
+    for batch, odd in enumerate((0, 1)):
+        levels.append(log.where(F.col("server_sequence") % 2 == odd), batch)
+    middle = log.agg((F.max("server_sequence") / 2).cast("long").alias("middle")).first().middle
+    for part in (log.where(F.col("server_sequence") <= middle), log):
+        index.update(part)
+    claimed, content = _claim(s, d)
+    return step.documents_step(*step.indexed_documents(levels, index, claimed), claimed, content,
+                               *_setting())
+
+
+def _written(collection, *columns):
+    """Columns of the documents that the step on the index appends."""
+    def run(s, d):
+        changes = _indexed_step(s, d)[0].where(F.col("collection_name") == collection)
+        return bridge.parsed(changes, collection).selectExpr(*columns)
+    return run
 
 
 QUERIES = {
@@ -157,6 +189,16 @@ QUERIES = {
         "id", "status", "attempts", "last_error_code"),
     "extraction_step_changes": lambda s, d: _step(s, d)[0].select(
         "collection_name", "document_id", "is_deleted", "server_sequence"),
+    "extraction_step_receipts": _written(
+        "receipts", "id", "status", "merchantRaw", "merchantNormalized", "transactionDate",
+        "currency", "totalMinor", "categoryId", "imageHash", "capturedAt", "overallConfidence",
+        "userConfirmed", "ai.modelId AS modelId", "updatedAt", "updatedByDevice",
+        "_deleted"),
+    "extraction_step_items": _written(
+        "receipt_items", "id", "receiptId", "rawName", "normalizedName", "quantity",
+        "unitPriceMinor", "totalPriceMinor", "categoryId", "confidence", "position",
+        "userEdited", "updatedAt", "updatedByDevice", "_deleted"),
+    "extraction_step_outcomes": lambda s, d: _indexed_step(s, d)[1],
     "extraction_valid": _valid,
     "extraction_rejects": _rejects(),
     "extraction_rejects_client": _rejects(contract.CLIENT),
@@ -214,6 +256,10 @@ FROM (SELECT *, attempts + CASE way WHEN 'invalid' THEN {_CODES["invalid"][1]}
     WHEN 'http' THEN {_CODES["http"][1]} ELSE 0 END AS tries,
     CASE way WHEN 'invalid' THEN '{_CODES["invalid"][0]}' WHEN 'http' THEN '{_CODES["http"][0]}'
       WHEN 'skipped' THEN 'user_edited' END AS code FROM step)"""
+_MESSAGES = " ".join(
+    f"WHEN '{code}' THEN '{message}'" for code, message in {
+        **{code: message for kind, code, message, _, _ in queue.FAILURES
+           if kind in ("http", "invalid")}, "user_edited": "User edits were preserved"}.items())
 _STEP_CHANGES = f"""SELECT collection_name, document_id, is_deleted, {LAST_SEQUENCE}
   + row_number() OVER (ORDER BY collection_name, document_id) AS server_sequence
 FROM (SELECT 'receipts' AS collection_name, receipt_id AS document_id, FALSE AS is_deleted
@@ -248,6 +294,32 @@ FROM (SELECT 'receipts' AS collection_name, id AS document_id FROM receipts
         _STEP_JOBS, views.JOBS, views.RECEIPTS, views.ITEMS, _STEP),
     "extraction_step_changes": views.sql(
         _STEP_CHANGES, views.JOBS, views.RECEIPTS, views.ITEMS, _STEP),
+    "extraction_step_receipts": views.sql(
+        f"""SELECT r.id, 'needs_review' AS status, 'SHOP' AS "merchantRaw",
+  'Shop' AS "merchantNormalized", "transactionDate", 'EUR' AS currency,
+  CAST(r.id AS BIGINT) AS "totalMinor", 'other' AS "categoryId", "imageHash", "capturedAt",
+  0.5e0 AS "overallConfidence", "userConfirmed", 'vision:latest' AS "modelId",
+  '{STAMP}' AS "updatedAt", 'extraction-worker' AS "updatedByDevice", FALSE AS _deleted
+FROM receipts r JOIN step s ON s.receipt_id = r.id WHERE way = 'completed'""",
+        views.JOBS, views.RECEIPTS, views.ITEMS, _STEP),
+    "extraction_step_items": views.sql(
+        f"""SELECT i.id, i."receiptId", "rawName", "normalizedName", quantity, "unitPriceMinor",
+  "totalPriceMinor", "categoryId", CAST(NULL AS DOUBLE) AS confidence, position, "userEdited",
+  '{STAMP}' AS "updatedAt", 'extraction-worker' AS "updatedByDevice", TRUE AS _deleted
+FROM items i JOIN step s ON s.receipt_id = i."receiptId" AND way = 'completed'
+WHERE position <> 6
+UNION ALL SELECT receipt_id || '-new-0', receipt_id, 'THING', 'THING', 1,
+  CAST(receipt_id AS BIGINT), CAST(receipt_id AS BIGINT), 'other', 0.5e0, 0, FALSE, '{STAMP}',
+  'extraction-worker', FALSE FROM step WHERE way = 'completed'""",
+        views.JOBS, views.RECEIPTS, views.ITEMS, _STEP),
+    "extraction_step_outcomes": views.sql(
+        f"""SELECT o.id, j.receipt_id, image_hash, provider_id, locale, currency, o.status,
+  o.attempts, CASE WHEN o.status = 'pending' THEN '2001-08-15T09:30:30.250000Z' END
+    AS next_attempt_at, o.last_error_code,
+  CASE o.last_error_code {_MESSAGES} END AS last_error_message, created_at,
+  '{STAMP}' AS updated_at
+FROM ({_STEP_JOBS}) o JOIN jobs j ON j.id = o.id""",
+        views.JOBS, views.RECEIPTS, views.ITEMS, _STEP),
     "extraction_valid": views.sql(
         """SELECT job_id, receipt_id, merchant_raw AS "merchantRaw",
   tx_date AS "transactionDate", 'EUR' AS currency, CAST(0 AS BIGINT) AS "taxMinor",
