@@ -17,14 +17,17 @@ from tillspark.model import CATEGORIES, DEFAULT_COLOUR, UNKNOWN_MERCHANT
 CATEGORY, MERCHANT = "category", "merchant"
 
 
+def is_usable() -> Column:
+    return (F.col("totalMinor").isNotNull() & F.col("transactionDate").isNotNull()
+            & (F.col("transactionDate") != ""))
+
+
 def usable(receipts: DataFrame) -> DataFrame:
     """Receipts with a total and a non-empty date."""
-    return receipts.where(F.col("totalMinor").isNotNull()
-                          & F.col("transactionDate").isNotNull()
-                          & (F.col("transactionDate") != ""))
+    return receipts.where(is_usable())
 
 
-def _both_periods(receipts: DataFrame, now: datetime) -> DataFrame:
+def both_periods(receipts: DataFrame, now: datetime) -> DataFrame:
     """Usable receipts of either period with a flag for the current one."""
     period = dates.comparable_period(now)
     day = F.col("transactionDate")
@@ -36,7 +39,7 @@ def _both_periods(receipts: DataFrame, now: datetime) -> DataFrame:
             .withColumn("in_current", current))
 
 
-def _measures() -> list[Column]:
+def measures() -> list[Column]:
     amount = F.coalesce(F.col("totalMinor"), F.lit(0))
     return [
         F.coalesce(F.sum(F.when(F.col("in_current"), amount)), F.lit(0)).alias("total"),
@@ -56,7 +59,7 @@ def with_change(df: DataFrame) -> DataFrame:
 def period_totals(receipts: DataFrame, now: datetime) -> DataFrame:
     """Period bounds, both totals, their difference and percent change."""
     period = dates.comparable_period(now)
-    totals = with_change(_both_periods(receipts, now).agg(*_measures()).drop("count"))
+    totals = with_change(both_periods(receipts, now).agg(*measures()).drop("count"))
     bounds = {"start": period.start, "end": period.end,
               "previousStart": period.previous_start, "previousEnd": period.previous_end}
     return totals.withColumns({k: F.lit(v.isoformat()) for k, v in bounds.items()})
@@ -72,8 +75,8 @@ def spending_keys() -> dict[str, Column]:
 
 def comparison(receipts: DataFrame, now: datetime, dimension: str) -> DataFrame:
     """One row for each key seen in either period; ``count`` is of the current one."""
-    keyed = _both_periods(receipts, now).withColumn("id", spending_keys()[dimension])
-    return with_change(keyed.groupBy("id").agg(*_measures()))
+    keyed = both_periods(receipts, now).withColumn("id", spending_keys()[dimension])
+    return with_change(keyed.groupBy("id").agg(*measures()))
 
 
 def contributions(receipts: DataFrame, now: datetime, dimension: str) -> DataFrame:
@@ -106,10 +109,10 @@ def compared(deltas: DataFrame) -> DataFrame:
 
 def comparison_all(receipts: DataFrame, now: datetime) -> DataFrame:
     """Totals, categories and merchants from a single pass over the receipts."""
-    keyed = _both_periods(receipts, now).withColumns(spending_keys())
+    keyed = both_periods(receipts, now).withColumns(spending_keys())
     grouped = keyed.groupingSets(
         [[F.col(CATEGORY)], [F.col(MERCHANT)], []], CATEGORY, MERCHANT
-    ).agg(F.grouping_id().alias("gid"), *_measures())
+    ).agg(F.grouping_id().alias("gid"), *measures())
     dimension = F.when(F.col("gid") == 1, CATEGORY).when(F.col("gid") == 2, MERCHANT) \
         .otherwise("all")
     key = F.when(F.col("gid") == 1, F.col(CATEGORY)).when(F.col("gid") == 2, F.col(MERCHANT)) \
@@ -175,22 +178,29 @@ def product_findings(receipts: DataFrame, items: DataFrame, now: datetime) -> Da
     return with_price_change(product_summaries(product_lines(receipts, items, now)))
 
 
-def product_lines(receipts: DataFrame, items: DataFrame, now: datetime) -> DataFrame:
-    """What each item adds to its product: its figures and the day of its receipt, if usable."""
+def product_lines(receipts: DataFrame, items: DataFrame, now: datetime,
+                  *more: str) -> DataFrame:
+    """What each item adds to its product: its figures and the day of its receipt, if usable.
+
+    ``more``: columns that each receipt, usable or not, hands to its items.
+    """
     period = dates.comparable_period(now)
-    day = F.col("transactionDate")
-    dated = usable(receipts).select(F.col("id").alias("receiptId"), day,
-                                    dates.in_current(day, period).alias("in_current"))
+    good = is_usable()
+    day = F.when(good, F.col("transactionDate")).alias("transactionDate")
+    heads = receipts if more else usable(receipts)
+    dated = heads.select(F.col("id").alias("receiptId"), day, F.when(
+        good, dates.in_current(F.col("transactionDate"), period)).alias("in_current"), *more)
     return _named_items(items).join(dated, "receiptId", "left").select(
-        "name", "id", "unitPriceMinor", "totalPriceMinor", "quantity", day, "in_current")
+        "name", "id", "unitPriceMinor", "totalPriceMinor", "quantity", "transactionDate",
+        "in_current", *more)
 
 
-def product_summaries(lines: DataFrame) -> DataFrame:
-    """Current totals, latest price, price sum and observations of each product."""
+def product_summaries(lines: DataFrame, *by: str) -> DataFrame:
+    """Current totals, latest price, price sum and observations of each product (and ``by``)."""
     current = F.coalesce("in_current", F.lit(False))
     priced = F.col("unitPriceMinor").isNotNull()
     order = F.when(priced, F.struct(F.coalesce("transactionDate", F.lit("")), F.col("id")))
-    return lines.groupBy(F.col("name").alias("id")).agg(
+    return lines.groupBy(*by, F.col("name").alias("id")).agg(
         F.sum(F.when(current, F.coalesce("totalPriceMinor", F.lit(0)))).alias("total"),
         F.count(F.when(current, 1)).alias("frequency"),
         F.sum(F.when(current, F.coalesce("quantity", F.lit(1.0)))).alias("quantity"),
@@ -390,17 +400,22 @@ def snapshot_measures(receipts: DataFrame, items: DataFrame, now: datetime,
         F.inline("entries")).where("present").drop("present")
 
 
-def dataset_hash(rows: DataFrame, columns: list[str], language: str) -> DataFrame:
+def dataset_hash(rows: DataFrame, columns: list[str], language: str | Column,
+                 by: list[str] | None = None) -> DataFrame:
     """SHA-256 over a row multiset: independent of order, one partial sum for each task.
 
+    ``by``: one hash for each value of these columns, of which ``language`` may be one.
+
     Each row's digest is split in four 60-bit lanes; the lanes are summed exactly.
     """
     digest = text.sha256_hex(F.concat_ws("\u001f", *columns))
     lanes = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
              for i in range(4)]
-    summed = rows.agg(F.count(F.lit(1)).alias("rows"),
-                      *[F.sum(lane).alias(f"lane{i}") for i, lane in enumerate(lanes)])
+    summed = rows.groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.sum(lane).alias(f"lane{i}") for i, lane in enumerate(lanes)])
     parts = [F.coalesce(F.col(f"lane{i}"), F.lit(0)).cast("string") for i in range(4)]
-    return summed.select("rows", text.sha256_hex(
-        F.concat_ws("|", F.lit(language), F.col("rows").cast("string"), *parts))
+    language = F.lit(language) if isinstance(language, str) else language
+    return summed.select(*(by or []), "rows", text.sha256_hex(
+        F.concat_ws("|", language, F.col("rows").cast("string"), *parts))
         .alias("datasetHash"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tillspark.functions.catalogue import LANGUAGE_ORDER, catalogue_sql
+from tillspark.functions.dates import iso_millis
+from tillspark.functions.language import locale_for
 from tillspark.model import CATEGORIES, DEFAULT_COLOUR
-from tillspark.operators import insights, rollup
+from tillspark.operators import insights, rollup, summary
+from tillspark.operators.extraction import ModelUnavailable
 from tillspark.plans import views
 from tillspark.session import work_dir
 from tillspark.sources import adapter
@@ -87,7 +92,40 @@ def _labels_known(s, d):
                                     F.col("id"))
 
 
+def _owners(s, d):
+    """Settings of all customers; some have a locale that was never migrated."""
+    raw = F.col("locale")
+    return adapter.settings(s, d).withColumn(
+        "locale", F.when(raw == "pt-BR", raw).otherwise(locale_for(raw))).select(
+        "id", "locale", "aiSummary")
+
+
+def _summarise(content, mime_type, prompt):
+    """A model that counts what the snapshot lists, and sometimes fails."""
+    snapshot = json.loads(prompt.split("Dati aggregati:\n", 1)[1])
+    if snapshot["total"] % 11 == 1:
+        raise ModelUnavailable("busy")
+    if snapshot["total"] % 7 == 1:
+        return "no summary"
+    observations = [f"{len(snapshot['items'])} products",
+                    f"{len(snapshot['categories'])} categories"]
+    observations += [f"price of {p['id']}" for p in snapshot["priceChanges"][:1]]
+    merchants = [m["id"] for m in snapshot["merchants"][:1]]
+    return json.dumps({"observations": observations,
+                       "suggestion": merchants[0] if merchants else None})
+
+
+def _step(part):
+    def run(s, d):
+        return summary.insight_step(_owners(s, d), adapter.owned_receipts(s, d), _items(s, d),
+                                    _summarise, NOW)[part]
+    return run
+
+
 QUERIES = {
+    "insight_step": _step(0),
+    "insight_step_outcomes": lambda s, d: _step(1)(s, d).withColumn(
+        "violations", F.array_join("violations", ",")),
     "category_share_known": lambda s, d: insights.category_share(
         insights.comparison(_known_period(s, d), NOW, insights.CATEGORY)),
     "category_labels_known": _labels_known,
@@ -258,11 +296,96 @@ receipts AS (SELECT * REPLACE (
     WHERE CAST(id AS BIGINT) % 7 <> 0))"""
 
 
+_OWNED_RECEIPTS = views.RECEIPTS.replace(
+    """AS "updatedByDevice"\n""", """AS "updatedByDevice", 's-' || o_custkey AS owner\n""")
+
+
+def _by_owner(key: str, name: str) -> str:
+    return _grouped(key, name).replace(f"SELECT {key} AS id", f"SELECT owner, {key} AS id") \
+        .replace("GROUP BY 1", "GROUP BY 1, 2")
+
+
+_OWNER_PRODUCTS = """named AS (
+  SELECT i.*, r.owner, trim(coalesce(nullif("normalizedName", ''), "rawName", '')) AS name,
+    CASE WHEN "totalMinor" IS NOT NULL THEN "transactionDate" END AS day
+  FROM items i JOIN receipts r ON r.id = i."receiptId"),
+products AS (
+  SELECT owner, name AS id, CAST(sum(coalesce("totalPriceMinor", 0)) AS BIGINT) AS total,
+    sum(coalesce(quantity, 1e0)) AS quantity, count(*) AS frequency
+  FROM named WHERE name <> '' AND day BETWEEN '2001-07-01' AND '2001-07-14' GROUP BY 1, 2),
+observed AS (
+  SELECT owner, name, "unitPriceMinor" AS price, row_number() OVER (
+    PARTITION BY owner, name ORDER BY coalesce(day, '') DESC, id DESC) AS back
+  FROM named WHERE name <> '' AND "unitPriceMinor" IS NOT NULL),
+prices AS (
+  SELECT owner, name AS id, max(price) FILTER (WHERE back = 1) AS latest,
+    CAST(floor(CAST(sum(price) FILTER (WHERE back > 1) AS DOUBLE)
+      / CAST(count(*) - 1 AS DOUBLE) + 0.5e0) AS BIGINT) AS average
+  FROM observed GROUP BY 1, 2 HAVING count(*) >= 2)"""
+
+_STEPPED = f"""heads AS (
+  SELECT id AS owner, "aiSummary", ['it-IT', 'fr-FR', 'de-DE', 'pt-BR', 'en-GB', 'es-ES',
+    'en-GB'][CAST(CAST(substr(id, 3) AS BIGINT) % 7 + 1 AS INTEGER)] AS locale FROM settings),
+said AS (
+  SELECT owner, 'category' AS section, id, total, count, "previousTotal",
+    CAST(NULL AS BIGINT) AS thousandths, CAST(NULL AS BIGINT) AS latest,
+    CAST(NULL AS BIGINT) AS average FROM by_category
+  UNION ALL SELECT owner, 'merchant', id, total, count, "previousTotal", NULL, NULL, NULL
+    FROM by_merchant
+  UNION ALL SELECT owner, 'all', 'all', total, count, "previousTotal", NULL, NULL, NULL
+    FROM by_owner
+  UNION ALL SELECT owner, 'items', id, total, frequency, NULL,
+    CAST(round(quantity * 1000) AS BIGINT), NULL, NULL FROM products
+  UNION ALL SELECT owner, 'priceChanges', id, NULL, NULL, NULL, NULL, latest, average FROM prices
+  UNION ALL SELECT owner, 'period', '2001-07-01 2001-07-14 2001-06-01 2001-06-14', NULL, NULL,
+    NULL, NULL, NULL, NULL FROM heads
+  UNION ALL SELECT owner, 'locale', locale, NULL, NULL, NULL, NULL, NULL, NULL FROM heads),
+hashes AS (
+  SELECT owner, count(*) AS rows, {_LANES} AS lanes FROM (
+    SELECT owner, sha256(concat_ws(chr(31), section, id, coalesce(CAST(total AS VARCHAR), ''),
+      coalesce(CAST(count AS VARCHAR), ''), coalesce(CAST("previousTotal" AS VARCHAR), ''),
+      coalesce(CAST(thousandths AS VARCHAR), ''), coalesce(CAST(latest AS VARCHAR), ''),
+      coalesce(CAST(average AS VARCHAR), ''))) AS digest FROM said) GROUP BY owner),
+first_price AS (
+  SELECT owner, id FROM (SELECT owner, id, row_number() OVER (PARTITION BY owner ORDER BY
+    abs(coalesce(CASE WHEN average = 0 THEN CASE WHEN latest = 0 THEN 0e0 END
+      ELSE CAST(latest - average AS DOUBLE) / CAST(average AS DOUBLE) * 100e0 END, 0e0)) DESC, id)
+    AS place FROM prices) WHERE place = 1),
+first_merchant AS (
+  SELECT owner, id FROM (SELECT owner, id, row_number() OVER (PARTITION BY owner
+    ORDER BY total DESC, id) AS place FROM by_merchant) WHERE place = 1),
+counted AS (
+  SELECT owner, count(*) FILTER (WHERE section = 'items') AS products,
+    count(*) FILTER (WHERE section = 'category') AS categories,
+    coalesce(max(total) FILTER (WHERE section = 'all'), 0) AS total FROM said GROUP BY owner),
+stepped AS (
+  SELECT h.owner AS id, h.locale, h."aiSummary", CASE WHEN h.locale = 'pt-BR'
+      THEN 'invalid_request' WHEN total % 11 = 1 THEN 'http' WHEN total % 7 = 1 THEN 'invalid' END
+    AS failure,
+    '{{"observations":["' || products || ' products","' || categories || ' categories"'
+      || coalesce(',"price of ' || p.id || '"', '') || '],"suggestion":'
+      || coalesce('"' || m.id || '"', 'null') || ',"datasetHash":"'
+      || sha256(CASE WHEN h.locale = 'pt-BR' THEN 'en' ELSE substr(h.locale, 1, 2) END || '|'
+        || rows || '|' || lanes) || '","generatedAt":"{iso_millis(NOW)}"}}' AS summary
+  FROM heads h JOIN counted c ON c.owner = h.owner JOIN hashes k ON k.owner = h.owner
+  LEFT JOIN first_price p ON p.owner = h.owner LEFT JOIN first_merchant m ON m.owner = h.owner)"""
+_STEP_VIEWS = (_OWNED_RECEIPTS, views.ITEMS, views.SETTINGS, _flagged(),
+               _by_owner("category", "by_category"), _by_owner("merchant", "by_merchant"),
+               _by_owner("1", "by_owner"), _OWNER_PRODUCTS, _STEPPED)
+
+
 def _edited_sql(name):
     return ORACLE[name].replace(views.RECEIPTS, _EDITED_RECEIPTS)
 
 
 ORACLE = {
+    "insight_step": views.sql(
+        """SELECT id, locale, CASE WHEN failure IS NULL THEN summary ELSE "aiSummary" END
+  AS "aiSummary" FROM stepped""", *_STEP_VIEWS),
+    "insight_step_outcomes": views.sql(
+        """SELECT id, CASE WHEN failure IS NULL THEN 'saved' ELSE 'unavailable' END AS status,
+  failure, CASE failure WHEN 'invalid_request' THEN 'locale' WHEN 'invalid' THEN 'not_json_object'
+    ELSE '' END AS violations FROM stepped""", *_STEP_VIEWS),
     "category_share_known": views.sql(
         f"""SELECT id, total, total / 100e0 AS amount,
   CAST(total AS DOUBLE) / CAST(sum(total) OVER () AS DOUBLE) AS share,

@@ -48,8 +48,15 @@ def receipts_of_period(spark: SparkSession, sf_dir: str, now: datetime) -> DataF
     return receipts_between(spark, sf_dir, period.previous_start, period.end)
 
 
-def receipts_from(orders: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receipts of an order table or stream."""
+def owned_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts with the id of the settings row of their customer."""
+    owner = F.concat(F.lit("s-"), "o_custkey").alias("owner")
+    return receipts_from(_table(spark, sf_dir, "orders"), spark, sf_dir, owner)
+
+
+def receipts_from(orders: DataFrame, spark: SparkSession, sf_dir: str,
+                  *more: Column) -> DataFrame:
+    """Receipts of an order table or stream, with more columns of it if wanted."""
     customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey",
                                                         "c_mktsegment")
     nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -81,7 +88,7 @@ def receipts_from(orders: DataFrame, spark: SparkSession, sf_dir: str) -> DataFr
                  _none().alias("promptVersion"), _none("int").alias("schemaVersion"))
         .alias("ai"),
         F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.000'Z'").alias("updatedAt"),
-        F.concat(F.lit("dev-"), F.col("o_custkey") % 4).alias("updatedByDevice"),
+        F.concat(F.lit("dev-"), F.col("o_custkey") % 4).alias("updatedByDevice"), *more,
     )
 
 
