@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tillspark.functions.urls import audit_endpoints
 from tillspark.model import FULL_SIDE, THUMBNAIL_SIDE
-from tillspark.operators import intake
+from tillspark.operators import intake, uploads
 from tillspark.plans import views
+from tillspark.session import cut_lineage
 from tillspark.sources import adapter
 
 NOW = datetime(2001, 8, 15, 9, 30, 0, 250000)
@@ -28,6 +29,27 @@ def _results(s, d):
     return intake.store_results(_checked(s, d), _stored(s, d))
 
 
+def _enqueued(s, d):
+    """Stored uploads, two or three to a receipt, on jobs of which some have the same file."""
+    number = F.floor(F.col("upload_id") / 3).cast("string")
+    accepted = cut_lineage(_results(s, d), "accepted").withColumn(
+        "receiptId", F.concat(F.lit("r_"), number))
+    first = accepted.groupBy("receiptId").agg(
+        F.min("upload_id").alias("key"), F.min_by("fileId", "upload_id").alias("file"))
+    made = F.lit("2001-01-01T00:00:00Z")
+    jobs = first.where(F.col("key") % 4 < 2).select(
+        F.concat(F.lit("job-"), "receiptId").alias("id"), F.col("receiptId").alias("receipt_id"),
+        F.when(F.col("key") % 4 == 0, F.col("file")).otherwise("old").alias("image_hash"),
+        F.lit("ollama").alias("provider_id"), F.lit("en-GB").alias("locale"),
+        F.lit("CHF").alias("currency"), F.lit("completed").alias("status"),
+        F.lit(2).alias("attempts"), F.lit(None).cast("string").alias("next_attempt_at"),
+        F.lit(None).cast("string").alias("last_error_code"),
+        F.lit(None).cast("string").alias("last_error_message"), made.alias("created_at"),
+        made.alias("updated_at"))
+    return uploads.enqueue_uploads(jobs, accepted, "openai", NOW,
+                                   F.concat(F.lit("new-"), F.col("receipt_id")), 5000)
+
+
 def _lookup(s, d):
     """Bytes of the claimed hash of each upload, in a store of every second one."""
     full = F.lit("full").alias("variant")
@@ -61,6 +83,8 @@ def _arrivals(s, d):
 
 
 QUERIES = {
+    "upload_jobs": lambda s, d: _enqueued(s, d)[0],
+    "upload_replies": lambda s, d: _enqueued(s, d)[1],
     "content_store": _results,
     "content_written": lambda s, d: intake.new_content(_checked(s, d), _results(s, d)).select(
         "prefix", "hash", F.octet_length("content").cast("long").alias("bytes")),
@@ -95,7 +119,35 @@ def _scaled(side: str, maximum: int) -> str:
             f"greatest(width, height)) + 0.5e0) AS BIGINT)) AS INTEGER)")
 
 
+_ENQUEUED = """accepted AS (
+  SELECT upload_id, 'r_' || (upload_id // 3) AS "receiptId", "fileId", "alreadyExisted"
+  FROM results),
+wanted AS (
+  SELECT "receiptId", min(upload_id) AS key, arg_min("fileId", upload_id) AS first_file,
+    arg_max("fileId", upload_id) AS last_file, count(DISTINCT "fileId") AS files
+  FROM accepted GROUP BY 1),
+queued AS (
+  SELECT *, CASE WHEN key % 4 < 2 THEN 'job-' ELSE 'new-' END || "receiptId" AS id,
+    key % 4 < 2 AS known, key % 4 > 0 OR files > 1 AS reset FROM wanted)"""
+
 ORACLE = {
+    "upload_jobs": views.sql(
+        """SELECT id, "receiptId" AS receipt_id, last_file AS image_hash,
+  CASE WHEN reset THEN 'openai' ELSE 'ollama' END AS provider_id,
+  CASE WHEN reset THEN 'it-IT' ELSE 'en-GB' END AS locale,
+  CASE WHEN reset THEN 'EUR' ELSE 'CHF' END AS currency,
+  CASE WHEN reset THEN 'pending' ELSE 'completed' END AS status,
+  CASE WHEN reset THEN 0 ELSE 2 END AS attempts, CAST(NULL AS VARCHAR) AS next_attempt_at,
+  CAST(NULL AS VARCHAR) AS last_error_code, CAST(NULL AS VARCHAR) AS last_error_message,
+  CASE WHEN known THEN '2001-01-01T00:00:00Z' ELSE '2001-08-15T09:30:00.250000Z' END
+    AS created_at,
+  CASE WHEN reset THEN '2001-08-15T09:30:00.250000Z' ELSE '2001-01-01T00:00:00Z' END
+    AS updated_at FROM queued""", views.UPLOADS, _RESULTS, _ENQUEUED),
+    "upload_replies": views.sql(
+        """SELECT a.*, q.id AS "jobId", CASE WHEN reset THEN 'pending' ELSE 'completed' END
+  AS status, CASE WHEN reset THEN 0 ELSE 2 END AS attempts
+FROM accepted a JOIN queued q ON q."receiptId" = a."receiptId" """,
+        views.UPLOADS, _RESULTS, _ENQUEUED),
     "content_store": views.sql("SELECT * FROM results", views.UPLOADS, _RESULTS),
     "content_written": views.sql(
         """SELECT substr("fileId", 1, 2) AS prefix, "fileId" AS hash, size AS bytes

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tillspark.functions.dates import iso_micros, iso_millis
-from tillspark.operators import queue
+from tillspark.operators import queue, uploads
 from tillspark.plans import views
 from tillspark.sources import adapter
 
@@ -58,7 +58,31 @@ def _enqueue(s, d):
     return queue.enqueue(adapter.extraction_jobs(s, d, gaps=True), _requests(s, d), "openai", NOW, new_id, 5000)
 
 
+def _uploads(s, d):
+    """Due jobs and their uploads; every fifth image lacks its bytes."""
+    due = queue.client_due(adapter.client_jobs(s, d), NOW)
+    images = adapter.images(s, d)
+    requests = queue.upload_requests(due, images, adapter.receipts(s, d), "it-IT", "EUR")
+    stored = images.where(F.col("sizeBytes") % 5 != 0).select(F.col("id").alias("hash"))
+    return due, images, uploads.ready_uploads(requests, stored)
+
+
+def _uploaded(s, d):
+    """Answers to the uploads that were sent: files, unavailable servers, refused files."""
+    due, images, requests = _uploads(s, d)
+    codes = F.array(F.lit(None), F.lit("503"), F.lit(None), F.lit("413"))
+    code = F.get(codes, (F.floor(F.substring("id", 4, 20).cast("long") / 2) % 4).cast("int"))
+    responses = requests.where(F.col("problem").isNull()).select(
+        "id", F.when(code.isNull(), F.col("sha256")).alias("file_id"), code.alias("error_code"),
+        F.when(code.isNotNull(), "refused").alias("message"))
+    return uploads.upload_results(due, images, requests, responses, NOW)
+
+
 QUERIES = {
+    "uploads_begun": lambda s, d: uploads.uploading(*_uploads(s, d)[1:]).select(
+        "id", "receiptId", "remoteStatus"),
+    "upload_results": lambda s, d: _uploaded(s, d)[1],
+    "upload_outcomes": lambda s, d: _uploaded(s, d)[0],
     "job_enqueue": _enqueue,
     "job_due": lambda s, d: queue.due(_jobs(s, d), NOW),
     "job_claim": lambda s, d: queue.claim(_jobs(s, d), NOW, 50),
@@ -117,7 +141,43 @@ def _reset(value: str, name: str) -> str:
     return f"CASE WHEN reset THEN {value} ELSE {name} END AS {name}"
 
 
+_SENT = f"""requested AS (
+  SELECT j.*, i.id AS image, CAST(substr(j.id, 4) AS BIGINT) AS number,
+    CASE WHEN i.id IS NULL THEN 'Image metadata is missing'
+      WHEN r.id IS NULL THEN 'Receipt metadata is missing'
+      WHEN i."sizeBytes" % 5 = 0 THEN 'Full image attachment is missing' END AS problem
+  FROM client_jobs j
+  LEFT JOIN (SELECT "receiptId", min(id) AS id, arg_min("sizeBytes", id) AS "sizeBytes"
+    FROM images GROUP BY 1) i ON i."receiptId" = j."receiptId"
+  LEFT JOIN receipts r ON r.id = j."receiptId"
+  WHERE type = 'image-upload' AND {_CLIENT_DUE.replace("status", "j.status")}),
+answered AS (
+  SELECT *, attempts + CASE WHEN code IS NULL THEN 0 ELSE 1 END AS tries FROM (
+    SELECT *, CASE WHEN problem IS NOT NULL THEN 'job_failed'
+      ELSE [NULL, '503', NULL, '413'][CAST((number // 2) % 4 + 1 AS INTEGER)] END AS code
+    FROM requested)),
+ended AS (SELECT *, code <> '503' AND tries >= 5 AS terminal FROM answered)"""
+
 ORACLE = {
+    "uploads_begun": views.sql(
+        """SELECT i.id, i."receiptId", CASE WHEN i.id IN (SELECT image FROM requested
+    WHERE problem IS NULL) THEN 'uploading' ELSE "remoteStatus" END AS "remoteStatus"
+FROM images i""", views.CLIENT_JOBS, views.IMAGES, views.RECEIPTS, _SENT),
+    "upload_results": views.sql(
+        """SELECT i.* REPLACE (CASE WHEN e.id IS NULL THEN "remoteStatus" WHEN code IS NULL
+    THEN 'uploaded' WHEN terminal THEN 'failed' ELSE 'pending' END AS "remoteStatus",
+  CASE WHEN e.id IS NOT NULL AND code IS NULL THEN i.id END AS "remoteFileId")
+FROM images i LEFT JOIN ended e ON e.image = i.id""",
+        views.CLIENT_JOBS, views.IMAGES, views.RECEIPTS, _SENT),
+    "upload_outcomes": views.sql(
+        f"""SELECT id, type, "receiptId", CASE WHEN code IS NULL THEN 'completed' WHEN terminal
+    THEN 'failed' ELSE 'pending' END AS status, tries AS attempts,
+  CASE WHEN code IS NOT NULL AND NOT terminal THEN strftime(TIMESTAMP '1998-06-15 12:00:00'
+    + to_minutes([1, 1, 2, 4, 8, 16, 32, 60, 60, 60][tries + 1]), {views.ISO_MS}) END
+    AS "nextAttemptAt",
+  code AS "lastErrorCode", CASE WHEN code IS NOT NULL THEN coalesce(problem, 'refused') END
+    AS "lastErrorMessage", "createdAt", '{STAMP_MS}' AS "updatedAt" FROM ended""",
+        views.CLIENT_JOBS, views.IMAGES, views.RECEIPTS, _SENT),
     "job_enqueue": views.sql(
         f"""SELECT coalesce(id, 'new-' || rid) AS id, rid AS receipt_id,
   {_reset("want_hash", "image_hash")}, {_reset("'openai'", "provider_id")},
