@@ -8,6 +8,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tillspark import model
 from tillspark.operators import contract, extraction, queue
+from tillspark.sources import adapter
 
 NOW = datetime(2026, 7, 14, 10, 0, 0, 5)
 VALID = {
@@ -302,3 +303,25 @@ def test_other_client_jobs_keep_their_error(spark):
                                     "id string, error_code string, message string")
     row = queue.client_outcome(jobs, results, NOW).first()
     assert (row.status, row.lastErrorCode, row.lastErrorMessage) == ("pending", "503", "before")
+
+
+def test_replies_break_every_rule_and_hold_the_items_of_their_receipt(spark, sf_dir):
+    broken = contract.rejected(contract.validate_extractions(adapter.extractions(spark, sf_dir)))
+    seen = {r.rule for r in broken.select(F.explode("violations").alias("rule")).distinct()
+            .collect()}
+    assert seen == {"not_json_object", "extra_key", "total", *[rule for rule, _, _ in
+                                                               adapter.BROKEN]}
+    lines = adapter.reply_items(spark, sf_dir).select(F.sum(F.size("lines")).alias("n"))
+    assert lines.first().n == adapter.receipt_items(spark, sf_dir).count()
+
+
+def test_a_list_beyond_the_bound_is_cut_one_beyond_it(spark, monkeypatch):
+    item = spark.createDataFrame([("r", "X", "", 1.0, 5, 5, "c")],
+                                 "receiptId string, rawName string, normalizedName string, "
+                                 "quantity double, unitPriceMinor long, totalPriceMinor long, "
+                                 "categoryId string")
+    many = item.crossJoin(spark.range(600).select(
+        F.col("id").cast("int").alias("position"), F.col("id").cast("string").alias("id")))
+    monkeypatch.setattr(adapter, "receipt_items", lambda s, d: many)
+    found = adapter.reply_items(spark, "").select(F.size("lines").alias("n")).first()
+    assert found.n == model.EXTRACTED_ITEMS_MAX + 1

@@ -83,15 +83,12 @@ def _prompts(s, d):
 
 
 def _summary_rejects(s, d):
-    """Generated summaries made from documents: too many observations, long suggestions."""
-    key = F.col("doc_id")
-    observations = F.array_join(F.array_repeat(
-        F.concat(F.lit('"'), "lang", F.lit('"')), (key % 6).cast("int")), ",")
-    text = F.repeat(F.lit("ab"), F.when(key % 7 == 0, 251).otherwise(250))
-    summary = F.concat(
-        F.lit('{"observations":['), observations, F.lit('],"suggestion":'),
-        F.when(key % 5 == 0, "null").otherwise(F.concat(F.lit('"'), text, F.lit('"'))),
-        F.when(key % 11 == 0, ',"more":1').otherwise(""), F.lit("}"))
+    """Generated summaries made from documents: their lines observed, their text suggested."""
+    key, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    summary = F.to_json(F.struct(
+        F.split(text, "\n").alias("observations"),
+        F.when(key % 5 != 0, text).alias("suggestion"),
+        F.when(key % 11 == 0, 1).alias("more")))
     documents = s.read.parquet(f"{d}/documents.parquet").select(
         "doc_id", summary.alias("summary"))
     return contract.rejected(contract.validate_summaries(documents)).select(
@@ -229,13 +226,13 @@ _JUDGED = """judged AS (
   FROM extractions e JOIN receipts r ON r.id = e.receipt_id
   LEFT JOIN (SELECT DISTINCT "receiptId" AS rid FROM items
     WHERE "userEdited" AND position <> 6) edited ON edited.rid = e.receipt_id
-  WHERE NOT cut AND NOT extra AND total >= 0)"""
+  WHERE violations = '')"""
 _VIEWS = (views.RECEIPTS, views.ITEMS, views.EXTRACTIONS, _JUDGED)
 
 _LINES = """lines AS (
-  SELECT receipt_id, n, CAST(n * 100 + okey % 50 AS BIGINT) AS price
-  FROM (SELECT receipt_id, okey, unnest(range(1, okey % 5 + 1)) AS n FROM judged
-    WHERE NOT skip))"""
+  SELECT j.receipt_id, i.*, row_number() OVER (
+    PARTITION BY j.receipt_id ORDER BY i.position, i.id) - 1 AS place
+  FROM judged j JOIN items i ON i."receiptId" = j.receipt_id WHERE NOT skip)"""
 
 _CODES = {kind: (code, int(counted)) for kind, code, _, _, counted in queue.FAILURES}
 _STEP = f"""step AS (
@@ -323,16 +320,13 @@ FROM ({_STEP_JOBS}) o JOIN jobs j ON j.id = o.id""",
     "extraction_valid": views.sql(
         """SELECT job_id, receipt_id, merchant_raw AS "merchantRaw",
   tx_date AS "transactionDate", 'EUR' AS currency, CAST(0 AS BIGINT) AS "taxMinor",
-  total AS "totalMinor", CAST(okey % 5 AS INTEGER) AS items
-FROM extractions WHERE NOT cut AND NOT extra AND total >= 0""", views.EXTRACTIONS),
+  total AS "totalMinor", CAST(lines AS INTEGER) AS items
+FROM extractions WHERE violations = ''""", views.EXTRACTIONS),
     "extraction_rejects": views.sql(
-        """SELECT job_id, CASE WHEN cut THEN 'not_json_object'
-  ELSE concat_ws(',', CASE WHEN extra THEN 'extra_key' END, CASE WHEN total < 0 THEN 'total' END)
-  END AS violations
-FROM extractions WHERE cut OR extra OR total < 0""", views.EXTRACTIONS),
+        "SELECT job_id, violations FROM extractions WHERE violations <> ''", views.EXTRACTIONS),
     "extraction_rejects_client": views.sql(
-        """SELECT job_id, CASE WHEN cut THEN 'not_json_object' ELSE 'total' END AS violations
-FROM extractions WHERE cut OR total < 0""", views.EXTRACTIONS),
+        """SELECT job_id, client_violations AS violations FROM extractions
+WHERE client_violations <> ''""", views.EXTRACTIONS),
     "extraction_apply_receipts": views.sql(
         f"""SELECT receipt_id AS id, 'needs_review' AS status,
   coalesce(tx_date, "transactionDate") AS "transactionDate", merchant_raw AS "merchantRaw",
@@ -342,11 +336,10 @@ FROM extractions WHERE cut OR total < 0""", views.EXTRACTIONS),
   '{STAMP}' AS "updatedAt", 'extraction-worker' AS "updatedByDevice"
 FROM judged WHERE NOT skip""", *_VIEWS),
     "extraction_apply_items": views.sql(
-        """SELECT receipt_id AS "receiptId", CAST(n - 1 AS INTEGER) AS position,
-  'ITEM ' || n AS "rawName", CASE WHEN n = 2 THEN 'ITEM 2' ELSE 'Item ' || n END
-    AS "normalizedName",
-  CAST(n AS DOUBLE) AS quantity, price AS "unitPriceMinor", n * price AS "totalPriceMinor",
-  'extraction-worker' AS "updatedByDevice" FROM lines""", *_VIEWS, _LINES),
+        """SELECT receipt_id AS "receiptId", CAST(place AS INTEGER) AS position, "rawName",
+  coalesce(nullif("normalizedName", ''), "rawName") AS "normalizedName", quantity,
+  "unitPriceMinor", "totalPriceMinor", 'extraction-worker' AS "updatedByDevice" FROM lines""",
+        *_VIEWS, _LINES),
     "extraction_apply_tombstones": views.sql(
         f"""SELECT id, "receiptId", TRUE AS _deleted, '{STAMP}' AS "updatedAt" FROM items
 WHERE position <> 6 AND "receiptId" IN (SELECT receipt_id FROM judged WHERE NOT skip)""",
@@ -378,8 +371,8 @@ FROM candidates""", views.RECEIPTS, views.SOME_JOBS, views.SOME_IMAGES, _CANDIDA
 FROM candidates WHERE reset""", views.RECEIPTS, views.SOME_JOBS, views.SOME_IMAGES, _CANDIDATES),
     "summary_rejects": """SELECT doc_id, violations FROM (SELECT doc_id, concat_ws(',',
   CASE WHEN doc_id % 11 = 0 THEN 'extra_key' END,
-  CASE WHEN doc_id % 6 > 3 THEN 'observations' END,
-  CASE WHEN doc_id % 7 = 0 AND doc_id % 5 <> 0 THEN 'suggestion' END) AS violations
+  CASE WHEN len(string_split(coalesce(text, ''), chr(10))) > 3 THEN 'observations' END,
+  CASE WHEN length(text) > 500 AND doc_id % 5 <> 0 THEN 'suggestion' END) AS violations
 FROM documents) WHERE violations <> ''""",
     "snapshot_rejects": """SELECT CAST(o_orderkey AS VARCHAR) AS id, violations
 FROM (SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 6 = 5 THEN 'locale' END,

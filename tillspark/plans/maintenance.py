@@ -146,11 +146,19 @@ def _money_texts(s, d):
 
 
 def _summaries(s, d):
+    """Summaries whose observations are the lines of a document and whose suggestion is its text,
+    stored and read back."""
     documents = s.read.parquet(f"{d}/documents.parquet").select(
-        "doc_id", F.array("lang").alias("observations"), F.col("source").alias("suggestion"))
-    return maintenance.stored_summary(
-        documents, F.sha2(F.col("doc_id").cast("string"), 256), NOW).select(
-        "doc_id", "aiSummary")
+        "doc_id", F.split("text", "\n").alias("observations"), F.col("text").alias("suggestion"))
+    stored = maintenance.stored_summary(documents, F.sha2("suggestion", 256), NOW).select(
+        "doc_id", F.from_json("aiSummary", "observations array<string>, suggestion string, "
+                              "datasetHash string, generatedAt string").alias("value"))
+    value = F.col("value")
+    return stored.select(
+        "doc_id", F.size(value["observations"]).alias("observations"),
+        F.sha2(F.array_join(value["observations"], "\n"), 256).alias("observed"),
+        F.sha2(value["suggestion"], 256).alias("suggested"),
+        value["datasetHash"].alias("datasetHash"), value["generatedAt"].alias("generatedAt"))
 
 
 def _tables(s, d):
@@ -389,9 +397,10 @@ UNION ALL BY NAME SELECT 'singleton' AS id, 'en-GB' AS locale, 'auto' AS "langua
         f"""SELECT id, 'it-IT' AS locale, 'it' AS "languagePreference",
   CASE WHEN normalized = 'it' THEN "aiSummary" END AS "aiSummary"
 FROM (SELECT *, {_NORMAL})""", views.SETTINGS),
-    "stored_summaries": f"""SELECT doc_id, '{{"observations":["' || lang
-  || '"],"suggestion":"' || source || '","datasetHash":"' || sha256(CAST(doc_id AS VARCHAR))
-  || '","generatedAt":"{STAMP}"}}' AS "aiSummary" FROM documents""",
+    "stored_summaries": f"""SELECT doc_id,
+  CAST(len(string_split(text, chr(10))) AS INTEGER) AS observations, sha256(text) AS observed,
+  sha256(text) AS suggested, sha256(text) AS "datasetHash", '{STAMP}' AS "generatedAt"
+FROM documents""",
     "to_minor": views.sql("SELECT id, minor FROM minors", _TEXTS),
     "money_texts": views.sql(
         """SELECT id, coalesce(printf('%d.%02d', "totalMinor" // 100, "totalMinor" % 100), '')

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tillspark.sources.adapter import BROKEN, BROKEN_EVERY
+
 ISO_MS = "'%Y-%m-%dT%H:%M:%S.000Z'"
 
 RECEIPTS = f"""receipts AS (
@@ -149,15 +151,31 @@ SETTINGS = """settings AS (
     c_custkey % 2 = 0 AS "syncEnabled", 'token' AS "syncToken"
   FROM customer)"""
 
-EXTRACTIONS = """extractions AS (
+_RULES = "['" + "', '".join(rule for rule, _, _ in BROKEN) + "']"
+_CATEGORY = 1 + [rule for rule, _, _ in BROKEN].index("category")
+_ITEMS = 1 + [rule for rule, _, _ in BROKEN].index("items")
+
+EXTRACTIONS = f"""line_counts AS (
+  SELECT l_orderkey, count(*) AS lines FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+replies AS (
   SELECT o_orderkey AS okey, CAST(o_orderkey AS VARCHAR) AS receipt_id,
     'job-' || o_orderkey AS job_id,
     upper(o_orderpriority) AS merchant_raw, o_orderpriority AS merchant_normalized,
     CASE WHEN o_orderkey % 31 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS tx_date,
     CAST(round(o_totalprice * 100) AS BIGINT)
       * CASE WHEN o_orderkey % 13 = 0 THEN -1 ELSE 1 END AS total,
-    o_orderkey % 7 = 0 AS cut, o_orderkey % 29 = 0 AS extra
-  FROM orders)"""
+    o_orderkey % 7 = 0 AS cut, o_orderkey % 29 = 0 AS extra,
+    CAST(o_orderkey % {BROKEN_EVERY} AS INTEGER) AS rule, coalesce(lines, 0) AS lines
+  FROM orders LEFT JOIN line_counts ON l_orderkey = o_orderkey),
+extractions AS (
+  SELECT *, CASE WHEN cut THEN 'not_json_object' ELSE concat_ws(',',
+      CASE WHEN extra THEN 'extra_key' END, nullif(shared, '')) END AS violations,
+    CASE WHEN cut THEN 'not_json_object' ELSE shared END AS client_violations
+  FROM (SELECT *, concat_ws(',',
+      CASE WHEN rule BETWEEN 1 AND {_CATEGORY - 1} THEN {_RULES}[rule] END,
+      CASE WHEN total < 0 THEN 'total' END,
+      CASE WHEN rule BETWEEN {_CATEGORY} AND {len(BROKEN)}
+        AND (rule <> {_ITEMS} OR lines > 0) THEN {_RULES}[rule] END) AS shared FROM replies))"""
 
 
 def sql(query: str, *views: str) -> str:

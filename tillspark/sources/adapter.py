@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tillspark.functions.dates import comparable_period
 from tillspark.functions.text import sha256_hex
-from tillspark.model import REPLICATED_COLLECTIONS
+from tillspark.model import EXTRACTED_ITEMS_MAX, REPLICATED_COLLECTIONS
 
 NOW = datetime(2001, 7, 14, 12, 0, 0)
 
@@ -268,36 +268,66 @@ def images(spark: SparkSession, sf_dir: str, gaps: bool = False) -> DataFrame:
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.000'Z'").alias("createdAt"))
 
 
+# Rules that a reply breaks by its order, from remainder 1 of BROKEN_EVERY on: the rule and the part
+# of the reply, as JSON, that breaks it. The items rule is broken by a list beyond its bound.
+BROKEN_EVERY = 97
+BROKEN = (
+    ("schema_version", "schemaVersion", "2"), ("document_type", "documentType", '"invoice"'),
+    ("merchant", "merchant", '{"rawName":12}'),
+    ("transaction_date", "transactionDate", '"14.07.2001"'), ("currency", "currency", '"EURO"'),
+    ("subtotal", "subtotalMinor", "-1"), ("tax", "taxMinor", "1.5"),
+    ("discount", "discountMinor", '"0"'), ("category", "categoryId", "5"),
+    ("items", "items", None), ("confidence", "confidence", "1.5"), ("warnings", "warnings", "[null]"))
+
+
+def reply_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(receiptId, lines): the items of each receipt as a model would read them from the paper.
+
+    A list longer than a reply may be is cut one entry beyond that bound, which the contract
+    rejects all the same; the limit by rank works in each task before the shuffle.
+    """
+    place = Window.partitionBy("receiptId").orderBy("position", "id")
+    names = ("rawName", "normalizedName", "quantity", "unitPriceMinor", "totalPriceMinor",
+             "categoryId")
+    ranked = receipt_items(spark, sf_dir).select(
+        "receiptId", "position", "id", *names, F.lit(0.5).alias("confidence")).withColumn(
+        "place", F.row_number().over(place)).where(F.col("place") <= EXTRACTED_ITEMS_MAX + 1)
+    entry = F.struct("place", F.struct(*names, "confidence").alias("item"))
+    return ranked.groupBy("receiptId").agg(F.transform(
+        F.array_sort(F.collect_list(entry)), lambda e: e["item"]).alias("lines"))
+
+
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model replies for all orders, well formed or broken by rule."""
-    orders = _table(spark, sf_dir, "orders")
+    """Raw model replies for all orders with their line items, well formed or broken by rule."""
     key = F.col("o_orderkey")
     total = _minor(F.col("o_totalprice"))
-    items = F.transform(
-        F.sequence(F.lit(1), (key % 5).cast("int")),
-        lambda n: F.concat(
-            F.lit('{"rawName":"ITEM '), n, F.lit('","normalizedName":"'),
-            F.when(n == 2, "").otherwise(F.concat(F.lit("Item "), n)),
-            F.lit('","quantity":'), n, F.lit(',"unitPriceMinor":'), n * 100 + key % 50,
-            F.lit(',"totalPriceMinor":'), n * (n * 100 + key % 50),
-            F.lit(',"categoryId":"other","confidence":0.5}')))
-    items = F.when(key % 5 == 0, F.array().cast("array<string>")).otherwise(items)
-    body = F.concat(
-        F.lit('{"schemaVersion":1,"documentType":"receipt","merchant":{"rawName":"'),
-        F.upper("o_orderpriority"), F.lit('","normalizedName":"'), F.col("o_orderpriority"),
-        F.lit('"},"transactionDate":'),
-        F.when(key % 31 == 0, "null").otherwise(
+    orders = _table(spark, sf_dir, "orders").withColumn("receiptId", key.cast("string")).join(
+        reply_items(spark, sf_dir), "receiptId", "left")
+    rule = key % BROKEN_EVERY
+    lines = F.when(rule == 1 + [name for name, _, _ in BROKEN].index("items"), F.flatten(
+        F.array_repeat("lines", EXTRACTED_ITEMS_MAX + 1))).otherwise(F.col("lines"))
+    parts = {
+        "schemaVersion": F.lit("1"), "documentType": F.lit('"receipt"'),
+        "merchant": F.to_json(F.struct(F.upper("o_orderpriority").alias("rawName"),
+                                       F.col("o_orderpriority").alias("normalizedName"))),
+        "transactionDate": F.when(key % 31 == 0, "null").otherwise(
             F.concat(F.lit('"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"'))),
-        F.lit(',"currency":"eur","subtotalMinor":null,"taxMinor":0,"discountMinor":0,'
-              '"totalMinor":'),
-        F.when(key % 13 == 0, -total).otherwise(total),
-        F.lit(',"categoryId":"food_grocery","items":['), F.array_join(items, ","),
-        F.lit('],"confidence":0.75,"warnings":[]'),
-        F.when(key % 29 == 0, ',"extra":1').otherwise(""), F.lit("}"))
+        "currency": F.lit('"eur"'), "subtotalMinor": F.lit("null"), "taxMinor": F.lit("0"),
+        "discountMinor": F.lit("0"),
+        "totalMinor": F.when(key % 13 == 0, -total).otherwise(total).cast("string"),
+        "categoryId": F.lit('"food_grocery"'),
+        "items": F.coalesce(F.to_json(lines, {"ignoreNullFields": "false"}), F.lit("[]")),
+        "confidence": F.lit("0.75"), "warnings": F.lit("[]")}
+    for number, (_, field, broken) in enumerate(BROKEN, 1):
+        if broken is not None:
+            parts[field] = F.when(rule == number, broken).otherwise(parts[field])
+    fields = [F.concat(F.lit(f'"{name}":'), part) for name, part in parts.items()]
+    body = F.concat(F.lit("{"), F.concat_ws(",", *fields),
+                    F.when(key % 29 == 0, ',"extra":1').otherwise(""), F.lit("}"))
     fenced = F.when(key % 11 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))) \
         .otherwise(body)
     reply = F.when(key % 7 == 0, F.substring(body, 1, 80)).otherwise(fenced)
-    return orders.select(key.cast("string").alias("receipt_id"),
+    return orders.select(F.col("receiptId").alias("receipt_id"),
                          F.concat(F.lit("job-"), key).alias("job_id"), reply.alias("reply"))
 
 
