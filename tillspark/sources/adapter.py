@@ -304,8 +304,9 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _table(spark, sf_dir, "orders").withColumn("receiptId", key.cast("string")).join(
         reply_items(spark, sf_dir), "receiptId", "left")
     rule = key % BROKEN_EVERY
-    lines = F.when(rule == 1 + [name for name, _, _ in BROKEN].index("items"), F.flatten(
-        F.array_repeat("lines", EXTRACTED_ITEMS_MAX + 1))).otherwise(F.col("lines"))
+    beyond = EXTRACTED_ITEMS_MAX + 1
+    lines = F.when(rule == 1 + [name for name, _, _ in BROKEN].index("items"), F.slice(
+        F.flatten(F.array_repeat("lines", beyond)), 1, beyond)).otherwise(F.col("lines"))
     parts = {
         "schemaVersion": F.lit("1"), "documentType": F.lit('"receipt"'),
         "merchant": F.to_json(F.struct(F.upper("o_orderpriority").alias("rawName"),
