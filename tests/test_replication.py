@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,14 @@ def test_a_batch_with_an_invalid_row_is_refused_whole(spark, collection, name):
 
 def test_an_empty_batch(spark):
     assert run(spark, []) == ([], [])
+
+
+def test_tables_of_small_chunks_share_frames():
+    rows = pd.DataFrame({"document_id": [str(i) for i in range(30_000)], "chunk": 0,
+                         "ord": range(30_000), "assumed": "none", "new": "a"})
+    frames = list(push._chunk_tables(iter([rows[:17], rows[17:]])))
+    whole = pd.concat(frames)
+    assert len(frames) <= 4
+    assert whole["document_id"].tolist() == rows["document_id"].tolist()
+    assert whole["exit_writer"].tolist() == list(range(30_000))
+    assert list(push._chunk_tables(iter([]))) == []

@@ -24,6 +24,7 @@ from tillspark.session import cut_lineage
 
 NO_STATE = "none"
 CHUNK_ROWS = 1_000_000
+TABLE_ROWS = 10_000
 _CHUNK = ["document_id", "chunk"]
 
 
@@ -98,26 +99,29 @@ def _chunk_tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(entry, exit) table of each chunk from rows sorted by chunk and descending order.
 
     Walking backwards, a row with assumed ``a`` and new ``n`` sends ``a`` to wherever ``n``
-    goes from there on.
+    goes from there on. Tables of many chunks share a frame: most chunks are a few rows.
     """
-    chunk, table = None, {}
+    names = ("document_id", "chunk", "entry", "exit", "exit_writer")
+    chunk, table, ready = None, {}, []
 
-    def flush():
-        return pd.DataFrame({
-            "document_id": chunk[0], "chunk": chunk[1], "entry": list(table),
-            "exit": [e for e, _ in table.values()], "exit_writer": [w for _, w in table.values()]})
+    def close():
+        ready.extend((*chunk, entry, exit_, writer) for entry, (exit_, writer) in table.items())
 
     for batch in batches:
         for document, number, order, assumed, new in zip(
-                batch["document_id"], batch["chunk"], batch["ord"], batch["assumed"],
-                batch["new"]):
+                *(batch[c].tolist() for c in ("document_id", "chunk", "ord", "assumed", "new"))):
             if (document, number) != chunk:
                 if chunk is not None:
-                    yield flush()
+                    close()
+                if len(ready) >= TABLE_ROWS:
+                    yield pd.DataFrame(ready, columns=names)
+                    ready = []
                 chunk, table = (document, number), {}
             table[assumed] = table.get(new, (new, order))
     if chunk is not None:
-        yield flush()
+        close()
+    if ready:
+        yield pd.DataFrame(ready, columns=names)
 
 
 def _compose(level: DataFrame) -> DataFrame:
@@ -154,10 +158,11 @@ def _replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     chunk, state, writer = None, None, None
     for batch in batches:
         accepted, writers = [], []
-        entry_writers = batch["entry_writer"].astype("Int64")
+        columns = [batch[c].tolist() for c in (
+            "document_id", "chunk", "ord", "assumed", "new", "entry")]
+        entry_writers = batch["entry_writer"].astype("Int64").astype(object).tolist()
         for document, number, order, assumed, new, entry, entry_writer in zip(
-                batch["document_id"], batch["chunk"], batch["ord"], batch["assumed"],
-                batch["new"], batch["entry"], entry_writers):
+                *columns, entry_writers):
             if (document, number) != chunk:
                 chunk, state, writer = (document, number), entry, entry_writer
             hit = assumed == state
