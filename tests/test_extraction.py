@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tillspark import model
-from tillspark.operators import contract, extraction, queue
+from tillspark.operators import bridge, contract, extraction, queue
 from tillspark.sources import adapter
 
 NOW = datetime(2026, 7, 14, 10, 0, 0, 5)
@@ -325,3 +325,17 @@ def test_a_list_beyond_the_bound_is_cut_one_beyond_it(spark, monkeypatch):
     monkeypatch.setattr(adapter, "receipt_items", lambda s, d: many)
     found = adapter.reply_items(spark, "").select(F.size("lines").alias("n")).first()
     assert found.n == model.EXTRACTED_ITEMS_MAX + 1
+
+
+def test_numbers_are_dense_and_rows_are_shuffled_once(spark):
+    rows = spark.createDataFrame([
+        ("b", "2", "x"), ("a", "9", "y"), (None, "1", "z"), ("a", None, "u"), ("b", "2", "v")],
+        "collection_name string, document_id string, document_json string")
+    dense = bridge.numbered(rows, ["collection_name", "document_id"])
+    found = [(r.position, r.collection_name, r.document_id) for r in dense.collect()]
+    assert sorted(found) == [(0, None, "1"), (1, "a", None), (2, "a", "9"), (3, "b", "2"),
+                             (4, "b", "2")]
+    plan = dense._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "collection_name" in plan
+    jsons = [r.document_json for r in dense.where("document_id = '2'").collect()]
+    assert sorted(jsons) == ["v", "x"]

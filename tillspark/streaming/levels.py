@@ -76,9 +76,12 @@ class Levels(Manifests):
         return self._read([f for run in runs for f in self._folders(run).values()])
 
     def _write(self, run: str, rows: DataFrame) -> int:
-        """Writes a run and its filters; the bits of one filter."""
+        """Writes a run and its filters; the bits of one filter.
+
+        The rows come dealt out by document, and are not dealt out by bucket once more.
+        """
         names = self._read([]).columns
-        (rows.select(*names).withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
+        (rows.select(*names).withColumn("bucket", self._bucket())
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/runs/{run}"))
         written = self._read_runs([run]).select(*DOCUMENT_KEYS)
         bits = 64
