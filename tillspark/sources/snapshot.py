@@ -81,6 +81,7 @@ def export(tables: dict[str, DataFrame], path: str, exported_at: str,
     """JSON export: one folder for each of receipts, items and images, and a manifest.
 
     Images are listed only when asked; their bytes become a data URL on one line, row by row.
+    Parts are compressed (``.json.gz``): JSON repeats its field names in every row.
     """
     parts = {"receipts": tables["receipts"], "items": tables["items"]}
     if include_images:
@@ -92,7 +93,7 @@ def export(tables: dict[str, DataFrame], path: str, exported_at: str,
                     F.translate(F.base64(F.col(variant)), "\r\n", "")))
         parts["images"] = images
     for name, df in parts.items():
-        df.write.option("ignoreNullFields", "false").json(f"{path}/{name}")
+        df.write.option("ignoreNullFields", "false").json(f"{path}/{name}", compression="gzip")
     spark = tables["receipts"].sparkSession
     manifest = spark.createDataFrame(
         [(APPLICATION, 1, exported_at, name) for name in ("receipts", "items", "images")],
