@@ -339,3 +339,11 @@ def test_numbers_are_dense_and_rows_are_shuffled_once(spark):
     assert "Repartition" not in plan and "collection_name" in plan
     jsons = [r.document_json for r in dense.where("document_id = '2'").collect()]
     assert sorted(jsons) == ["v", "x"]
+
+
+def test_numbering_reads_keys_only(spark):
+    rows = spark.range(50).select(
+        F.lit("receipts").alias("collection_name"), F.col("id").cast("string")
+        .alias("document_id"), F.raise_error(F.lit("read")).cast("string").alias("document_json"))
+    dense = bridge.numbered(rows, ["collection_name", "document_id"])
+    assert sorted(r.position for r in dense.select("position").collect()) == list(range(50))
