@@ -187,3 +187,20 @@ def test_a_batch_reads_its_buckets_only(spark):
     assert {b for b in after if after[b] != before[b]} == set(map(str, one))
     read = store.read("receipts", one).inputFiles()
     assert read and all(after[str(one[0])] in f for f in read)
+
+
+def test_a_product_is_not_gathered_and_old_folders_go(spark):
+    """A product of many receipts stays dealt by receipt; only two versions' folders are kept."""
+    store = live.open_store(spark, work_dir(spark, "test"), buckets=2)
+    rows = [(f"i{n}", str(n), "MILK", "milk", 100 + n, 100, 1.0, 1, False) for n in range(40)]
+    live.apply(store, NOW, None, spark.createDataFrame(rows, ITEM), "s", 0)
+    assert store.read("summary").count() == 2, "one part of the product for each bucket"
+    for number in (1, 2):
+        late = [(f"i{n}", str(n), "MILK", "milk", 500 + n, 100, 1.0, 1 + number, n == 39)
+                for n in range(20)] + [("i39", "39", "MILK", "milk", 9, 9, 1.0, 5, True)]
+        live.apply(store, NOW, None, spark.createDataFrame(late, ITEM), "s", number)
+        rows += late
+    assert as_live(store) == as_batch(spark.createDataFrame([], RECEIPT),
+                                      spark.createDataFrame(rows, ITEM))
+    assert not [f for f in store.listed("items/s-0") if f.startswith("bucket=")]
+    assert sorted(store.listed("manifests")) == ["2.json", "3.json"]

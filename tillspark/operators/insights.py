@@ -79,9 +79,10 @@ def comparison(receipts: DataFrame, now: datetime, dimension: str) -> DataFrame:
     return with_change(keyed.groupBy("id").agg(*measures()))
 
 
-def contributions(receipts: DataFrame, now: datetime, dimension: str) -> DataFrame:
+def contributions(receipts: DataFrame, now: datetime, dimension: str, *more: str) -> DataFrame:
     """What each receipt adds to ``comparison``: nothing (a null key) outside both periods and
-    for deleted ones. Columns id, server_sequence, key, total, count, previousTotal, rows."""
+    for deleted ones. Columns id, server_sequence, ``more``, key, total, count, previousTotal,
+    rows."""
     period = dates.comparable_period(now)
     day = F.col("transactionDate")
     amount = F.coalesce(F.col("totalMinor"), F.lit(0))
@@ -92,7 +93,7 @@ def contributions(receipts: DataFrame, now: datetime, dimension: str) -> DataFra
     previous = F.coalesce(good & ~current & dates.text_between(
         day, period.previous_start, period.previous_end), F.lit(False))
     return receipts.select(
-        "id", "server_sequence",
+        "id", "server_sequence", *more,
         F.when(current | previous, spending_keys()[dimension]).alias("key"),
         F.when(current, amount).otherwise(0).alias("total"),
         current.cast("long").alias("count"),
@@ -100,6 +101,13 @@ def contributions(receipts: DataFrame, now: datetime, dimension: str) -> DataFra
         (current | previous).cast("long").alias("rows"))
 
 
+def spent(receipts: DataFrame, now: datetime, *more: str) -> DataFrame:
+    """What each receipt adds to its category and to its merchant, as rows with a dimension."""
+    parts = [contributions(receipts, now, d, *more).where("key is not null").withColumn(
+        "dimension", F.lit(d)) for d in (CATEGORY, MERCHANT)]
+    return parts[0].unionByName(parts[1])
+
+
 def compared(deltas: DataFrame) -> DataFrame:
     """The comparison from any number of contributions and their retractions."""
     sums = deltas.where(F.col("key").isNotNull()).groupBy(F.col("key").alias("id")).agg(
@@ -121,10 +129,12 @@ def comparison_all(receipts: DataFrame, now: datetime) -> DataFrame:
         dimension.alias("dimension"), key.alias("id"), "total", "count", "previousTotal"))
 
 
+def product_name() -> Column:
+    return text.product_key(F.col("normalizedName"), F.col("rawName"))
+
+
 def _named_items(items: DataFrame) -> DataFrame:
-    named = items.withColumn(
-        "name", text.product_key(F.col("normalizedName"), F.col("rawName")))
-    return named.where(F.col("name") != "")
+    return items.withColumn("name", product_name()).where(F.col("name") != "")
 
 
 def product_totals(receipts: DataFrame, items: DataFrame, now: datetime) -> DataFrame:
@@ -184,29 +194,49 @@ def product_lines(receipts: DataFrame, items: DataFrame, now: datetime,
 
     ``more``: columns that each receipt, usable or not, hands to its items.
     """
+    return _named_items(items).join(dated(receipts, now, *more), "receiptId", "left").select(
+        "name", "id", "unitPriceMinor", "totalPriceMinor", "quantity", "transactionDate",
+        "in_current", *more)
+
+
+def dated(receipts: DataFrame, now: datetime, *more: str) -> DataFrame:
+    """What receipts hand to their items: the day, if usable, and whether it is a current one."""
     period = dates.comparable_period(now)
     good = is_usable()
     day = F.when(good, F.col("transactionDate")).alias("transactionDate")
     heads = receipts if more else usable(receipts)
-    dated = heads.select(F.col("id").alias("receiptId"), day, F.when(
+    return heads.select(F.col("id").alias("receiptId"), day, F.when(
         good, dates.in_current(F.col("transactionDate"), period)).alias("in_current"), *more)
-    return _named_items(items).join(dated, "receiptId", "left").select(
-        "name", "id", "unitPriceMinor", "totalPriceMinor", "quantity", "transactionDate",
-        "in_current", *more)
 
 
 def product_summaries(lines: DataFrame, *by: str) -> DataFrame:
     """Current totals, latest price, price sum and observations of each product (and ``by``)."""
+    return placed_summaries(lines, *by).drop("latestDate", "latestItem")
+
+
+def placed_summaries(lines: DataFrame, *by: str) -> DataFrame:
+    """``product_summaries`` with day and item of the latest price, so that they add up."""
     current = F.coalesce("in_current", F.lit(False))
-    priced = F.col("unitPriceMinor").isNotNull()
-    order = F.when(priced, F.struct(F.coalesce("transactionDate", F.lit("")), F.col("id")))
-    return lines.groupBy(*by, F.col("name").alias("id")).agg(
+    day = F.coalesce("transactionDate", F.lit("")).alias("day")
+    place = F.when(F.col("unitPriceMinor").isNotNull(), F.struct(day, "id", "unitPriceMinor"))
+    return lines.groupBy(*by, F.col("name").alias("_name")).agg(
         F.sum(F.when(current, F.coalesce("totalPriceMinor", F.lit(0)))).alias("total"),
         F.count(F.when(current, 1)).alias("frequency"),
         F.sum(F.when(current, F.coalesce("quantity", F.lit(1.0)))).alias("quantity"),
-        F.max_by("unitPriceMinor", order).alias("latest"),
-        F.sum("unitPriceMinor").alias("price_sum"), F.count("unitPriceMinor")
-        .alias("observations"))
+        F.max(place).alias("_place"), F.sum("unitPriceMinor").alias("price_sum"),
+        F.count("unitPriceMinor").alias("observations")).select(
+        *by, F.col("_name").alias("id"), "total", "frequency", "quantity",
+        F.col("_place.unitPriceMinor").alias("latest"), F.col("_place.day").alias("latestDate"),
+        F.col("_place.id").alias("latestItem"), "price_sum", "observations")
+
+
+def added_up(parts: DataFrame) -> DataFrame:
+    """Summaries of products from ``placed_summaries`` of parts of their lines."""
+    place = F.when(F.col("observations") > 0, F.struct("latestDate", "latestItem"))
+    return parts.groupBy("id").agg(
+        *[F.sum(c).alias(c) for c in ("total", "frequency", "quantity")],
+        F.max_by("latest", place).alias("latest"),
+        *[F.sum(c).alias(c) for c in ("price_sum", "observations")])
 
 
 def by_total(df: DataFrame) -> DataFrame:

@@ -29,9 +29,13 @@ class Manifests:
 
     def newest(self) -> dict | None:
         versions = [int(n.split(".")[0]) for n in self.listed("manifests") if n.endswith(".json")]
-        if not versions:
+        return self.numbered(max(versions)) if versions else None
+
+    def numbered(self, version: int) -> dict | None:
+        path = self._path(f"{self.root}/manifests/{version}.json")
+        if not self._files.exists(path):
             return None
-        stream = self._files.open(self._path(f"{self.root}/manifests/{max(versions)}.json"))
+        stream = self._files.open(path)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:

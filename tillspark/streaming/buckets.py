@@ -6,6 +6,8 @@ all tables together. The manifest appears by a rename, so readers see a batch wh
 all; what a batch wrote that ended before that is written again. Each manifest keeps the last
 batch of every stream, so a batch that runs once more after its manifest appeared does nothing.
 What a batch reads depends on the rows of its buckets and not on the number of batches so far.
+A bucket is dealt to as many tasks as its rows come from; it is not gathered in one. Folders that
+neither the newest manifest nor the one before it names are deleted as batches go on.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ BUCKETS = 16
 
 
 class Store(Manifests):
-    """``tables``: name to (schema, key column)."""
+    """``tables``: name to (schema, key column); without a key, rows lie in the bucket of the
+    rows that they were made from, which their column ``bucket`` names."""
 
-    def __init__(self, spark: SparkSession, root: str, tables: dict[str, tuple[str, str]],
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, tuple[str, str | None]],
                  buckets: int = BUCKETS):
         super().__init__(spark, root)
         self.tables, self.buckets = tables, buckets
@@ -55,6 +58,16 @@ class Store(Manifests):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def forget(self, version: int, named: list[dict]) -> None:
+        """Deletes what the manifest of a version names and none of ``named`` does, and itself."""
+        old = self.numbered(version)
+        used = {f for m in named for folders in m["folders"].values() for f in folders.values()}
+        for folders in (old["folders"] if old else {}).values():
+            for folder in folders.values():
+                if folder not in used:
+                    self.delete(folder)
+        self.delete(f"manifests/{version}.json")
+
     def vacuum(self) -> None:
         """Deletes folders that the newest manifest does not name, and older manifests."""
         now = self.manifest()
@@ -83,11 +96,13 @@ class Batch:
         return self.store.read(table, buckets, self.before)
 
     def put(self, table: str, rows: DataFrame, buckets: list[int]) -> DataFrame:
-        """Replaces the rows of ``buckets`` by ``rows``; what was written is returned."""
+        """Replaces the rows of ``buckets`` by ``rows``; what was written is returned.
+        Tasks write the rows where they are."""
         store, folder = self.store, f"{table}/{self.stream}-{self.number}"
         schema, key = store.tables[table]
-        rows.withColumn("bucket", store.bucket(key)).repartition("bucket").write.mode(
-            "overwrite").partitionBy("bucket").parquet(f"{store.root}/{folder}")
+        if key is not None:
+            rows = rows.withColumn("bucket", store.bucket(key))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{store.root}/{folder}")
         there = set(store.listed(folder))
         for b in buckets:
             if f"bucket={b}" in there:
@@ -96,14 +111,8 @@ class Batch:
                 self.after["folders"][table].pop(str(b), None)
         return store.read(table, buckets, self.after)
 
-    def keep(self, name: str, rows: DataFrame) -> DataFrame:
-        """``rows`` written for the time of this batch."""
-        path = f"{self.store.root}/batches/{self.stream}-{self.number}/{name}"
-        rows.write.mode("overwrite").parquet(path)
-        return self.store.spark.read.schema(rows.schema).parquet(path)
-
     def commit(self) -> None:
         self.after["version"] += 1
         self.after["streams"][self.stream] = self.number
         self.store.publish(self.after)
-        self.store.delete(f"batches/{self.stream}-{self.number}")
+        self.store.forget(self.before["version"] - 1, [self.before, self.after])

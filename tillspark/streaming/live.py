@@ -2,10 +2,11 @@
 
 Receipts and items come as versions with ``server_sequence`` and perhaps ``_deleted``; they may
 come late and in any order, and an item stays with its receipt. The newest version of each is
-kept in buckets by receipt, with the lines that items add to products in buckets by product and
-their summaries, and the sums of categories and merchants, beside them. A micro-batch takes back
-what the touched receipts' lines added before and adds what they add now. A product's latest
-price is found again among its own lines, so it survives that the latest one is taken back.
+kept in buckets by receipt. Beside them lie, for each of these buckets, what its lines add to
+products and what its receipts add to categories and merchants; a micro-batch makes both anew for
+the buckets that it touches, and readers add the buckets up. So no product, category or merchant
+is gathered anywhere, however many lines it has, and a product's latest price is found again among
+the lines of its buckets when the latest one is taken back.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ from tillspark.streaming.sources import run_available
 
 _RECEIPTS = ("id string, server_sequence long, _deleted boolean, transactionDate string, "
              "totalMinor long, categoryId string, merchantNormalized string, merchantRaw string")
-_ITEMS = ("id string, server_sequence long, _deleted boolean, receiptId string, rawName string, "
-          "normalizedName string, unitPriceMinor long, totalPriceMinor long, quantity double")
-_LINES = ("name string, id string, unitPriceMinor long, totalPriceMinor long, quantity double, "
-          "transactionDate string, in_current boolean")
+# An item as kept has the name of its product, and what its receipt was when it was written.
+_ITEMS = ("id string, receiptId string, server_sequence long, _deleted boolean, name string, "
+          "unitPriceMinor long, totalPriceMinor long, quantity double")
+_LINES = f"{_ITEMS}, transactionDate string, in_current boolean"
 _SUMMARY = ("id string, total long, frequency long, quantity double, latest long, "
-            "price_sum long, observations long")
+            "latestDate string, latestItem string, price_sum long, observations long")
 _SPENDING = "key string, dimension string, total long, count long, previousTotal long, rows long"
-TABLES = {"receipts": (_RECEIPTS, "id"), "items": (_ITEMS, "receiptId"),
-          "lines": (_LINES, "name"), "summary": (_SUMMARY, "id"), "spending": (_SPENDING, "key")}
+TABLES = {"receipts": (_RECEIPTS, "id"), "items": (_LINES, "receiptId"),
+          "summary": (_SUMMARY, None), "spending": (_SPENDING, None)}
 _SUMS = ("total", "count", "previousTotal", "rows")
 
 
@@ -37,76 +38,66 @@ def open_store(spark: SparkSession, root: str, buckets: int = BUCKETS) -> Store:
     return Store(spark, root, TABLES, buckets)
 
 
-def _versions(rows: DataFrame | None, table: str, spark: SparkSession) -> DataFrame:
-    """The newest version of each row of a batch with the columns that are kept."""
-    schema = TABLES[table][0]
-    if rows is None:
-        return spark.createDataFrame([], schema)
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _versions(rows: DataFrame, schema: str) -> DataFrame:
+    """The rows of a batch with the columns that are kept."""
     for name, value in (("server_sequence", F.lit(0).cast("long")), ("_deleted", F.lit(False))):
         if name not in rows.columns:
             rows = rows.withColumn(name, value)
-    names = [part.split()[0] for part in schema.split(", ")]
-    kept = rows.select(*names).withColumn("_deleted", F.coalesce("_deleted", F.lit(False)))
-    return latest(kept, ["id"], "server_sequence").select(*names)
+    return rows.withColumn("_deleted", F.coalesce("_deleted", F.lit(False))).select(
+        *_names(schema))
 
 
-def _spending(receipts: DataFrame, now: datetime, sign: int) -> DataFrame:
-    parts = [insights.contributions(receipts, now, d).where("key is not null").select(
-        "key", F.lit(d).alias("dimension"), *[(sign * F.col(c)).alias(c) for c in _SUMS])
-        for d in (insights.CATEGORY, insights.MERCHANT)]
-    return parts[0].unionByName(parts[1])
+def _newest(old: DataFrame, fresh: DataFrame, schema: str, key: str) -> DataFrame:
+    """The newest version of each row. Rows move once, by their receipt: combining them before
+    would sort all of them a second time, and few versions of a row lie in one task."""
+    names = _names(schema)
+    both = old.select(*names).unionByName(fresh).repartition(key)
+    return latest(both, list(dict.fromkeys([key, "id"])), "server_sequence").select(*names)
 
 
-def _summed(spending: DataFrame) -> DataFrame:
-    return spending.groupBy("key", "dimension").agg(*[F.sum(c).alias(c) for c in _SUMS])
+def _spending(receipts: DataFrame, now: datetime) -> DataFrame:
+    """What the receipts of each bucket add to categories and merchants."""
+    return insights.spent(receipts, now, "bucket").groupBy("bucket", "key", "dimension").agg(
+        *[F.sum(c).alias(c) for c in _SUMS]).where("rows > 0")
 
 
-def _lines(receipts: DataFrame, items: DataFrame, now: datetime) -> DataFrame:
-    live = receipts.where(~F.col("_deleted"))
-    return insights.product_lines(live, items.where(~F.col("_deleted")), now)
+def _summaries(lines: DataFrame) -> DataFrame:
+    """What the live lines of each bucket add to products."""
+    return insights.placed_summaries(lines.where("not _deleted and name != ''"), "bucket")
 
 
 def apply(store: Store, now: datetime, receipts: DataFrame | None, items: DataFrame | None,
           stream: str, number: int) -> None:
     """One micro-batch of versions of either kind."""
-    batch, spark = Batch(store, stream, number), store.spark
+    batch = Batch(store, stream, number)
     if batch.done:
         return
-    fresh_r, fresh_i = _versions(receipts, "receipts", spark), _versions(items, "items", spark)
+    touched = []
     if receipts is not None:
-        fresh_r = batch.keep("receipts", fresh_r)
+        fresh_r = _versions(receipts, _RECEIPTS)
+        touched.append(fresh_r.select("id"))
     if items is not None:
-        fresh_i = batch.keep("items", fresh_i)
-    touched = fresh_r.select("id").unionByName(fresh_i.select(
-        F.col("receiptId").alias("id"))).distinct()
-    buckets = store.buckets_of([touched])
-    old_r, old_i = batch.old("receipts", buckets), batch.old("items", buckets)
-    new_r, new_i = old_r, old_i
+        fresh_i = _versions(items.withColumn("name", insights.product_name()), _ITEMS)
+        touched.append(fresh_i.select("receiptId"))
+    buckets = store.buckets_of(touched)
+    heads, old_i = batch.old("receipts", buckets), batch.old("items", buckets)
     if receipts is not None:
-        new_r = batch.put("receipts", latest(old_r.unionByName(fresh_r), ["id"],
-                                             "server_sequence").select(*old_r.columns), buckets)
+        heads = batch.put("receipts", _newest(heads, fresh_r, _RECEIPTS, "id"), buckets)
+        batch.put("spending", _spending(
+            heads.withColumn("bucket", store.bucket("id")), now), buckets)
+    dated = insights.dated(heads.where("not _deleted"), now)
     if items is not None:
-        new_i = batch.put("items", latest(old_i.unionByName(fresh_i), ["id"],
-                                          "server_sequence").select(*old_i.columns), buckets)
-
-    def of_touched(rows: DataFrame, key: str) -> DataFrame:
-        return rows.join(touched.withColumnRenamed("id", key), key, "left_semi")
-
-    before, after = (batch.keep(name, _lines(of_touched(r, "id"), of_touched(i, "receiptId"), now))
-                     for name, r, i in (("before", old_r, old_i), ("after", new_r, new_i)))
-    buckets = store.buckets_of([before.select("name"), after.select("name")])
-    kept = batch.old("lines", buckets).join(before.select("name", "id"), ["name", "id"],
-                                            "left_anti")
-    lines = batch.put("lines", kept.select(*after.columns).unionByName(after), buckets)
-    batch.put("summary", insights.product_summaries(lines), buckets)
-
-    if receipts is not None:
-        changed = _spending(of_touched(old_r, "id"), now, -1).unionByName(
-            _spending(of_touched(new_r, "id"), now, 1))
-        changed = batch.keep("spending", _summed(changed))
-        buckets = store.buckets_of([changed.select("key")])
-        batch.put("spending", _summed(batch.old("spending", buckets).unionByName(changed)).where(
-            "rows > 0"), buckets)
+        kept = _newest(old_i, fresh_i, _ITEMS, "receiptId")
+        lines = batch.put("items", kept.join(dated, "receiptId", "left").select(
+            *_names(_LINES)), buckets)
+    else:
+        lines = old_i.drop("transactionDate", "in_current").join(dated, "receiptId", "left")
+    batch.put("summary", _summaries(
+        lines.withColumn("bucket", store.bucket("receiptId"))), buckets)
     batch.commit()
 
 
@@ -120,16 +111,20 @@ def follow(versions: DataFrame, collection: str, now: datetime, store: Store, st
     run_available(versions.writeStream.foreachBatch(write), checkpoint)
 
 
+def _products(store: Store) -> DataFrame:
+    return insights.added_up(store.read("summary"))
+
+
 def product_totals(store: Store) -> DataFrame:
-    return store.read("summary").where("frequency > 0").select(
-        "id", "total", "quantity", "frequency")
+    return _products(store).where("frequency > 0").select("id", "total", "quantity", "frequency")
 
 
 def price_changes(store: Store) -> DataFrame:
-    return insights.drifted(store.read("summary"))
+    return insights.drifted(_products(store))
 
 
 def findings(store: Store, **limits) -> DataFrame:
-    spent = insights.with_change(store.read("spending").withColumnRenamed("key", "id"))
+    spent = store.read("spending").groupBy(F.col("key").alias("id"), "dimension").agg(
+        *[F.sum(c).alias(c) for c in _SUMS])
     return insights.best_findings(
-        spent, insights.with_price_change(store.read("summary")), **limits)
+        insights.with_change(spent), insights.with_price_change(_products(store)), **limits)
