@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import language, nearcopies, packing, quality, repeats
+from tillspark.llm import language, nearcopies, packing, quality, repeats, simhash
 from tillspark.llm.common import table
 from tillspark.session import cut_lineage
 
@@ -25,8 +25,13 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies (five-word shingles, about 0.8)."""
-    return nearcopies.keep_first(docs)
+    """The first document of each group of near copies.
+
+    Documents are near copies by their SimHash fingerprints (the trie join of ``op8_simhash``)
+    or by verified likeness (five-word shingles, 0.8); links of both kinds make the groups.
+    """
+    marks = simhash.marks(docs.where("doc_id is not null"))
+    return nearcopies.keep_first(docs, marks=marks)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -653,6 +653,27 @@ def test_views_teach_each_other():
 
 
 # pipeline
+def test_near_copies_of_the_pipeline_are_linked_by_simhash_too(spark):
+    """0 and 1 by fingerprint only, 1 and 2 by likeness only; one id with two texts stays two."""
+    chorus = "one two three four five six seven " * 60
+    a = chorus + " ".join(f"alpha{i}" for i in range(12))
+    b = chorus + " ".join(f"beta{i}" for i in range(12))
+    parts = "one two three four five six seven " + " ".join(f"beta{i}" for i in range(12))
+    c = "one two three four five six seven " + parts
+    alone = " ".join(f"gamma{i}" for i in range(40))
+    other = " ".join(f"delta{i}" for i in range(40))
+    prints = [simhash.fingerprint(t) for t in (a, b, c)]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.BUDGET
+    assert min((prints[2] ^ p).bit_count() for p in prints[:2]) > simhash.BUDGET
+    rows = [(0, a), (1, b), (2, c), (3, alone), (3, other), (4, other), (None, a), (0, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(r.doc_id for r in nearcopies.keep_first(docs).where(
+        "doc_id is not null").collect())
+    assert plain == [0, 0, 1, 3, 3], "likeness alone leaves 1"
+    kept = corpus_pipeline.one_of_each(spark, docs, "")
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in kept.collect()) == \
+        sorted([(-1, a), (0, a), (0, a), (3, alone), (3, other)])
+
 
 def test_pipeline_stages_follow_each_other(spark):
     docs, before = table(spark, SF_MORE, "documents"), None

@@ -256,9 +256,28 @@ def group_labels(known: DataFrame, classes: DataFrame, words: int) -> DataFrame:
         pivots = min(FASTER * pivots, MOST_PIVOTS)
 
 
-def keep_first(docs: DataFrame, words: int = 5) -> DataFrame:
+def _tied(named: DataFrame, coded: DataFrame, marks: DataFrame) -> DataFrame:
+    """(node, first, label) with one label for groups that hold documents of one mark.
+
+    Only groups that differ from the smallest one of a mark are edges.
+    """
+    named = cut_lineage(named, "near-named")
+    marked = coded.select("doc_id", "hash", F.col("code").alias("node")).join(
+        marks, ["doc_id", "hash"]).join(named.select("node", "label"), "node")
+    marked = cut_lineage(marked.select("label", "mark").distinct(), "near-marked")
+    least = marked.groupBy("mark").agg(F.min("label").alias("v"))
+    into = connected_components(marked.join(least, "mark").select(
+        F.col("label").alias("u"), "v"))
+    return named.join(into.select(F.col("node").alias("label"), F.col("label").alias("into")),
+                      "label", "left").select(
+        "node", "first", F.coalesce("into", "label").alias("label"))
+
+
+def keep_first(docs: DataFrame, words: int = 5, marks: DataFrame | None = None) -> DataFrame:
     """One row of each group of near copies: the one with the smallest ``doc_id``.
 
+    ``marks``: rows (doc_id, hash of the text, mark); documents of one mark are in one group too.
+
     Rows without a ``doc_id`` are kept and take no part. Empty texts are copies of each other.
     Rows with one ``doc_id`` and different texts are different documents; of such the smaller
     text hash comes first. A repeated row goes or stays with its like.
@@ -274,6 +293,8 @@ def keep_first(docs: DataFrame, words: int = 5) -> DataFrame:
     labels = group_labels(known.withColumn("hash", F.xxhash64("text")), classes, words)
     named = classes.select("node", "first").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node"))
+    if marks is not None:
+        named = _tied(named, coded, marks)
     stays = named.groupBy("label").agg(F.min("first").alias("stays"))
     named = named.join(stays, "label").select(F.col("node").alias("code"), "stays")
     gone = coded.select("doc_id", "hash", "code").join(named, "code").where(

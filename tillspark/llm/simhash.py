@@ -291,13 +291,29 @@ def edges(distinct: DataFrame, budget: int = BUDGET, hot: int = HOT,
     return whole
 
 
+def labelled(classes: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
+    """Distinct fingerprints ``fp`` with ``label``, the smallest fingerprint that links reach."""
+    labels = connected_components(edges(classes.select("fp"), budget, hot))
+    named = classes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
+    return named.withColumn("label", F.coalesce("label", "fp"))
+
+
+def marks(docs: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
+    """(doc_id, hash, mark): documents, told apart by id and hash of the text, with equal marks
+    where links connect their fingerprints."""
+    prints = cut_lineage(fingerprints(docs.select("doc_id", "text")).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("hash"),
+        "fp").distinct(), "simhash-prints")
+    classes = cut_lineage(prints.select("fp").distinct(), "simhash-classes")
+    return prints.join(labelled(classes, budget, hot), "fp").select(
+        "doc_id", "hash", F.col("label").alias("mark"))
+
+
 def components(prints: DataFrame, budget: int = BUDGET, hot: int = HOT) -> DataFrame:
     """(doc_id, fp, component_id) of (doc_id, fp) rows; the smallest id that links reach."""
     classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")),
                           "simhash-classes")
-    labels = connected_components(edges(classes.select("fp"), budget, hot))
-    named = classes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
-    named = cut_lineage(named.withColumn("label", F.coalesce("label", "fp")), "simhash-named")
+    named = cut_lineage(labelled(classes, budget, hot), "simhash-named")
     # An aggregate and a join, not a window: a component may hold a third of all fingerprints.
     first = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = named.join(first, "label")
