@@ -57,3 +57,19 @@ def test_empty_tables(spark):
     root = work_dir(spark, "index")
     search_index.build(receipts, items, root)
     assert search_index.search(receipts, items, root, NOW, "abc").count() == 0
+
+
+def test_a_text_of_many_receipts_is_cut_into_grams_once(spark):
+    """Postings grow with the distinct texts; a query's grams must lie in one text."""
+    receipts = spark.createDataFrame(
+        [(f"r{n}", None, "shop", "other", None) for n in range(300)], RECEIPT)
+    items = spark.createDataFrame(
+        [(f"r{n}", f"thing{n % 3}", "abc" if n % 2 else "xyz") for n in range(300)], ITEM)
+    root = work_dir(spark, "index")
+    search_index.build(receipts, items, root, 1.0)
+    postings = spark.read.parquet(f"{root}/postings")
+    assert postings.where("gram = 'ng1'").count() == 2
+    assert postings.count() < 100
+    found = search_index.candidates(spark, root, "thing1 abc")
+    assert {r.id for r in found.collect()} == {f"r{n}" for n in range(1, 300, 6)}
+    assert search_index.candidates(spark, root, "shop thing1").count() == 0
