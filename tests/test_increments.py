@@ -1,7 +1,11 @@
+from datetime import datetime
+
 import pytest
+from pyspark.sql import functions as F
 
+from tillspark.plans import maintenance
 from tillspark.session import work_dir
-from tillspark.sources.increments import Snapshots
+from tillspark.sources.increments import JSON, Snapshots, tree
 
 ROW = "id string, total long, note string"
 
@@ -79,3 +83,59 @@ def test_a_backup_that_ends_before_the_switch_changes_nothing(spark, monkeypatch
     monkeypatch.undo()
     assert listed(kept.read("receipts")) == listed(rows(spark))
     assert kept.verify().head().matches
+
+
+def test_values_that_json_writes_alike_differ(spark):
+    """JSON gives milliseconds of a time; hashes pass over nulls and signs of zero."""
+    kept, kind = snapshots(spark), "id string, at timestamp_ntz, x double, list array<string>"
+    base = ("a", datetime(2001, 1, 1, 0, 0, 0, 123456), 0.0, ["p", None])
+    kept.backup({"t": spark.createDataFrame([base], kind)})
+    for changed in ((datetime(2001, 1, 1, 0, 0, 0, 123457), *base[2:]), (base[1], -0.0, base[3]),
+                    (None, *base[2:]), (base[1], base[2], [None, "p"]), (*base[1:3], None)):
+        after = spark.createDataFrame([("a", *changed)], kind)
+        assert kept.backup({"t": after}).head().rewritten == 1
+        assert str(kept.read("t").collect()) == str(after.collect())
+
+
+def test_a_copy_reads_its_buckets_only_and_needs_no_shuffle(spark):
+    kept = snapshots(spark)
+    kept.backup({"receipts": rows(spark)})
+    some = kept._in_folders("receipts", ["1", "5"])
+    assert "Exchange" not in some._jdf.queryExecution().executedPlan().toString()
+    wanted = kept._dealt(rows(spark), ["1", "5"])
+    assert listed(some) == listed(wanted) and 0 < some.count() < 200
+
+
+def test_a_snapshot_hashed_by_json_is_verified_and_restored(spark):
+    kept, live = snapshots(spark), snapshots(spark, "live")
+    kept.backup({"receipts": rows(spark)})
+    old = kept.manifest()
+    del old["hashes"]
+    old["digests"] = {"receipts": kept.digests(rows(spark), way=JSON)}
+    old["version"], old["tree"] = 2, tree(old["digests"])
+    kept.publish(old)
+    live.backup({"receipts": rows(spark, r3=-3)})
+    assert kept.verify().head().matches
+    kept.restore(live)
+    assert listed(live.read("receipts")) == listed(rows(spark)) and live.verify().head().matches
+    assert kept.restore(live).head().copied == 0
+    assert kept.backup({"receipts": rows(spark)}).head().rewritten == 8
+
+
+def test_restore_queries_make_their_tables_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(value):
+        made.add(1)
+        return value
+
+    def table(s, d):
+        return rows(s, 40).repartition(2).select(
+            seen("id").alias("id"), F.col("total").alias("totalMinor"),
+            F.lit("BUILDING").alias("categoryId"), F.lit(1).alias("position"))
+    monkeypatch.setattr(maintenance.adapter, "receipts", table)
+    monkeypatch.setattr(maintenance.adapter, "receipt_items", table)
+    back = maintenance._restored("receipts", "id", "totalMinor")(spark, "")
+    assert listed(back) == listed(rows(spark, 40).select("id", "total"))
+    assert made.value == 80

@@ -10,7 +10,7 @@ from tillspark.functions import language, money
 from tillspark.functions.dates import display_date
 from tillspark.operators import limiter, maintenance
 from tillspark.plans import views
-from tillspark.session import work_dir
+from tillspark.session import cut_lineage, work_dir
 from tillspark.sources import adapter, snapshot
 from tillspark.sources.increments import Snapshots
 
@@ -179,9 +179,13 @@ def _exported(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _earlier(s, d):
+def _kept_tables(s, d):
+    """The same tables as stored ones: snapshots read them several times."""
+    return {name: cut_lineage(df, name) for name, df in _tables(s, d).items()}
+
+
+def _earlier(tables):
     """The tables before their last edits: other totals of one category, no seventh items."""
-    tables = _tables(s, d)
     total = F.when(F.col("categoryId") == "BUILDING", 777).otherwise(F.col("totalMinor"))
     return {"receipts": tables["receipts"].withColumn("totalMinor", total.cast("long")),
             "receipt_items": tables["receipt_items"].where(F.col("position") != 6)}
@@ -189,9 +193,9 @@ def _earlier(s, d):
 
 def _incremental(s, d):
     """A backup of the earlier tables, then one that rewrites the buckets that changed."""
-    kept = Snapshots(s, work_dir(s, "snapshots"))
-    kept.backup(_earlier(s, d))
-    kept.backup(_tables(s, d))
+    kept, tables = Snapshots(s, work_dir(s, "snapshots")), _kept_tables(s, d)
+    kept.backup(_earlier(tables))
+    kept.backup(tables)
     return kept.verify()
 
 
@@ -199,8 +203,9 @@ def _restored(table, *columns):
     """The earlier tables are live; a restore brings the snapshot's rows back."""
     def run(s, d):
         kept, live = (Snapshots(s, work_dir(s, name)) for name in ("snapshots", "live"))
-        kept.backup(_tables(s, d))
-        live.backup(_earlier(s, d))
+        tables = _kept_tables(s, d)
+        kept.backup(tables)
+        live.backup(_earlier(tables))
         kept.restore(live)
         return live.read(table).select(*columns)
     return run
