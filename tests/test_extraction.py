@@ -1,4 +1,5 @@
 import json
+import re
 from urllib.error import URLError
 from datetime import datetime
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tillspark import model
+from tillspark.functions.text import WHITESPACE, trim_blank
 from tillspark.operators import bridge, contract, extraction, queue
 from tillspark.sources import adapter
 
@@ -347,3 +349,42 @@ def test_numbering_reads_keys_only(spark):
         .alias("document_id"), F.raise_error(F.lit("read")).cast("string").alias("document_json"))
     dense = bridge.numbered(rows, ["collection_name", "document_id"])
     assert sorted(r.position for r in dense.select("position").collect()) == list(range(50))
+
+
+def test_client_contract_on_list_entries(spark):
+    entry = VALID["items"][0]
+    short = {k: v for k, v in entry.items() if k != "quantity"}
+    good = [item(), item(quantity=None), item(price=1), item(rawName="x" * 301),
+            changed(items=[]), changed(items=[entry] * 250)]
+    bad = [changed(items=[entry, short]), changed(items=[entry, None]), changed(items=[[]]),
+           item(rawName=None), item(confidence=1.5), item(confidence=-0.1), item(quantity="1"),
+           item(totalPriceMinor=1.0), changed(items=[entry] * 251), changed(items=[None] * 251),
+           changed(items=None), changed(items={"0": entry})]
+    got = violations(spark, *good, *bad, rules=contract.CLIENT)
+    assert got == [[]] * len(good) + [["items"]] * len(bad)
+
+
+def test_methods_that_make_replies_are_compiled(spark, sf_dir, capsys):
+    """The JVM compiles no method of over 8,000 bytes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan shows none yet
+    try:
+        adapter.extractions(spark, sf_dir).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)
+    assert sizes and max(map(int, sizes)) < 8000
+
+
+def test_rows_carry_the_verdict_on_entries_and_not_the_entries(spark):
+    df = spark.createDataFrame([("{}",)], "reply string")
+    plan = contract.validate_extractions(df, contract.CLIENT)._jdf.queryExecution()
+    made = [line for line in plan.optimizedPlan().toString().split("\n") if "Generate" in line]
+    assert made and not any(re.search(r"\[[^\[]*_item(s|_maps)#\d+[^\[]*\]\s*$", line)
+                            for line in made)
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", " a", "a ", "a\u00a0", "\u00e8", "\u00e8 ", "a\u00e8",
+                                  "a\ufeff", "\x7f", "a\x7f"])
+def test_trim_by_last_byte(spark, text):
+    row = spark.createDataFrame([(text,)], "t string").select(trim_blank(F.col("t"))).first()
+    assert row[0] == text.strip("".join(WHITESPACE))

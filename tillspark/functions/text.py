@@ -14,8 +14,12 @@ WHITESPACE = (
 
 
 def trim_blank(text: Column) -> Column:
-    """Trims; a text that starts and ends with a printable ASCII sign has nothing to trim."""
-    tight = (text >= "!") & (text < "\x7f") & F.right(text, F.lit(1)).between("!", "~")
+    """Trims; a text that starts and ends with a printable ASCII sign has nothing to trim.
+
+    The last sign is looked up as a byte: for the last character Spark walks the whole text.
+    """
+    last = F.substring(text.cast("binary"), -1, 1)
+    tight = (text >= "!") & (text < "\x7f") & last.between(F.lit(b"!"), F.lit(b"~"))
     return F.when(tight, text).otherwise(F.btrim(text, F.lit(WHITESPACE)))
 
 

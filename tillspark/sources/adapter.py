@@ -11,6 +11,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tillspark.functions.dates import comparable_period
+from tillspark.functions.once import settle
 from tillspark.functions.text import sha256_hex
 from tillspark.model import EXTRACTED_ITEMS_MAX, REPLICATED_COLLECTIONS
 
@@ -298,7 +299,11 @@ def reply_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw model replies for all orders with their line items, well formed or broken by rule."""
+    """Raw model replies for all orders with their line items, well formed or broken by rule.
+
+    Made in settled steps: as one expression, the text stands in it for each way to wrap it, and
+    the method that Spark generates is beyond what the JVM compiles.
+    """
     key = F.col("o_orderkey")
     total = _minor(F.col("o_totalprice"))
     orders = _table(spark, sf_dir, "orders").withColumn("receiptId", key.cast("string")).join(
@@ -322,14 +327,19 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, field, broken) in enumerate(BROKEN, 1):
         if broken is not None:
             parts[field] = F.when(rule == number, broken).otherwise(parts[field])
-    fields = [F.concat(F.lit(f'"{name}":'), part) for name, part in parts.items()]
-    body = F.concat(F.lit("{"), F.concat_ws(",", *fields),
-                    F.when(key % 29 == 0, ',"extra":1').otherwise(""), F.lit("}"))
+    single = [n for n in parts if n != "items"]
+    listed = settle(orders, items=parts["items"])
+    written = settle(listed, **{n: F.concat(F.lit(f'"{n}":'), parts[n]) for n in single})
+    texts = [F.concat(F.lit('"items":'), "items") if n == "items" else F.col(n) for n in parts]
+    made = settle(written, body=F.concat(
+        F.lit("{"), F.concat_ws(",", *texts),
+        F.when(key % 29 == 0, ',"extra":1').otherwise(""), F.lit("}")))
+    body = F.col("body")
     fenced = F.when(key % 11 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))) \
         .otherwise(body)
     reply = F.when(key % 7 == 0, F.substring(body, 1, 80)).otherwise(fenced)
-    return orders.select(F.col("receiptId").alias("receipt_id"),
-                         F.concat(F.lit("job-"), key).alias("job_id"), reply.alias("reply"))
+    return made.select(F.col("receiptId").alias("receipt_id"),
+                       F.concat(F.lit("job-"), key).alias("job_id"), reply.alias("reply"))
 
 
 def stored_images(spark: SparkSession, sf_dir: str) -> DataFrame:
