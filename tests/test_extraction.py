@@ -1,4 +1,5 @@
 import json
+import random
 import re
 from urllib.error import URLError
 from datetime import datetime
@@ -9,7 +10,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tillspark import model
 from tillspark.functions.text import WHITESPACE, trim_blank
-from tillspark.operators import bridge, contract, extraction, queue
+from tillspark.operators import bridge, contract, extraction, queue, replication
 from tillspark.sources import adapter
 
 NOW = datetime(2026, 7, 14, 10, 0, 0, 5)
@@ -351,6 +352,32 @@ def test_numbering_reads_keys_only(spark):
     assert sorted(r.position for r in dense.select("position").collect()) == list(range(50))
 
 
+def test_shards_of_any_size_give_dense_numbers(spark, monkeypatch):
+    rnd = random.Random(1)
+    keys = [(rnd.choice(["b", "a", None]), rnd.choice(["z", "é", "10", "9", "", None, "Z"]))
+            for _ in range(300)]
+    rows = spark.createDataFrame(keys, "collection_name string, document_id string")
+    ordered = sorted(keys, key=lambda k: [(v is not None, (v or "").encode()) for v in k])
+    for size, apart in ((1, 0), (2, 1), (5, 0), (500_000, 1)):
+        monkeypatch.setattr(bridge, "SHARD_KEYS", size)
+        dense = bridge.numbered(rows, ["collection_name", "document_id"], apart=apart).collect()
+        found = {r.position: (r.collection_name, r.document_id) for r in dense}
+        assert [found[n] for n in range(300)] == ordered
+    assert bridge.numbered(rows.limit(0), ["collection_name"]).collect() == []
+
+
+def test_a_log_that_is_dealt_out_is_not_shuffled_for_its_state(spark):
+    rows = spark.createDataFrame(
+        [(c, str(n), '{"id":"%d"}' % n) for c in ("receipts", "receipt_items") for n in range(40)],
+        "collection_name string, document_id string, document_json string")
+    log = bridge.append(rows, 7, "now", shards=True)
+    state = replication.current_state(log.where("collection_name = 'receipts'"))
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("receipts", plan.index("Exchange")) > 0
+    assert sorted(r.server_sequence for r in state.collect()) == list(range(48, 88))
+    assert "_shard" not in state.columns + bridge.append(rows, 7, "now").columns
+
+
 def test_client_contract_on_list_entries(spark):
     entry = VALID["items"][0]
     short = {k: v for k, v in entry.items() if k != "quantity"}

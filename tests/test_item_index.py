@@ -67,3 +67,11 @@ def test_an_empty_log_has_no_postings(spark):
     index = ItemIndex(spark, work_dir(spark, "i"))
     index.update(spark.createDataFrame([], LOG))
     assert index.items_of(_ask(spark, "r1")).count() == 0
+
+
+def test_postings_are_shuffled_once(spark):
+    index = ItemIndex(spark, work_dir(spark, "i"))
+    rows = [("r1", "a"), ("r1", "b"), ("r2", "b"), ("r1", "b")]
+    dealt = index._dealt(spark.createDataFrame(rows, "receipt_id string, document_id string"))
+    assert dealt._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r.receipt_id, r.document_id) for r in dealt.collect()) == sorted(set(rows))

@@ -5,6 +5,7 @@ import pytest
 from tillspark.operators import replication
 from tillspark.session import work_dir
 from tillspark.sources import pages
+from tillspark.streaming import levels
 from tillspark.streaming.levels import Levels
 
 VERSION = ("collection_name string, document_id string, server_sequence long, value string, "
@@ -122,3 +123,23 @@ def test_a_page_reads_few_files(spark):
     assert len(spark.read.parquet(f"{root}/rows").inputFiles()) >= 100
     for checkpoint in (0, 777, 1500):
         assert len(pages.files_of_page(spark, root, "receipts", checkpoint, 50)) <= 6
+
+
+def test_many_documents_are_not_asked_for_where_some_were_found(spark, monkeypatch):
+    rows = random_log(6, 900, 400)
+    kept = levels_of(spark, buckets=4, fanout=4)
+    for number in range(3):
+        kept.append(spark.createDataFrame(rows[number::3], VERSION), number)
+    keys = spark.createDataFrame(list(newest(rows)), "collection_name string, document_id string")
+    whole, asked, hit = kept.candidates(keys), [], Levels._hit
+
+    def seen(self, bits, documents, known):
+        asked.append((documents.count(), {r: set(b) for r, b in known.items()}))
+        return hit(self, bits, documents, known)
+
+    monkeypatch.setattr(levels, "ASKED_FIRST", 40)
+    monkeypatch.setattr(Levels, "_hit", seen)
+    assert kept.candidates(keys) == whole and len(whole) == 12
+    assert [n for n, _ in asked] == [40, len(newest(rows))]
+    assert sum(map(len, asked[1][1].values())) >= 9
+    assert collected(kept.documents(keys)) == newest(rows)

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tillspark.operators.sieve import matched
 from tillspark.sources.manifest import Manifests
 
 SCHEMA = "receipt_id string, document_id string"
 BUCKETS, FANOUT = 64, 4
+SLICES = 4  # of a bucket, by document, so that no receipt lies in one task
 
 
 class ItemIndex(Manifests):
@@ -39,8 +41,14 @@ class ItemIndex(Manifests):
         return self.spark.read.schema(SCHEMA).parquet(*folders)
 
     def _write(self, run: str, postings: DataFrame) -> None:
-        (postings.distinct().withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
-         .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{run}"))
+        (self._dealt(postings).write.mode("overwrite").partitionBy("bucket")
+         .parquet(f"{self.root}/{run}", compression="zstd"))
+
+    def _dealt(self, postings: DataFrame) -> DataFrame:
+        """Each posting once, with its bucket; dealt out by bucket and slice only."""
+        part = F.pmod(F.xxhash64("document_id"), F.lit(SLICES))
+        rows = postings.withColumn("bucket", self._bucket()).withColumn("_slice", part)
+        return rows.repartition("bucket", "_slice").distinct().drop("_slice")
 
     def update(self, log: DataFrame) -> None:
         """Indexes the log up to its present end; the end is read before the rows are."""
@@ -83,6 +91,5 @@ class ItemIndex(Manifests):
 
     def items_of(self, receipts: DataFrame) -> DataFrame:
         """The item documents ever posted for the receipts of column ``receipt_id``."""
-        wanted = receipts.select("receipt_id").dropna().distinct()
-        return self._read(self.folders_of(receipts)).join(
-            wanted, "receipt_id", "left_semi").select("document_id").distinct()
+        posted = matched(self._read(self.folders_of(receipts)), receipts, ["receipt_id"])
+        return posted.select("document_id").distinct()

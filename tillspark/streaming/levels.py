@@ -19,11 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillspark.model import REPLICATED_COLLECTIONS
 from tillspark.operators.replication import DOCUMENT_KEYS
+from tillspark.operators.sieve import matched
+from tillspark.session import cut_lineage
 from tillspark.sources.manifest import Manifests
 from tillspark.streaming.sources import run_available
 
 BUCKETS, FANOUT = 16, 4
 PROBES, BITS_A_ROW = 5, 10
+ASKED_FIRST = 10_000
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -82,7 +85,8 @@ class Levels(Manifests):
         """
         names = self._read([]).columns
         (rows.select(*names).withColumn("bucket", self._bucket())
-         .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/runs/{run}"))
+         .write.mode("overwrite").partitionBy("bucket")
+         .parquet(f"{self.root}/runs/{run}", compression="zstd"))
         written = self._read_runs([run]).select(*DOCUMENT_KEYS)
         bits = 64
         while bits < BITS_A_ROW * written.count() / self.buckets:
@@ -134,32 +138,54 @@ class Levels(Manifests):
         """The folders that may hold one of the documents; at most runs x buckets of them.
 
         All probes of a document must be set in its bucket's filter. Each run has its own
-        number of bits, so a document is asked for once in each run.
+        number of bits, so a document is asked for once in each run. Of many documents some are
+        asked for first; the others then need to be asked for in the remaining folders only.
         """
         now = self.manifest()
         if not now["bits"]:
             return []
-        runs = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(b).cast("long").alias("bits"))
-                         for r, b in now["bits"].items()])
-        asked = keys.select(*DOCUMENT_KEYS).dropna().distinct().select(
-            "*", self._bucket().alias("bucket"), F.inline(runs))
-        asked = asked.select("run", "bucket", *DOCUMENT_KEYS, F.explode(
-            F.array(*[_probe(i, F.col("bits")) for i in range(PROBES)])).alias("spot"))
+        asked = keys.select(*DOCUMENT_KEYS).dropna()
+        some = cut_lineage(asked.limit(ASKED_FIRST), "levels-asked")
+        found = self._hit(now["bits"], some, {})
+        if some.count() == ASKED_FIRST:
+            found |= self._hit(now["bits"], asked, found)
+        folders = {run: self._folders(run) for run in found}
+        return sorted(folders[run][bucket] for run, hit in found.items() for bucket in hit)
+
+    def _hit(self, bits: dict[str, int], asked: DataFrame, known: dict[str, set[int]]
+             ) -> dict[str, set[int]]:
+        """Run to the buckets whose filter lets a document pass; those of ``known`` stay as they
+        are and are not asked.
+
+        The number of a document stands for it: two with one number may let a folder pass that
+        holds neither, and never keep one out.
+        """
+        none = F.array().cast("array<int>")
+        runs = F.array(*[F.struct(
+            F.lit(r).alias("run"), F.lit(b).cast("long").alias("bits"),
+            (F.array(*map(F.lit, sorted(known[r]))) if known.get(r) else none).alias("known"))
+            for r, b in bits.items()])
+        asked = asked.select("*", self._bucket().alias("bucket"), F.inline(runs)).where(
+            ~F.array_contains("known", F.col("bucket"))).drop("known").distinct()
+        asked = asked.select(
+            "run", "bucket", F.xxhash64(*DOCUMENT_KEYS).alias("number"),
+            F.explode(F.array(*[_probe(i, F.col("bits")) for i in range(PROBES)])).alias("spot"))
         asked = asked.withColumn("word", F.floor(F.col("spot") / 64).cast("long"))
         filters = self.spark.read.schema("bucket int, word long, mask long, run string").parquet(
-            f"{self.root}/filters").where(F.col("run").isin(*now["bits"]))
+            f"{self.root}/filters").where(F.col("run").isin(*bits))
         hit = F.expr("(mask & shiftleft(1L, cast(spot % 64 AS int))) <> 0")
         found = (asked.join(filters, ["run", "bucket", "word"]).where(hit)
-                 .groupBy("run", "bucket", *DOCUMENT_KEYS).agg(F.count("*").alias("hits"))
-                 .where(F.col("hits") == PROBES).select("run", "bucket").distinct().collect())
-        folders = {run: self._folders(run) for run in {r["run"] for r in found}}
-        return sorted(folders[r["run"]][r["bucket"]] for r in found)
+                 .groupBy("run", "bucket", "number").agg(F.count("*").alias("hits"))
+                 .where(F.col("hits") >= PROBES).select("run", "bucket").distinct().collect())
+        after = {run: set(buckets) for run, buckets in known.items()}
+        for r in found:
+            after.setdefault(r["run"], set()).add(r["bucket"])
+        return after
 
     def documents(self, keys: DataFrame) -> DataFrame:
         """The newest version of each document of ``keys`` (both key columns); absent ones,
         null keys and repeated keys give no row of their own."""
-        wanted = keys.select(*DOCUMENT_KEYS).distinct()
-        held = self._read(self.candidates(keys)).join(wanted, DOCUMENT_KEYS, "left_semi")
+        held = matched(self._read(self.candidates(keys)), keys, DOCUMENT_KEYS)
         return _merged(held).drop("_first")
 
     def vacuum(self) -> None:
