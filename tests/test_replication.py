@@ -206,3 +206,25 @@ def test_tables_of_small_chunks_share_frames():
     assert whole["document_id"].tolist() == rows["document_id"].tolist()
     assert whole["exit_writer"].tolist() == list(range(30_000))
     assert list(push._chunk_tables(iter([]))) == []
+
+
+def test_a_document_takes_part_in_the_levels_of_its_own_chunks(spark, monkeypatch):
+    """Chunks without rows of a document are no nodes of its tree."""
+    rows = [(order, name, None, doc(name, order)) for name, orders in (
+        ("far", (0, 9_990)), ("one", (5_000, 5_001)),
+        ("many", range(20, 900, 10)), ("next", (639, 640, 641))) for order in orders]
+    made, write = [], push.cut_lineage
+
+    def seen(df, label):
+        kept = write(df, label)
+        if label == "push-level":
+            made.append({r.document_id for r in kept.collect()})
+        return kept
+
+    monkeypatch.setattr(push, "cut_lineage", seen)
+    rows.sort()
+    accepted, conflicts = brute_force(rows, [])
+    changes, found = run(spark, rows, [], 10)
+    assert [(c.server_sequence, c.document_json) for c in changes] == accepted
+    assert [(c.ord, c.master_json) for c in found] == conflicts
+    assert made == [{"far", "many", "next"}] + [{"many"}] * 6
