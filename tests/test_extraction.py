@@ -10,7 +10,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tillspark import model
 from tillspark.functions.text import WHITESPACE, trim_blank
-from tillspark.operators import bridge, contract, extraction, queue, replication
+from tillspark.operators import bridge, contract, extraction, queue, replication, sieve
 from tillspark.sources import adapter
 
 NOW = datetime(2026, 7, 14, 10, 0, 0, 5)
@@ -378,6 +378,20 @@ def test_a_log_that_is_dealt_out_is_not_shuffled_for_its_state(spark):
     assert "_shard" not in state.columns + bridge.append(rows, 7, "now").columns
 
 
+def test_items_to_replace_are_filtered_below_their_join(spark):
+    judged = spark.createDataFrame([("r1", False), ("r1", False), ("r2", True)],
+                                   "receipt_id string, skip boolean")
+    items = spark.createDataFrame(
+        [("a", "r1", False), ("b", "r1", None), ("c", "r1", True), ("d", "r2", False),
+         ("e", None, False)], "id string, receiptId string, _deleted boolean")
+    near = sieve.sieved(items, extraction.taken_receipts(judged), ["receiptId"])
+    gone = extraction.item_tombstones(judged, near, NOW)
+    assert sorted(r.id for r in gone.collect()) == ["a", "b"]
+    plan = gone._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [line for line in plan if "Join" in line]
+    assert len(joins) == 2 and "receiptId" in joins[0] and "_block" in joins[1]
+
+
 def test_client_contract_on_list_entries(spark):
     entry = VALID["items"][0]
     short = {k: v for k, v in entry.items() if k != "quantity"}
