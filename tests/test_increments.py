@@ -139,3 +139,19 @@ def test_restore_queries_make_their_tables_once(spark, monkeypatch):
     back = maintenance._restored("receipts", "id", "totalMinor")(spark, "")
     assert listed(back) == listed(rows(spark, 40).select("id", "total"))
     assert made.value == 80
+
+
+def test_a_whole_backup_shuffles_no_rows(spark):
+    """Few buckets are brought together, all of them are written where their rows are."""
+    kept, table = snapshots(spark), rows(spark).repartition(5)
+    every = [str(b) for b in range(8)]
+    for wanted, shuffles in ((every, 1), (every[:4], 1), (every[:3], 2)):
+        dealt = kept._dealt(table, wanted)
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == shuffles  # one is the repartition above
+        assert {str(r["_bucket"]) for r in dealt.collect()} == set(wanted)
+    kept.backup({"receipts": table})
+    assert listed(kept.read("receipts")) == listed(table)
+    edit = kept.backup({"receipts": rows(spark, r17=-1).repartition(5)}).head()
+    assert edit.rewritten == 1 and kept.verify().head().matches
+    assert listed(kept.read("receipts")) == listed(rows(spark, r17=-1))

@@ -21,6 +21,7 @@ from pyspark.sql.types import (AtomicType, DataType, DoubleType, FloatType, Stru
 from tillspark.sources.manifest import Manifests
 
 BUCKETS = 64
+MOST_TASKS = 256  # that write to all buckets, a file to each
 # How a manifest's rows were hashed; older manifests do not say so and have JSON texts.
 JSON, VALUES = "json", "values"
 Digests = dict[str, list]
@@ -90,10 +91,13 @@ class Snapshots(Manifests):
         return {str(r["bucket"]): [r["rows"], r["digest"]] for r in found}
 
     def _dealt(self, rows: DataFrame, buckets: Iterable[str]) -> DataFrame:
-        """Rows of some buckets, each bucket's together."""
-        return (rows.withColumn("_bucket", self._bucket())
-                .where(F.col("_bucket").isin([int(b) for b in buckets]))
-                .hint("rebalance", "_bucket"))
+        """Rows of some buckets. Where these are few, each bucket's are brought together; where
+        they are most of the table each task writes its own files, and nothing is shuffled."""
+        wanted = [int(b) for b in buckets]
+        found = rows.withColumn("_bucket", self._bucket()).where(F.col("_bucket").isin(wanted))
+        if 2 * len(wanted) < self.buckets:
+            return found.hint("rebalance", "_bucket")
+        return found.coalesce(MOST_TASKS)
 
     def _folder(self, folder: str, schema: str, buckets: Iterable[str]) -> DataFrame:
         """Rows of some buckets of one written folder; the others are pruned by their names."""
@@ -112,7 +116,7 @@ class Snapshots(Manifests):
     def _put(self, table: str, rows: DataFrame, expected: Digests, way: str) -> dict[str, str]:
         """Writes rows with their ``_bucket`` and reads them back; bucket to its folder."""
         folder = f"{table}/{uuid.uuid4().hex}"
-        rows.write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+        rows.write.partitionBy("_bucket").parquet(f"{self.root}/{folder}", compression="zstd")
         written = self._folder(folder, _ddl(rows.drop("_bucket")), expected)
         if self.digests(written, True, way) != expected:
             raise OSError(f"{table} differs from what was written")
